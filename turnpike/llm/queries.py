@@ -6,30 +6,135 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnpike.llm import byte_bpe, simhash
+from turnpike.llm import byte_bpe, line_dedup, mixture, simhash, substring
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+#: White space that is not part of a word, as DuckDB text.
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP6 = f"""
+with docs as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+           md5(coalesce(doc_id::varchar, 'null') || '-mix') as shuffle
+    from documents
+),
+sized as (
+    select source, sum(size)::bigint as source_size,
+           [3.0::double, 1.0::double, 2.0::double][((row_number() over (order by source is null, source) - 1) % 3 + 1)::bigint] as weight
+    from docs group by source
+),
+capped as (select *, source_size * 2.0::double as cap, source_size * 2.0::double / weight as ratio from sized),
+leveled as (
+    select *, (sum(source_size) over () * 1.5::double
+               - coalesce(sum(cap) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0))
+              / sum(weight) over (order by ratio, source is null, source rows between current row and unbounded following) as level
+    from capped
+),
+final as (select max(case when ratio > level then level end) as level from leveled),
+goals as (
+    select source, source_size, target, round(target)::bigint as goal
+    from (select l.source, l.source_size, case when f.level is null or l.ratio <= f.level then l.cap else l.weight * f.level end as target
+          from leveled l, final f)
+),
+shares as (
+    select *, greatest({mixture.LEAST_BLOCK}, ceil(sum(goal) over ()::double / {mixture.SLOTS}))::bigint as block, sum(goal) over ()::double as total,
+           case when sum(goal) over () > 0 then floor(sum(goal) over (order by source is null, source rows unbounded preceding)::double
+                / sum(goal) over ()::double * {mixture.CYCLE})::bigint else 0 end as high
+    from goals
+),
+ranges as (
+    select *, coalesce(lag(high) over (order by source is null, source), 0) as low, ceil(total / block)::bigint as slots,
+           ceil(source_size::double / block)::bigint as blocks
+    from shares
+),
+slots as (select i, i * {mixture.STEP} % {mixture.CYCLE} as point from range({mixture.SLOTS}) t(i)),
+owned as (
+    select r.source, s.i, r.slots, r.blocks, row_number() over (partition by r.source order by s.i) - 1 as rank
+    from slots s join ranges r on s.point >= r.low and s.point < r.high
+),
+uses as (
+    select source, rank % blocks as number, count(*) as times
+    from owned where i < slots and rank < {mixture.PASSES} * blocks group by all
+),
+placed as (
+    select d.doc_id, d.source, d.size, r.source_size, r.target, r.block,
+           coalesce(sum(d.size) over (partition by d.source order by d.shuffle, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+           row_number() over (partition by d.source order by d.shuffle, d.doc_id, d.size) as place
+    from docs d join ranges r on d.source is not distinct from r.source
+),
+pieces as (select *, unnest(range(start // block, (start + greatest(size, 1) - 1) // block + 1)) as number from placed)
+select p.doc_id, p.size, p.source_size, p.target,
+       coalesce(sum((least(p.start + p.size, (p.number + 1) * p.block) - greatest(p.start, p.number * p.block)) * u.times), 0)::bigint as taken
+from pieces p left join uses u on p.source is not distinct from u.source and p.number = u.number
+group by p.source, p.place, p.doc_id, p.size, p.source_size, p.target
+"""
+
+OP8 = f"""
+with lines as (
+    select doc_id, source, trim(line, {_SPACE}) as bare
+    from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents)
+),
+spread as (select bare, min(doc_id) as first_id from lines where bare <> '' group by bare having count(distinct source) >= {line_dedup.MIN_SITES}),
+split as (
+    select d.doc_id, p.i as i, string_split(d.text, chr(10))[p.i] as line
+    from documents d, lateral (select unnest(range(1, len(string_split(d.text, chr(10))) + 1)) as i) p
+),
+kept as (
+    select s.doc_id, count(*) as n_lines, count(x.bare) as n_removed,
+           string_agg(s.line, chr(10) order by s.i) filter (where x.bare is null) as text
+    from split s left join spread x on trim(s.line, {_SPACE}) = x.bare and x.first_id <> s.doc_id
+    group by s.doc_id
+)
+select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k using (doc_id)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines removed, and a digest of the text that is left."""
+    docs = _table(spark, sf_dir, "documents").withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"))
+    return line_dedup.remove_spread_lines(docs).select(
+        "doc_id", "n_lines", F.col("_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_mixture": op6_mixture,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_line_dedup": op8_line_dedup,
         "op9_simhash": op9_simhash,
+        "op10_substring": op10_substring,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_mixture": OP6,
+        "op8_line_dedup": OP8,
+    }
