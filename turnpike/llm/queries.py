@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnpike.llm import byte_bpe, line_dedup, mixture, simhash, substring
+from turnpike.llm import byte_bpe, line_dedup, mixture, quality_gam, quality_rules, simhash, substring, toxicity, url_filter
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,34 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: White space that is not part of a word, as DuckDB text.
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_BOUNDED = "regexp_matches(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({})([^a-z0-9]|$)')"
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")))
+
+OP5 = f"""
+with rest as (
+    select page_id, url, case when url is null or position('://' in url) = 0 then '' else
+           regexp_extract(substr(url, position('://' in url) + 3), '^[^?#]*') end as rest
+    from pages
+),
+parts as (
+    select page_id, url, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           case when position('/' in rest) > 0 then substr(rest, position('/' in rest)) else '' end as path
+    from rest
+),
+rules(verdict, host, path) as (values {_RULE_ROWS}),
+best as (
+    select p.page_id, p.url, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule,
+           arg_max(r.verdict, length(r.host || r.path)) as verdict
+    from parts p left join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+    group by all
+)
+select page_id, host, path, rule,
+       coalesce(verdict, case when {_BOUNDED.format("|".join(url_filter.STRICT))}
+           or {" + ".join(f"{_BOUNDED.format(t)}::int * {w}" for t, w in url_filter.SOFT.items())} >= {url_filter.SOFT_LIMIT}
+           then 'block' else 'allow' end) as verdict
+from best
+"""
+
 OP6 = f"""
 with docs as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
@@ -99,6 +127,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, _table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    return toxicity.score(docs, lexicon).select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def _held_out(modulus: int, rest: int):
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest).alias("held_out")
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, _table(spark, sf_dir, "labels"), modulus=4, held_out=2)
+    return quality_gam.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
+
+
+#: (verdict, host, path): fixed values of the query.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -125,6 +187,10 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality_rules": op2_quality_rules,
+        "op4_quality_gam": op4_quality_gam,
+        "op5_url_filter": op5_url_filter,
         "op6_mixture": op6_mixture,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_line_dedup": op8_line_dedup,
@@ -135,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_url_filter": OP5,
         "op6_mixture": OP6,
         "op8_line_dedup": OP8,
     }
