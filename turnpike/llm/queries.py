@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnpike.llm import byte_bpe, line_dedup, mixture, quality_gam, quality_rules, simhash, substring, toxicity, url_filter
+from turnpike.llm import byte_bpe, line_dedup, mixture, quality_gam, quality_rules, simhash, substring, toxicity, url_filter, vector_dedup
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -137,6 +137,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def _held_out(modulus: int, rest: int):
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest).alias("held_out")
 
@@ -189,6 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_quality_rules": op2_quality_rules,
+        "op3_vector_dedup": op3_vector_dedup,
         "op4_quality_gam": op4_quality_gam,
         "op5_url_filter": op5_url_filter,
         "op6_mixture": op6_mixture,
