@@ -22,15 +22,16 @@ def _totals(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``edges(a, b)`` with long ids -> ``(node, root)`` for every node that is not the smallest of its component.
 
-    Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    Null ends and loops are ignored; repeated edges count once; no edges give no rows. ``rows`` bounds their number, if known.
     """
     current = cut(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        rows,
     )
     seen = _totals(current)
     while seen[0]:
@@ -50,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        current = cut(small)
+        current = cut(small, seen[0])
         now = _totals(current)
         if now == seen:
             break

@@ -15,7 +15,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnpike-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage; lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+#: Rows that one checkpoint file should hold at least, where their number is known.
+ROWS_A_FILE = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared folder and drop its lineage; lost executors cost no recomputation.
+
+    ``rows`` is an upper bound of its rows where one is known: few rows then go to few files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(1, min(most, -(-rows // ROWS_A_FILE))))
     return df.checkpoint(eager=True)

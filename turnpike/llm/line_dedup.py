@@ -40,10 +40,13 @@ def spread_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, id_col: str = "
     """
     found = docs.select(F.explode(_lines(F.col(text_col))).alias("l"), F.col(site_col).cast("string").alias("site"), F.col(id_col).cast("long").alias("id"))
     found = found.select(_key(F.col("l")).alias("line"), "site", "id").where(F.col("line").isNotNull() & F.col("site").isNotNull())
-    bounds = found.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
+    # Hashes of sites stand for the sites: two differ unless all their hashes agree, and longs aggregate in place.
+    site = F.xxhash64("site")
+    bounds = found.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("low"), F.max(site).alias("high"))
     many = F.col("n") >= min_sites
     possible = bounds.where((many & (F.col("low") < F.col("high"))) if min_sites > 1 else many).select("line")
-    candidates = cut(found.join(possible, "line", "left_semi").groupBy("line", "site").agg(F.min("id").alias("id")))
+    # Pairs that can matter are far fewer than lines; there are rarely more than documents, which sizes the files.
+    candidates = cut(found.join(possible, "line", "left_semi").groupBy("line", "site").agg(F.min("id").alias("id")), docs.count())
     sketched = candidates.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_K))).alias("estimate"), F.min("id").alias("first_id"))
     near = sketched.where(F.col("estimate").between(NEAR[0] * min_sites, NEAR[1] * min_sites))
     exact = candidates.join(near.select("line", "first_id"), "line").groupBy("line", "first_id").agg(F.count_distinct("site").alias("sites"))
@@ -60,7 +63,7 @@ def remove_spread_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, id_col:
     order) though they count for the spread, rows with a null site lose boilerplate but don't count. Repeated
     rows are treated alike. A document of boilerplate only becomes an empty text; no row is dropped.
     """
-    spread = cut(spread_lines(docs, min_sites=min_sites, id_col=id_col, text_col=text_col, site_col=site_col))
+    spread = spread_lines(docs, min_sites=min_sites, id_col=id_col, text_col=text_col, site_col=site_col)
     held = docs.select(F.col(id_col).cast("long").alias("__tp_id"), F.explode(_lines(F.col(text_col))).alias("l"))
     held = held.select("__tp_id", _key(F.col("l")).alias("line")).where(F.col("line").isNotNull() & F.col("__tp_id").isNotNull())
     gone = held.join(spread.select("line", "first_id"), "line").where(~F.col("__tp_id").eqNullSafe(F.col("first_id")))

@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives none. Ids have to be integers. Other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).withColumn("id", F.col("id").cast("long")))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()))
-    roots = components(link_classes(classes, reach=reach, leaf=leaf))
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), prints.count())
+    # A class can have an edge in each leaf that it lives in or visits; most have none.
+    roots = components(link_classes(classes, reach=reach, leaf=leaf), classes.count())
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(found, "fp", "left").select(
         F.col("id").alias(id_col),
@@ -222,7 +223,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id go unless no other row is like them. Of rows that repeat an id one stays.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    keep = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count(F.lit(1)).alias("n")))
+    keep = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count(F.lit(1)).alias("n")), docs.count())
     once = docs.join(keep.select(F.col(id_col).alias("_keep")).distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
     if keep.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty() and not keep.groupBy(id_col).count().where("count > 1").count():
         return once

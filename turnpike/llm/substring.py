@@ -194,7 +194,7 @@ def remove_repeats(
     digest = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("d")).where(F.col("d").isNotNull() & F.col("_id").isNotNull())
     first = digest.groupBy("d").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where(F.col("first") < F.col("last"))
     copies = digest.join(first, "d").groupBy("_id").agg(F.max(F.col("first") < F.col("_id")).alias("all_copies"), F.min(F.col("first") < F.col("_id")).alias("copy"))
-    copies = cut(copies.where(F.col("copy") & F.col("all_copies")).select(F.col("_id").alias("copy_id")))
+    copies = cut(copies.where(F.col("copy") & F.col("all_copies")).select(F.col("_id").alias("copy_id")), base.count())
     seeds = _shared_seeds(base, length, seed_words).withColumnRenamed("doc", "seed_id")
     spread = base.join(seeds, F.col("_id") == F.col("seed_id"), "left").join(copies, F.col("_id") == F.col("copy_id"), "left")
     repeats = _repeating(spread.select("_id", "_text", "seeds", F.col("copy_id").isNotNull().alias("copy")), length, seed_words)

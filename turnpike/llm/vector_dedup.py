@@ -96,10 +96,11 @@ def near_vectors(
     classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"))
     # Classes are numbered by half of their digest.
     number = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
-    classes = cut(classes.withColumn("class", number))
+    n = rows.count()
+    classes = cut(classes.withColumn("class", number), n)
     found = cut(_search(classes, threshold, tables_for(recall, projections, width), projections, width, block))
     others = found.where(F.col("root").isNull()).groupBy("class").agg(F.sum("n").alias("others"))
-    roots = components(found.where(F.col("root").isNotNull()).select(F.col("class").alias("a"), F.col("root").alias("b")))
+    roots = components(found.where(F.col("root").isNotNull()).select(F.col("class").alias("a"), F.col("root").alias("b")), n)
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class"))
     lowest = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
     told = grouped.join(lowest, "group").join(others, "class", "left").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component_id")
