@@ -1,0 +1,15 @@
+"""Cuts in a lineage: the shared checkpoint folder of the session."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the folder that ``spark.checkpoint.dir`` names; in a folder of our own only where it is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnpike-checkpoint-"))
+    return df.checkpoint(eager=True)
