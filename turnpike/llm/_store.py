@@ -16,7 +16,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 #: Rows that one checkpoint file should hold at least, where their number is known.
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 50_000
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:

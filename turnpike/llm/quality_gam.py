@@ -163,21 +163,23 @@ def training_labels(labels: DataFrame, label_col: str, *, id_col: str = "doc_id"
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", modulus: int = 4, held_out: int = 2, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Gam:
     """Fit on at most ``most`` labelled rows; that many ids are broadcast and that many rows of measures collected."""
     chosen = F.broadcast(training_labels(labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most))
-    known = docs.join(chosen, docs[id_col] == chosen["label_id"])
-    measured = _measured(known.select(F.struct(F.col("label_id").alias("i"), F.col("y")).alias("id"), F.col(text_col).alias("t")), "id", "t")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    known = texts.join(chosen, F.col("doc") == F.col("label_id"))
+    measured = _measured(known.select(F.struct(F.col("label_id").alias("i"), F.col("y")).alias("id"), "t"), "id", "t")
     rows = sorted(measured.select("id.i", "id.y", "x").toPandas().itertuples(index=False, name=None), key=lambda r: (r[0], tuple(r[2])))
     x = np.array([r[2] for r in rows], dtype=np.float64).reshape(-1, len(MEASURES))
     return fit(x, np.array([r[1] for r in rows], dtype=np.float64))
 
 
-def score(docs: DataFrame, model: Gam, *, threshold: float = 0.7, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Gam, *, threshold: float = 0.7, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """``id_col, score, predicted`` and the ``carry`` columns for every row; a map without shuffle.
 
-    ``predicted`` is 1 if the score reaches ``threshold``. Null and wordless texts have all measures 0 and a score like any other.
+    ``predicted`` is 1 if the score reaches ``threshold``. Null and wordless texts have all measures 0 and a score
+    like any other. Repeated rows give repeated rows, an empty table none; columns that aren't carried are not read.
     """
     names = list(dict.fromkeys((id_col, *carry)))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
-    texts = [F.col(c) for c in names] + [F.col(text_col).cast("binary").alias("__tp_text")]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{score_col}` double, `{predicted_col}` int"
+    texts = [F.col(f"`{c}`") for c in names] + [F.col(text_col).cast("binary").alias("__tp_text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -185,6 +187,12 @@ def score(docs: DataFrame, model: Gam, *, threshold: float = 0.7, carry: tuple[s
             x = np.array([measure(t.as_py() or b"", memory)[1] for t in batch.column(len(names))], dtype=np.float64).reshape(-1, len(MEASURES))
             p = model.score(x)
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, score_col, predicted_col])
 
     return docs.select(*texts).mapInArrow(run, schema)
+
+
+def accept(docs: DataFrame, model: Gam, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model accepts."""
+    judged = score(docs, model, carry=tuple(docs.columns), score_col="__tp_score", predicted_col="__tp_predicted", **how)
+    return judged.where("__tp_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     keep = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count(F.lit(1)).alias("n")), docs.count())
-    once = docs.join(keep.select(F.col(id_col).alias("_keep")).distinct(), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    once = docs.join(keep.select(F.col(id_col).alias("__tp_keep")).distinct(), F.col(id_col).eqNullSafe(F.col("__tp_keep")), "left_semi")
     if keep.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty() and not keep.groupBy(id_col).count().where("count > 1").count():
         return once
     return once.dropDuplicates([id_col])

@@ -215,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", modul
     Without toxic rows the lexicon is empty and every score is the smoothed share of toxic rows.
     """
     chosen = F.broadcast(training_labels(labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most))
-    known = cut(docs.join(chosen, docs[id_col] == chosen["label_id"]).select("y", F.col(text_col).alias("t")))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    known = cut(texts.join(chosen, F.col("doc") == F.col("label_id")).select("y", "t"))
     sizes = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("toxic")).first()
     n, toxic = sizes["n"], int(sizes["toxic"])
     share = (toxic + 1) / (n + 2)

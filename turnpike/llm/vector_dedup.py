@@ -83,7 +83,7 @@ def near_vectors(
     other rows linked directly, copies included; ``component_id`` is the smallest id reachable, the own id included;
     ``kept`` if that is the own id. Null, empty and zero vectors and those with null or non-finite components link
     with nothing, nor do vectors of different length. Rows with a null id link like others but are never a
-    component's id. Repeated rows are copies of each other. An empty table gives no rows.
+    component's id and never kept. Repeated rows are copies of each other. An empty table gives no rows.
     """
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
@@ -97,7 +97,8 @@ def near_vectors(
     # Classes are numbered by half of their digest.
     number = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
     n = rows.count()
-    classes = cut(classes.withColumn("class", number), n)
+    # Vectors are wide, and each is hashed many times next: more files than their number alone would give.
+    classes = cut(classes.withColumn("class", number), 16 * n)
     found = cut(_search(classes, threshold, tables_for(recall, projections, width), projections, width, block))
     others = found.where(F.col("root").isNull()).groupBy("class").agg(F.sum("n").alias("others"))
     roots = components(found.where(F.col("root").isNotNull()).select(F.col("class").alias("a"), F.col("root").alias("b")), n)
@@ -110,7 +111,7 @@ def near_vectors(
         F.col("id").alias(id_col),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.col("component_id").isNull()).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
 
 
