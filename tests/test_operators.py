@@ -42,10 +42,19 @@ def test_stand_key(spark, text, key):
 
 def test_rolling_window_is_half_open(spark):
     rows = [("A", 0), ("A", 1800 * S), ("A", 1800 * S - 1), ("B", 5)]
-    f = spark.createDataFrame(rows, "k string, t long").withColumn("n", temporal.rolling_count(["k"], "t", -1800, 0)).withColumn("m", temporal.rolling_count(["k"], "t", 0, 1800))
+    f = temporal.rolling_counts(spark.createDataFrame(rows, "k string, t long"), by=["k"], time="t", windows={"n": (-1800, 0), "m": (0, 1800)}, block=600)
     assert {(r.k, r.t): (r.n, r.m) for r in f.collect()} == {("A", 0): (1, 2), ("A", 1800 * S - 1): (2, 1), ("A", 1800 * S): (2, 0), ("B", 5): (1, 0)}
 
 
+@pytest.mark.parametrize("block", [1, 7, 86_400])
+def test_rolling_counts_over_block_borders(spark, block):
+    rng = random.Random(block)
+    rows = [(i, rng.choice(["a", None]), rng.choice([rng.randrange(40) * S, None]), rng.random() < 0.5) for i in range(80)]
+    f = temporal.rolling_counts(spark.createDataFrame(rows, "i int, k string, t long, c boolean"), by=["k"], time="t", windows={"n": (-5, 3), "p": (-9, 0)}, counted=F.col("c"), block=block)
+    near = lambda k, t, lo, hi: 0 if t is None else sum(1 for _, k2, t2, c in rows if k2 == k and t2 is not None and c and t + lo * S < t2 <= t + hi * S)
+    assert {r.i: (r.n, r.p) for r in f.collect()} == {i: (near(k, t, -5, 3), near(k, t, -9, 0)) for i, k, t, _ in rows}
+
+
 def asof_brute(left, right, forward):
     out = {}
     for i, key, t in left:
@@ -54,14 +63,15 @@ def asof_brute(left, right, forward):
     return out
 
 
+@pytest.mark.parametrize("block", [3, 1000])
 @pytest.mark.parametrize("forward", [False, True])
-def test_asof_against_brute_force(spark, forward):
+def test_asof_against_brute_force(spark, forward, block):
     rng = random.Random(3)
     left = [(i, rng.choice(["a", "b", None]), rng.choice([*range(20), None])) for i in range(60)]
     right = [(100 + i, rng.choice(["a", "b", None]), rng.choice([*range(20), None])) for i in range(40)]
     a = spark.createDataFrame(left, "id long, k string, t long")
     b = spark.createDataFrame(right, "rid long, k string, rt long")
-    got = joins.asof(a, b, by=["k"], left_time="t", right_time="rt", right_id="rid", columns=["rid"], forward=forward)
+    got = joins.asof(a, b, by=["k"], left_time="t", right_time="rt", right_id="rid", columns=["rid"], forward=forward, block=block)
     assert {r.id: r.rid for r in got.collect()} == asof_brute(left, right, forward)
 
 
@@ -127,9 +137,12 @@ def test_queue_against_brute_force_and_shift_invariance(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "b", None]), *(t if rng.random() > 0.1 else None for t in (rng.randrange(30), rng.randrange(30), rng.randrange(30)))) for i in range(120)]
     schema = "mvt_id long, k string, s long, e long, a long"
-    got = temporal.queue(spark.createDataFrame(rows, schema), anchor="a", start="s", end="e", by=["k"], prefix="q")
+    got = temporal.queue(spark.createDataFrame(rows, schema), anchor="a", start="s", end="e", by=["k"], prefix="q", recent=0)
     expected = queue_brute(rows)
     assert {r.mvt_id: r.q_ahead for r in got.collect()} == expected
+    cut_up = temporal.queue(spark.createDataFrame([(i, k, *(None if t is None else t * S for t in ts)) for i, k, *ts in rows], schema), anchor="a", start="s", end="e", by=["k"], prefix="q", recent=5, block=4)
+    recent = {i: None if a is None or k is None else sum(1 for _, k2, s2, e2, _ in rows if k2 == k and s2 is not None and e2 is not None and e2 > s2 and a - 5 <= s2 < a) for i, k, _, _, a in rows}
+    assert {r.mvt_id: (r.q_ahead, r.q_recent) for r in cut_up.collect()} == {i: (expected[i], recent[i]) for i in expected}
     shift = [(i, k, *(None if t is None else t + 1000 for t in ts)) for i, k, *ts in rows]
     moved = temporal.queue(spark.createDataFrame(shift, schema), anchor="a", start="s", end="e", by=["k"], prefix="q")
     assert {r.mvt_id: r.q_ahead for r in moved.collect()} == expected

@@ -21,13 +21,15 @@ def lag_with_fallback(rows: DataFrame, group: str, value: str, least: int) -> Da
     """Median per group, the pooled median where a group has fewer than ``least`` rows."""
     pooled = rows.agg(F.percentile(value, 0.5).alias("pooled")).withColumn("_one", F.lit(1))
     by = rows.groupBy(group).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("own")).withColumn("_one", F.lit(1))
-    return by.join(pooled, "_one").select(group, "n", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("pooled")).alias("lag"))
+    # One row, so that the broadcast has a bound.
+    return by.join(F.broadcast(pooled), "_one").select(group, "n", F.when(F.col("n") >= least, F.col("own")).otherwise(F.col("pooled")).alias("lag"))
 
 
 def fixed_effects(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """Intercept per group and the common slope of y on x, by the within transform; y winsorised at its 1 % and 99 %."""
     bounds = rows.agg(F.percentile(y, 0.01).alias("lo"), F.percentile(y, 0.99).alias("hi")).withColumn("_one", F.lit(1))
-    frame = rows.withColumn("_one", F.lit(1)).join(bounds, "_one").withColumn("_y", clip(y, F.col("lo"), F.col("hi"))).withColumn("_x", F.col(x))
+    # One row, so that the broadcast has a bound; without it all rows would meet under the one key.
+    frame = rows.withColumn("_one", F.lit(1)).join(F.broadcast(bounds), "_one").withColumn("_y", clip(y, F.col("lo"), F.col("hi"))).withColumn("_x", F.col(x))
     g = frame.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx")
     )

@@ -19,11 +19,13 @@ def asof(
     right_id: str,
     columns: Sequence[str],
     forward: bool = False,
+    block: int = 7 * 86_400_000_000,
 ) -> DataFrame:
     """Add to each left row the ``columns`` of the right row nearest in time at or before it (``forward``: at or after).
 
-    Both sides are united and one ordered window per key carries the last right row, so the cost is a sort, not a
-    join of all pairs. Equal times match in both directions; of right rows at one time the largest id wins backward
+    Both sides are united and an ordered window per key and time block carries the last right row, so the cost is a
+    sort, not a join of all pairs. What a block carries over from the blocks before it comes from one row per key and
+    block, so no task holds a whole key. Equal times match in both directions; of right rows at one time the largest id wins backward
     and the smallest forward. A null key or time matches nothing. Row order among the left rows doesn't matter.
     """
     payload = F.struct(*[F.col(c).alias(c) for c in columns])
@@ -37,17 +39,23 @@ def asof(
     on_right = right.where(usable & F.col(right_time).isNotNull()).select(
         *keys, F.col(right_time).alias("_t"), F.lit(1 if forward else 0).alias("_side"), F.col(right_id).cast("bigint").alias("_id"), payload.cast(kind).alias("_p"), F.lit(None).cast(row_type).alias("_row")
     )
-    both = on_left.unionByName(on_right)
+    both = on_left.unionByName(on_right).withColumn("_b", F.floor(F.col("_t") / block))
+    order = Window.partitionBy(*names, "_b").orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_id").asc())
+    blocks = Window.partitionBy(*names).orderBy("_b")
+    at = F.struct("_t", "_id")
     if forward:
         # Right rows sort after left rows of their time; looking ahead, the first is the smallest id.
-        frame = Window.partitionBy(*names).orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_id").asc()).rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("_p", ignorenulls=True).over(frame)
+        found = F.first("_p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        edge, beyond = F.min_by("_p", F.when(F.col("_p").isNotNull(), at)), F.first("edge", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing))
     else:
-        frame = Window.partitionBy(*names).orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_id").asc()).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_p", ignorenulls=True).over(frame)
+        found = F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        edge, beyond = F.max_by("_p", F.when(F.col("_p").isNotNull(), at)), F.last("edge", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
     known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]) & F.col("_t").isNotNull()
-    matched = both.withColumn("_f", F.when(known, found)).where(F.col("_row").isNotNull())
-    return matched.select("_row.*", *[F.col(f"_f.{c}").alias(c) for c in columns])
+    edges = both.where(known).groupBy(*names, "_b").agg(edge.alias("edge"))
+    carried = edges.select(*[F.col(n).alias(f"_c{n}") for n in names], F.col("_b").alias("_cb"), beyond.alias("_far"))
+    same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_c{n}") for n in names]) & (F.col("_b") == F.col("_cb"))
+    matched = both.withColumn("_near", F.when(known, found)).where(F.col("_row").isNotNull()).join(carried, same, "left")
+    return matched.withColumn("_f", F.coalesce("_near", "_far")).select("_row.*", *[F.col(f"_f.{c}").alias(c) for c in columns])
 
 
 def backoff(rows: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame]], value: str, default: Column | float | None = None) -> DataFrame:
@@ -80,7 +88,7 @@ def band(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time: str
     return a.join(b, reduce(lambda x, y: x & y, on)).drop("_bucket", "_bucket_r")
 
 
-def greedy_one_to_one(pairs: DataFrame, *, left: str, right: str, cost: Sequence[str], rounds: int = 64) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, *, left: str, right: str, cost: Sequence[str]) -> DataFrame:
     """The pairs that a greedy pass over ascending cost would take, each side once.
 
     With a strict order (cost, then both ids) that is what repeated mutual-best rounds give: pairs that are the best of

@@ -16,10 +16,30 @@ def rolling_count(by: Sequence[str], time: str, start: int, end: int) -> Column:
     return F.count(F.lit(1)).over(frame)
 
 
+def rolling_counts(rows: DataFrame, *, by: Sequence[str], time: str, windows: dict[str, tuple[int, int]], counted: Column | None = None, block: int = 86_400) -> DataFrame:
+    """Add counts of (``counted``) rows of the key with time in (t + start, t + end] for each named window.
+
+    A key is cut into blocks of ``block`` seconds, and rows near a border are repeated in the next block, so a key
+    with a third of all rows spreads over as many tasks as it has blocks. All windows share one exchange and sort.
+    Rows with a null time count nothing and aren't counted.
+    """
+    back, ahead = max(0, *(-s for s, _ in windows.values())), max(0, *(e for _, e in windows.values()))
+    size, own = block * MICROS, F.floor(F.col(time) / (block * MICROS))
+    blocks = F.sequence(F.floor((F.col(time) - ahead * MICROS) / size), F.floor((F.col(time) + back * MICROS) / size))
+    spread = rows.withColumn("_own", own).withColumn("_block", F.explode(F.coalesce(blocks, F.array(F.lit(None).cast("bigint")))))
+    one = F.lit(1) if counted is None else F.when(counted, 1)
+
+    def count(start: int, end: int) -> Column:
+        frame = Window.partitionBy(*by, "_block").orderBy(time).rangeBetween(start * MICROS + 1, end * MICROS)
+        return F.when(F.col(time).isNotNull(), F.count(one).over(frame)).otherwise(F.lit(0)).cast("bigint")
+
+    out = spread.withColumns({name: count(start, end) for name, (start, end) in windows.items()})
+    return out.where(F.col("_block").eqNullSafe(F.col("_own"))).drop("_own", "_block")
+
+
 def around_count(rows: DataFrame, *, by: Sequence[str], time: str, counted: Column, back: int, ahead: int, name: str) -> DataFrame:
     """Add the number of ``counted`` rows with time in (t - back, t + ahead] of each row."""
-    frame = Window.partitionBy(*by).orderBy(time).rangeBetween(-back * MICROS + 1, ahead * MICROS)
-    return rows.withColumn(name, F.sum(counted.cast("bigint")).over(frame))
+    return rolling_counts(rows, by=by, time=time, windows={name: (-back, ahead)}, counted=counted)
 
 
 def previous_gap(by: Sequence[str], time: str, tie: str) -> Column:
@@ -42,20 +62,11 @@ def congestion(m: DataFrame) -> DataFrame:
     """
     dep = m.where("phase = 'DEP'").select("mvt_id", "airport", "runway", "t_us")
     by_runway = ["airport", "runway"]
-    a = dep.withColumns(
-        {
-            "n_30_prev": rolling_count(["airport"], "t_us", -1800, 0),
-            "n_60_prev": rolling_count(["airport"], "t_us", -3600, 0),
-            "n_15_next": rolling_count(["airport"], "t_us", 0, 900),
-        }
-    )
-    r = a.withColumns(
-        {
-            "n_rwy_30_prev": F.when(F.col("runway").isNotNull(), rolling_count(by_runway, "t_us", -1800, 0)),
-            "n_rwy_15_next": F.when(F.col("runway").isNotNull(), rolling_count(by_runway, "t_us", 0, 900)),
-            "gap": previous_gap(by_runway, "t_us", "mvt_id"),
-        }
-    )
+    a = rolling_counts(dep, by=["airport"], time="t_us", windows={"n_30_prev": (-1800, 0), "n_60_prev": (-3600, 0), "n_15_next": (0, 900)})
+    r = rolling_counts(a, by=by_runway, time="t_us", windows={"n_rwy_30_prev": (-1800, 0), "n_rwy_15_next": (0, 900)})
+    known = F.col("runway").isNotNull()
+    r = r.withColumns({c: F.when(known, F.col(c)) for c in ("n_rwy_30_prev", "n_rwy_15_next")})
+    r = r.withColumn("gap", previous_gap(by_runway, "t_us", "mvt_id"))
     r = runs(r, by=by_runway, order=["t_us", "mvt_id"], breaks=F.coalesce(F.col("gap"), F.lit(9999)) >= 120, run="run")
     place = F.row_number().over(Window.partitionBy("airport", "runway", "run").orderBy("t_us", "mvt_id")) - 1
     return r.withColumn("run_place", place).withColumn("pressure", F.col("n_30_prev") / 30.0)
@@ -88,34 +99,48 @@ def change_segments(bins: DataFrame, seconds: int = 300, gap_hours: int = 24) ->
     return frame.withColumn("mins_since_change", ((F.col("bin") - start) * seconds / 60).cast("bigint")).drop("_before", "_bin_before")
 
 
-def queue(m: DataFrame, *, anchor: str, start: str, end: str, by: Sequence[str], prefix: str, recent: int | None = None) -> DataFrame:
+def queue(m: DataFrame, *, anchor: str, start: str, end: str, by: Sequence[str], prefix: str, recent: int | None = None, block: int = 86_400) -> DataFrame:
     """For each row the countable rows of its key under way at its anchor: started strictly before and not yet ended.
 
     A sweep: ends, anchors and starts are sorted together and running sums count what is open, so the cost is a sort
-    and not a join of all pairs. Countable rows have end > start. Ends at an anchor are over, starts at it haven't
-    begun. ``recent`` adds the starts in [anchor - recent, anchor) seconds. A null anchor or key gives nulls.
+    and not a join of all pairs. Running sums are taken inside blocks of ``block`` seconds and shifted by the totals
+    of the key's earlier blocks, so no task holds a whole key. Countable rows have end > start. Ends at an anchor are
+    over, starts at it haven't begun. ``recent`` adds the starts in [anchor - recent, anchor) seconds: the starts
+    before the anchor less those before its lower end. A null anchor or key gives nulls.
     """
-    key = [F.col(k) for k in by]
-    marks = m.where((F.col(end) > F.col(start))).select(
-        *key, F.explode(F.array(F.struct(F.col(end).alias("t"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), F.col(start).alias("s")), F.struct(F.col(start).alias("t"), F.lit(2).alias("kind"), F.lit(1).alias("step"), F.col(start).alias("s")))).alias("e")
-    )
-    marks = marks.select(*by, "e.t", "e.kind", "e.step", (F.col("e.step") * F.col("e.s")).alias("weighted"), F.lit(None).cast("bigint").alias("mvt_id"))
-    asks = m.where(F.col(anchor).isNotNull()).select(*key, F.col(anchor).alias("t"), F.lit(1).alias("kind"), F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("weighted"), F.col("mvt_id"))
-    both = marks.unionByName(asks)
-    w = Window.partitionBy(*by).orderBy("t", "kind", "mvt_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn(f"{prefix}_ahead", F.sum("step").over(w)).withColumn("_starts", F.sum("weighted").over(w))
+    none = F.lit(0).cast("bigint")
+
+    def mark(t: Column, kind: int, step: int, weight: Column, begun: int, ask: str | None) -> Column:
+        return F.struct(t.alias("t"), F.lit(kind).alias("kind"), F.lit(step).alias("step"), weight.alias("weight"), F.lit(begun).alias("begun"), F.lit(ask).cast("string").alias("ask"))
+
+    stays = F.coalesce(F.col(end) > F.col(start), F.lit(False))
+    marks = [F.when(stays, mark(F.col(end), 0, -1, -F.col(start), 0, None)), F.when(stays, mark(F.col(start), 2, 1, F.col(start), 1, None))]
+    asked = F.col(anchor).isNotNull()
+    marks.append(F.when(asked, mark(F.col(anchor), 1, 0, none, 0, "now")))
     if recent is not None:
-        back = Window.partitionBy(*by).orderBy("t").rangeBetween(-recent * MICROS, -1)
-        out = out.withColumn(f"{prefix}_recent", F.coalesce(F.sum(F.when(F.col("kind") == 2, 1)).over(back), F.lit(0)))
-    out = out.where("kind = 1")
-    n = F.col(f"{prefix}_ahead")
-    wait = F.when(n > 0, F.least(F.greatest((n * F.col("t") - F.col("_starts")) / MICROS / n, F.lit(0.0)), F.lit(3600.0))).otherwise(0.0)
-    known = [F.col(k).isNotNull() for k in by]
-    ok = known[0] if len(known) == 1 else known[0] & known[1]
-    columns = [F.when(ok, n).cast("bigint").alias(f"{prefix}_ahead"), F.when(ok, wait).alias(f"{prefix}_wait")]
+        marks.append(F.when(asked, mark(F.col(anchor) - recent * MICROS, 1, 0, none, 0, "then")))
+    events = m.select(*by, "mvt_id", F.explode(F.array(*marks)).alias("e")).where(F.col("e").isNotNull()).select(*by, "mvt_id", "e.*").withColumn("block", F.floor(F.col("t") / (block * MICROS)))
+    sums = {"open": "step", "starts": "weight", "begun_before": "begun"}
+    totals = events.groupBy(*by, "block").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("block").alias("_block"), *[F.coalesce(F.sum(n).over(earlier), none).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "block").orderBy("t", "kind", "mvt_id").rowsBetween(Window.unboundedPreceding, 0)
+    asks = events.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).where("ask is not null")
+    same = F.col("block") == F.col("_block")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    asks = asks.join(carried, same).select("mvt_id", *by, "ask", "t", *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+    n, t = F.col("open"), F.col("t")
+    wait = F.when(n > 0, F.least(F.greatest((n * t - F.col("starts")) / MICROS / n, F.lit(0.0)), F.lit(3600.0))).otherwise(0.0)
+    known = F.col(by[0]).isNotNull()
+    for k in by[1:]:
+        known = known & F.col(k).isNotNull()
+    now = known & (F.col("ask") == "now")
+    columns = [F.max(F.when(now, n)).cast("bigint").alias(f"{prefix}_ahead"), F.max(F.when(now, wait)).alias(f"{prefix}_wait")]
     if recent is not None:
-        columns.append(F.when(ok, F.col(f"{prefix}_recent")).cast("bigint").alias(f"{prefix}_recent"))
-    return m.select("mvt_id").join(out.select("mvt_id", *columns), "mvt_id", "left")
+        before = F.when(F.col("ask") == "now", F.col("begun_before")).otherwise(-F.col("begun_before"))
+        columns.append(F.sum(F.when(known, before)).cast("bigint").alias(f"{prefix}_recent"))
+    return m.select("mvt_id").join(asks.groupBy("mvt_id").agg(*columns), "mvt_id", "left")
 
 
 def surface_runs(points: DataFrame, *, by: Sequence[str], time: str, speed: str, slow: float = 40.0, gap: int = 1200, takeoff: int = 120) -> DataFrame:
