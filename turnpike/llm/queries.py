@@ -16,8 +16,17 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: White space that is not part of a word, as DuckDB text.
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: (verdict, host, path): fixed values of the query.
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
+
 _BOUNDED = "regexp_matches(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({})([^a-z0-9]|$)')"
-_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")))
+_RULE_ROWS = ", ".join(str(rule) for rule in URL_RULES)
 
 OP5 = f"""
 with rest as (
@@ -151,16 +160,6 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
-#: (verdict, host, path): fixed values of the query.
-URL_RULES = (
-    ("block", "com", "/en/"),
-    ("allow", "example.com", "/en/7"),
-    ("allow", "net", "/de/"),
-    ("block", "example.net", "/de/8"),
-    ("block", "org", "/es/"),
-)
-
-
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
