@@ -59,13 +59,14 @@ def stand_links(m: DataFrame) -> DataFrame:
     return linked.select("mvt_id", "link_id", "typed", age.alias("turn_secs"), secs_between("next_us", "sched_us").alias("to_next_secs"), tier.alias("link_tier"), "link_us", "next_us")
 
 
-def rotation(m: DataFrame, links: DataFrame) -> DataFrame:
-    """Seconds between the clocks of a departure and of the arrival linked to it."""
+def rotation(m: DataFrame, links: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Seconds between the clocks of a departure and of the arrival linked to it, and the ``keep`` columns of the links."""
     arr = m.where("phase = 'ARR'").select(F.col("mvt_id").alias("link_id"), F.col("sched_us").alias("a_sched"), F.col("t_us").alias("a_t"), F.col("actype").alias("a_type"), F.col("taxi").alias("a_taxi"))
     dep = m.where("phase = 'DEP'").select("mvt_id", "sched_us", "t_us", "actype")
     joined = dep.join(links, "mvt_id").join(arr, "link_id", "left")
     return joined.select(
         "mvt_id",
+        *keep,
         secs_between("sched_us", "a_sched").alias("sched_turn"),
         secs_between("a_t", "a_sched").alias("arr_delay"),
         secs_between("t_us", "a_t").alias("air_to_air"),
@@ -102,8 +103,7 @@ def build_features(m: DataFrame, *, places: DataFrame | None = None, queue: bool
         calendar(seen.where("phase = 'DEP'")),
         temporal.congestion(seen).select("mvt_id", "n_30_prev", "n_60_prev", "n_15_next", "n_rwy_30_prev", "n_rwy_15_next", "gap", "run_place", "pressure"),
         temporal.around_count(seen, by=["airport"], time="t_us", counted=F.col("phase") == "ARR", back=1800, ahead=1800, name="n_arr_around").where("phase = 'DEP'").select("mvt_id", "n_arr_around"),
-        links.select("mvt_id", "link_id", "turn_secs", "to_next_secs", "link_tier"),
-        rotation(seen, links),
+        rotation(seen, links, keep=("link_id", "turn_secs", "to_next_secs", "link_tier")),
     ]
     if places is not None:
         families.append(geometry(seen.where("phase = 'DEP'"), places))
