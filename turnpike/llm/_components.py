@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is a partial ``min`` per node and an equi-join, so a hub's edges are combined before the
-shuffle and its join partition can be split at run time. Edges are only ever re-pointed at smaller
+Each round is a partial ``min`` per node, so a hub's edges are combined before the shuffle, and an equi-join
+under a salt, so that they are dealt to several tasks. Edges are only ever re-pointed at smaller
 nodes, their number never grows, and nothing but two totals per round reaches the driver.
 """
 
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from turnpike.llm._store import cut
 
 
+#: Parts that a node's edges are dealt into for the join with its minimum.
+SALTS = 8
+
+
 def _totals(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,8 +41,10 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         large = (
-            both.join(low, "u")
+            both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("bigint"))
+            .join(low, ["u", "salt"])
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
