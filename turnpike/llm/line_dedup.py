@@ -46,7 +46,9 @@ def spread_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, id_col: str = "
     many = F.col("n") >= min_sites
     possible = bounds.where((many & (F.col("low") < F.col("high"))) if min_sites > 1 else many).select("line")
     # Pairs that can matter are far fewer than lines; there are rarely more than documents, which sizes the files.
-    candidates = cut(found.join(possible, "line", "left_semi").groupBy("line", "site").agg(F.min("id").alias("id")), docs.count())
+    # Occurrences become pairs on the map side, so that a line of all documents brings a row per site and task.
+    pairs = found.groupBy("line", "site").agg(F.min("id").alias("id"))
+    candidates = cut(pairs.join(possible, "line", "left_semi"), docs.count())
     sketched = candidates.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_K))).alias("estimate"), F.min("id").alias("first_id"))
     near = sketched.where(F.col("estimate").between(NEAR[0] * min_sites, NEAR[1] * min_sites))
     exact = candidates.join(near.select("line", "first_id"), "line").groupBy("line", "first_id").agg(F.count_distinct("site").alias("sites"))
