@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 #: Pieces in a generation of what one worker remembers. It bounds memory and changes no result.
 PIECE_MEMORY = 250_000
-PAIR_MEMORY = 1_000_000
+#: Token pairs whose compatibility one worker remembers.
+PAIR_MEMORY = 400_000
 #: Longer pieces are encoded anew each time.
 LONGEST_KEPT = 64
 _NEVER = 1 << 60
@@ -80,7 +81,7 @@ class ByteBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split_any = regex.compile(pattern).findall
         self.split_ascii = re.compile(ascii_pattern(pattern), re.ASCII).findall
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.shorter_of: dict[int, int] = {}
         self.last_merge: dict[int, tuple[int, int] | None] = {}
         self.unreachable: dict[int, bool] = {}
@@ -125,7 +126,7 @@ class ByteBpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives just these two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= PAIR_MEMORY:
                 self.pairs.clear()
