@@ -32,6 +32,8 @@ from turnpike.llm._text import WordHashes, rolling_hash
 SEED_WORDS = 4
 #: Salts for rows that are decided before the shuffle.
 SALTS = 64
+#: Salts for the copies of one document.
+COPY_SALTS = 16
 _ROWS = 250_000
 _PORTION = 1_500_000
 
@@ -193,7 +195,10 @@ def remove_repeats(
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     digest = docs.select(F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("d")).where(F.col("d").isNotNull() & F.col("_id").isNotNull())
     first = digest.groupBy("d").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where(F.col("first") < F.col("last"))
-    copies = digest.join(first, "d").groupBy("_id").agg(F.max(F.col("first") < F.col("_id")).alias("all_copies"), F.min(F.col("first") < F.col("_id")).alias("copy"))
+    # A group of copies may hold a third of all rows: it meets its first row under several salts.
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPY_SALTS - 1).cast("bigint"))))
+    salted = digest.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(COPY_SALTS)).cast("bigint"))
+    copies = salted.join(first, ["d", "salt"]).groupBy("_id").agg(F.max(F.col("first") < F.col("_id")).alias("all_copies"), F.min(F.col("first") < F.col("_id")).alias("copy"))
     copies = cut(copies.where(F.col("copy") & F.col("all_copies")).select(F.col("_id").alias("copy_id")), base.count())
     seeds = _shared_seeds(base, length, seed_words).withColumnRenamed("doc", "seed_id")
     spread = base.join(seeds, F.col("_id") == F.col("seed_id"), "left").join(copies, F.col("_id") == F.col("copy_id"), "left")
