@@ -127,6 +127,19 @@ def test_targets_and_taken(spark):
     assert mixture.mix(f.where("text is null or text = ''")).agg(F.sum("taken"), F.max("target")).first()[:2] == (0, 0.0)
 
 
+def test_small_sources_reach_their_targets_beside_large_ones(spark):
+    """With few slots for many words, even blocks would be larger than the small sources."""
+    rng = random.Random(12)
+    sizes = {f"large{k}": 40_000 for k in range(8)} | {f"small{k:02}": 500 + 97 * k for k in range(30)}
+    rows = [(s, n) for s, total in sizes.items() for n in [100] * (total // 100) + [total % 100]]
+    rng.shuffle(rows)
+    f = spark.createDataFrame([(i, "w " * n, "en", s, 0, "x") for i, (s, n) in enumerate(rows)], DOCS)
+    got = mixture.mix(f, slots=128).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == len(sizes)
+    for r in got:
+        assert abs(r.taken - r.target) <= max(0.02 * r.target, 6 * mixture.LEAST_BLOCK), r
+
+
 def test_mixed_corpus_holds_the_words_taken(spark):
     f = spark.createDataFrame([(i, t, "en", s, 0, "x") for i, t, s in mixed_rows()[:-1]], DOCS)
     plan = {(r.doc_id, r.source): r.taken for r in mixture.mix(f).collect()}

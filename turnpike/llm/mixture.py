@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame operations only.
 
-The schedule is a sequence of slots of equal token counts. Slot ``i`` has the point frac(i * golden ratio),
+The schedule is a sequence of slots, of equal token counts within a source. Slot ``i`` has the point frac(i * golden ratio),
 in exact integer arithmetic, and belongs to the source in whose share of the cumulative weights the point
 falls, so every prefix of the schedule is close to the targets. The slots of a source are ranked, and slot
-``r`` takes the ``r``-th block of the source's shuffled token stream, starting over when it ends.
+``r`` takes the ``r``-th block of the source's shuffled token stream, starting over when it ends. Blocks of a
+small source are smaller than the others', and its share of the slots is larger by as much.
 
 Ranks and offsets are prefix sums in two levels (within a bucket, then over buckets), so that a source with
 a third of all rows spreads over as many tasks as there are buckets. No text is moved to plan a mix.
@@ -14,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a schedule; with it the rows of a plan stay bounded whatever the corpus.
+#: Slots of a schedule that large sources share; with it the rows of a plan stay bounded whatever the corpus.
 SLOTS = 1 << 20
+#: Slots that the target of any source comes in at least, down to the least block; they add to the others.
+PARTS = 1024
 #: The least number of words of a block.
 LEAST_BLOCK = 8
 #: Passes over a source that a mix may take.
@@ -117,16 +120,18 @@ def mix(
     in_order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     # Whole words from here on: sums are exact in any order, so reruns agree.
     shares = sizes.withColumn("goal", F.round("target").cast("long"))
-    total = F.sum("goal").over(every)
-    shares = shares.withColumn("block", F.greatest(F.lit(LEAST_BLOCK), F.ceil(total / F.lit(slots))).cast("long"))
-    up_to = F.sum("goal").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    shares = shares.withColumn("high", F.when(total > 0, F.floor(up_to / total * F.lit(CYCLE))).otherwise(0).cast("long"))
+    even, own = F.ceil(F.sum("goal").over(every) / F.lit(slots)), F.ceil(F.col("goal") / F.lit(PARTS))
+    shares = shares.withColumn("block", F.greatest(F.lit(LEAST_BLOCK), F.least(even, own)).cast("long"))
+    shares = shares.withColumn("up_to", F.sum(F.col("goal") / F.col("block")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.max("up_to").over(every)
+    shares = shares.withColumn("high", F.when(total > 0, F.floor(F.col("up_to") / total * F.lit(CYCLE))).otherwise(0).cast("long"))
     shares = shares.withColumn("low", F.coalesce(F.lag("high").over(in_order), F.lit(0)))
-    needed = F.ceil(total / F.col("block")).cast("long")
-    shares = shares.withColumn("slots", needed).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    shares = shares.withColumn("slots", F.ceil(total).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    # Even blocks come to at most ``slots``, own ones to PARTS a source.
+    most = slots + PARTS * base.select("source").distinct().count()
 
     # Slots -> how often each block of a source is taken.
-    slot_rows = schedule(shares.select("source", "low", "high", "slots", "blocks"), slots)
+    slot_rows = schedule(shares.select("source", "low", "high", "slots", "blocks"), most)
     info = shares.select(F.col("source").alias("s"), "slots", "blocks")
     uses = slot_rows.join(info, F.col("source").eqNullSafe(F.col("s"))).where((F.col("slot") < F.col("slots")) & (F.col("rank") < PASSES * F.col("blocks")))
     uses = uses.groupBy("source", (F.col("rank") % F.col("blocks")).alias("number")).agg(F.count(F.lit(1)).alias("times"))
