@@ -186,6 +186,52 @@ def test_simhash_keeps_one_of_each_group(spark, messy):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
+def shingle_sets(text):
+    w = words(text.lower())
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_similar_texts_are_found(spark):
+    """Recall of pairs from 0.8 on, and no pair below: every kept row and every row gone is compared with brute force."""
+    rng = random.Random(14)
+    rows, alike = [], {}
+    for k in range(600):
+        w = [f"v{rng.randrange(20_000)}" for _ in range(rng.choice([40, 150, 300]))]
+        other = list(w)
+        for _ in range(rng.randrange(1, 1 + max(1, len(w) // 35))):
+            other[rng.randrange(len(w))] = "other"
+        rows += [(2 * k, " ".join(w), "s"), (2 * k + 1, " ".join(other), "s")]
+        x, y = shingle_sets(rows[-2][1]), shingle_sets(rows[-1][1])
+        alike[2 * k + 1] = len(x & y) / len(x | y)
+    gone = {i for i, _, _ in rows} - {r.doc_id for r in simhash.keep_dissimilar(frame(spark, rows)).collect()}
+    due = {i for i, j in alike.items() if j >= 0.8}
+    assert gone <= due and len(due) > 150 and len(alike) - len(due) > 150
+    edge = {i for i in due if alike[i] < 0.85}
+    assert len(gone & due) >= 0.99 * len(due) and len(gone & edge) >= 0.97 * len(edge), (len(gone), len(due), len(gone & edge), len(edge))
+    print("recall", len(gone), len(due), len(gone & edge), len(edge))
+
+
+def test_similar_texts_in_a_crowd(spark):
+    """Near copies of one text that are not all alike are linked over others."""
+    rng = random.Random(15)
+    base = [f"v{rng.randrange(20_000)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(300, " ".join(base).upper(), "s"), (301, None, "s"), (302, " ", "s"), (303, "two words", "s"), (304, "Two  words", "s")]
+    sets = {i: shingle_sets(t or "") for i, t, _ in rows}
+    low = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            low[i] = min(low[j] for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = sorted(r.doc_id for r in simhash.keep_dissimilar(frame(spark, rows)).collect())
+    assert got == sorted(set(low.values()))
+    assert simhash.keep_dissimilar(frame(spark, [])).count() == 0
+
+
 # -- substring dedup
 
 

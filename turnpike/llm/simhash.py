@@ -10,7 +10,7 @@ spanning forest leaves a leaf, so rows stay linear in the classes whatever the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,3 +228,125 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if keep.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty() and not keep.groupBy(id_col).count().where("count > 1").count():
         return once
     return once.dropDuplicates([id_col])
+
+
+def _first_rows(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` that comes first in each group of ``rows(id, digest, *group)``: the smallest id, nulls last.
+
+    Rows are told apart by id and digest of the text, null-safely, so that unlike rows of one id are rows of their own.
+    """
+    counted = rows.groupBy("id", "digest", *group).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col("digest").isNull().alias("none"), "digest", "n")).alias("e"))
+    first = cut(first.select(F.col("e.id").alias("__tp_id"), F.col("e.digest").alias("__tp_digest"), F.col("e.n").alias("n")), rows.count())
+    own = docs[id_col].cast("long").eqNullSafe(F.col("__tp_id")) & F.md5(docs[text_col]).eqNullSafe(F.col("__tp_digest"))
+    once = docs.join(first.select("__tp_id", "__tp_digest"), own, "left_semi")
+    if first.where("n > 1").isEmpty():
+        return once
+    return once.withColumn("__tp_digest", F.md5(text_col)).dropDuplicates([id_col, "__tp_digest"]).drop("__tp_digest")
+
+
+#: Words of a shingle and the share of shared shingles that make two texts near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bands of a text's minimum hashes, and hashes of a band: a pair at 0.8 shares a band with a chance of 0.998.
+BANDS, BAND = 20, 6
+#: Bits of 64 in which fingerprints of a candidate pair may differ. A pair at 0.8 is expected to differ in 9.7, with a deviation of 2.9.
+WIDE = 22
+#: Texts under one band up to which all pairs are candidates; more are dealt into parts of about half as many.
+CROWD = 192
+#: Parts that the pairs of one text are dealt into.
+SALTS = 64
+
+
+def _shingles(data: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles, as in ``fingerprint``."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest, join = xxhash.xxh64_digest, b" ".join
+    grams = [words] if len(words) < shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
+    return np.unique(np.frombuffer(b"".join([digest(join(g), 42) for g in grams]), dtype=">u8").astype(np.uint64))
+
+
+def _sketch(hashes: np.ndarray, mix: np.ndarray, odd: np.ndarray) -> tuple[int, int, list[int]]:
+    """Digest, fingerprint and band keys of a shingle set; an empty one has no bands."""
+    if not len(hashes):
+        return 0, 0, []
+    total, low = np.zeros(64, dtype=np.int64), np.full(len(mix), ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        low = np.minimum(low, ((part[:, None] ^ mix) * odd).min(axis=0))
+    fp = int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big", signed=True)
+    keys = [xxhash.xxh64_intdigest(low[at : at + BAND].tobytes(), at) for at in range(0, len(low), BAND)]
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True), fp, np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose ``sets(node, s)`` have the similarity. A hub ``a`` meets its partners in parts."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    hubs = pairs.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b").join(hubs, ["a", "part"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= F.lit(similarity)).select("a", "b")
+
+
+def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, similarity: float = SIMILARITY, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
+    """``classes(node, fp, bands)`` -> links ``(a, b)`` of nodes, each checked on the sets that ``sets_of(nodes)`` gives.
+
+    First every text meets the smallest under each of its bands. Texts that this leaves in different components
+    meet all others under the band, or those of their part where more than ``crowd`` share it.
+    """
+    rows = classes.select("node", "fp", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int"))
+    low = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("low")).where("n > 1")
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    shared = cut(rows.join(low, ["key", "salt"]).select("key", "node", "fp", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp"), "n"))
+    sets = cut(sets_of(shared.select("node").distinct()))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= wide
+
+    stars = shared.where((F.col("node") != F.col("low")) & near("fp", "low_fp")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(_similar(stars, sets, similarity))
+    roots = components(links)
+    part = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("node", "key"), F.ceil(2 * F.col("n") / crowd))).otherwise(0)
+    left = shared.withColumn("part", part).join(roots, "node", "left").select("key", "part", "node", "fp", "low", F.coalesce("root", "node").alias("root"))
+    other = left.select("key", "part", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("root").alias("other_root"))
+    pairs = left.join(other, ["key", "part"]).where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & (F.col("node") != F.col("low")) & near("fp", "other_fp"))
+    return links.unionByName(cut(_similar(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets, similarity)))
+
+
+def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that come first in their group: links are pairs of texts that share at least
+    ``similarity`` of the word shingles that either has (Jaccard).
+
+    Candidates share a band of minimum hashes and have SimHash fingerprints within ``WIDE`` bits, which vantage
+    points can't prune; each is checked on the exact sets. Texts without words are one group. Rows with a null id
+    go unless no other row is like them; rows of one id with unlike texts are judged each for itself.
+    """
+    rng = np.random.default_rng(42)
+    mix, odd = (rng.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_sketch(_shingles(x.as_py() or b"", shingle), mix, odd) for x in batch.column(2)]
+            node, fp, bands = zip(*found, strict=True) if found else ((), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "fp", "bands"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
+    prints = cut(named.mapInArrow(sketch, "id bigint, digest string, node bigint, fp bigint, bands array<bigint>"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        one = prints.groupBy("node").agg(F.min(F.struct("digest", F.col("id").isNull().alias("no"), "id")).alias("e")).join(nodes, "node")
+        one = one.select("node", F.col("e.digest").alias("of"), F.col("e.id").alias("by"))
+        texts = named.join(one, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
+        return texts.mapInArrow(shingles, "node bigint, s array<bigint>").dropDuplicates(["node"])
+
+    classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
+    roots = components(similar_links(classes, sets_of, similarity=similarity))
+    rows = prints.select("id", "digest", "node").join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("group"))
+    return _first_rows(docs, rows, ["group"], id_col, text_col)
