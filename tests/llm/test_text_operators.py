@@ -186,6 +186,16 @@ def test_simhash_keeps_one_of_each_group(spark, messy):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
+def test_unlike_rows_of_one_id_stay(spark):
+    """Rows under a null id, or under one id, are judged by their texts: one of them is a copy of another document."""
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 80, 4000) for _ in range(4))
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "t"), (None, c, "s"), (5, d, "s"), (5, a, "s"), (5, d, "s")]
+    for keep in (simhash.keep_one, simhash.keep_dissimilar):
+        got = [(r.doc_id, r.text) for r in keep(frame(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, c), (5, d)], key=str)
+
+
 def shingle_sets(text):
     w = words(text.lower())
     return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}

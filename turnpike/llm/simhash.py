@@ -206,28 +206,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     empty table gives none. Ids have to be integers. Other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).withColumn("id", F.col("id").cast("long")))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), prints.count())
-    # A class can have an edge in each leaf that it lives in or visits; most have none.
-    roots = components(link_classes(classes, reach=reach, leaf=leaf), classes.count())
-    found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(found, "fp", "left").select(
+    return prints.join(_class_components(prints, reach, leaf), "fp", "left").select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, that come first in their group: the smallest id of each component.
-
-    Rows with a null id go unless no other row is like them. Of rows that repeat an id one stays.
-    """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    keep = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fingerprint").agg(F.count(F.lit(1)).alias("n")), docs.count())
-    once = docs.join(keep.select(F.col(id_col).alias("__tp_keep")).distinct(), F.col(id_col).eqNullSafe(F.col("__tp_keep")), "left_semi")
-    if keep.where((F.col("n") > 1) | F.col(id_col).isNull()).isEmpty() and not keep.groupBy(id_col).count().where("count > 1").count():
-        return once
-    return once.dropDuplicates([id_col])
+def _class_components(prints: DataFrame, reach: int, leaf: int) -> DataFrame:
+    """``prints(id, fp)`` -> ``(fp, component_id)`` for the fingerprints of rows with an id."""
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull()), prints.count())
+    # A class can have an edge in each leaf that it lives in or visits; most have none.
+    roots = components(link_classes(classes, reach=reach, leaf=leaf), classes.count())
+    return classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
 
 
 def _first_rows(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -245,6 +236,25 @@ def _first_rows(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str,
     return once.withColumn("__tp_digest", F.md5(text_col)).dropDuplicates([id_col, "__tp_digest"]).drop("__tp_digest")
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 3, leaf: int = LEAF) -> DataFrame:
+    """The rows of ``docs``, all columns, that come first in their group: the smallest id of each component.
+
+    Rows with a null id go unless no other row is like them; of those with equal fingerprints one stays. Repeated
+    rows count once, and rows of one id with unlike texts are judged each for itself.
+    """
+    named = docs.select(id_col, text_col, F.md5(text_col).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter((fingerprint(x.as_py() or b"", shingle=shingle) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["id", "digest", "fp"])
+
+    named = named.select(F.col(id_col).cast("long"), "digest", F.col(text_col).cast("binary"))
+    prints = cut(named.mapInArrow(run, "id bigint, digest string, fp bigint"))
+    found = prints.join(_class_components(prints, reach, leaf), "fp", "left")
+    return _first_rows(docs, found.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))), ["component_id", "alone"], id_col, text_col)
+
+
 #: Words of a shingle and the share of shared shingles that make two texts near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a text's minimum hashes, and hashes of a band: a pair at 0.8 shares a band with a chance of 0.998.
