@@ -277,6 +277,13 @@ def _shingles(data: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(join(g), 42) for g in grams]), dtype=">u8").astype(np.uint64))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small batches: the sets of a full one would stay in the memory of a reused worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _sketch(hashes: np.ndarray, mix: np.ndarray, odd: np.ndarray) -> tuple[int, int, list[int]]:
     """Digest, fingerprint and band keys of a shingle set; an empty one has no bands."""
     if not len(hashes):
@@ -336,14 +343,14 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     odd |= np.uint64(1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [_sketch(_shingles(x.as_py() or b"", shingle), mix, odd) for x in batch.column(2)]
             node, fp, bands = zip(*found, strict=True) if found else ((), (), ())
             columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "fp", "bands"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = [_shingles(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
