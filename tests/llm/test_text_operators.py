@@ -277,6 +277,15 @@ def test_repeats_against_brute_force(spark, messy, batch):
     assert sorted(map(tuple, got), key=str) == sorted(repeats_brute(rows), key=str)
 
 
+def test_a_repeated_id_is_a_copy_only_as_a_whole(spark):
+    """A row that copies a smaller document doesn't take the other row of its id along, nor hide it from larger ids."""
+    rng = random.Random(16)
+    a, b, c = (prose(rng, 60, 4000) for _ in range(3))
+    rows = [(1, a, "s"), (5, a, "s"), (5, b, "s"), (9, f"{c} {b}", "s"), (12, a, "s"), (12, a, "s"), (12, None, "s")]
+    got = substring.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(repeats_brute(rows), key=str)
+
+
 def test_repeats_give_text_and_spans(spark):
     passage = " ".join(f"p{i}" for i in range(15))
     f = frame(spark, [(1, f"a b {passage}", "s"), (2, f"{passage} c d", "s"), (3, "p0 p1", "s")])

@@ -198,8 +198,9 @@ def remove_repeats(
     # A group of copies may hold a third of all rows: it meets its first row under several salts.
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(COPY_SALTS - 1).cast("bigint"))))
     salted = digest.withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(COPY_SALTS)).cast("bigint"))
-    copies = salted.join(first, ["d", "salt"]).groupBy("_id").agg(F.max(F.col("first") < F.col("_id")).alias("all_copies"), F.min(F.col("first") < F.col("_id")).alias("copy"))
-    copies = cut(copies.where(F.col("copy") & F.col("all_copies")).select(F.col("_id").alias("copy_id")), base.count())
+    # An id is a copy if all its rows with a text are.
+    copies = salted.join(first, ["d", "salt"], "left").groupBy("_id").agg(F.min(F.coalesce(F.col("first") < F.col("_id"), F.lit(False))).alias("copy"))
+    copies = cut(copies.where("copy").select(F.col("_id").alias("copy_id")), base.count())
     seeds = _shared_seeds(base, length, seed_words).withColumnRenamed("doc", "seed_id")
     spread = base.join(seeds, F.col("_id") == F.col("seed_id"), "left").join(copies, F.col("_id") == F.col("copy_id"), "left")
     repeats = _repeating(spread.select("_id", "_text", "seeds", F.col("copy_id").isNotNull().alias("copy")), length, seed_words)
