@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule; DataFrame operations only.
 
-The schedule is a sequence of slots, of equal token counts within a source. Slot ``i`` has the point frac(i * golden ratio),
+The schedule is a sequence of slots, of equal token counts within a source and as many as its target needs. Slot ``i`` has the point frac(i * golden ratio),
 in exact integer arithmetic, and belongs to the source in whose share of the cumulative weights the point
 falls, so every prefix of the schedule is close to the targets. The slots of a source are ranked, and slot
 ``r`` takes the ``r``-th block of the source's shuffled token stream, starting over when it ends. Blocks of a
-small source are smaller than the others', and its share of the slots is larger by as much.
+small source are smaller than the others', and its share of the slots is larger by as much. Words are counted
+once and kept in the shared checkpoint folder.
 
 Ranks and offsets are prefix sums in two levels (within a bucket, then over buckets), so that a source with
 a third of all rows spreads over as many tasks as there are buckets. No text is moved to plan a mix.
@@ -15,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a schedule that large sources share; with it the rows of a plan stay bounded whatever the corpus.
-SLOTS = 1 << 20
-#: Slots that the target of any source comes in at least, down to the least block; they add to the others.
+from turnpike.llm._store import cut
+
+#: Words of a block of a large source, whatever the corpus: slots grow with the words of the mix.
+BLOCK = 4096
+#: Slots that the target of a smaller source comes in: its blocks are smaller, down to a word.
 PARTS = 1024
-#: The least number of words of a block.
-LEAST_BLOCK = 8
 #: Passes over a source that a mix may take.
 PASSES = 2
 #: frac(i * golden ratio) is (i * STEP mod CYCLE) / CYCLE; STEP is the odd number next to CYCLE / 1.618...
@@ -78,7 +79,7 @@ def _streams(docs: DataFrame, buckets: int) -> DataFrame:
     return joined.select("source", "doc_id", "size", "bucket", "copy", (F.col("base") + F.col("within")).alias("start"))
 
 
-def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
+def schedule(shares: DataFrame, slots: int) -> DataFrame:
     """``shares(source, low, high)``, ranges of [0, CYCLE) -> ``(slot, source, rank)``.
 
     Points find their source by a grid of cells and the exact range, an equi-join in either case.
@@ -102,8 +103,8 @@ def mix(
     *,
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
-    slots: int = SLOTS,
-    buckets: int = 256,
+    block: int = BLOCK,
+    buckets: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -114,21 +115,23 @@ def mix(
     give nothing; a null source is a source of its own, the last in order; null ids take part. Repeated rows are
     documents of their own. With no words at all every target is 0. The result is a function of the rows alone.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    base = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     sizes = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share)
     every = Window.partitionBy()
     in_order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     # Whole words from here on: sums are exact in any order, so reruns agree.
     shares = sizes.withColumn("goal", F.round("target").cast("long"))
-    even, own = F.ceil(F.sum("goal").over(every) / F.lit(slots)), F.ceil(F.col("goal") / F.lit(PARTS))
-    shares = shares.withColumn("block", F.greatest(F.lit(LEAST_BLOCK), F.least(even, own)).cast("long"))
-    shares = shares.withColumn("up_to", F.sum(F.col("goal") / F.col("block")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.max("up_to").over(every)
-    shares = shares.withColumn("high", F.when(total > 0, F.floor(F.col("up_to") / total * F.lit(CYCLE))).otherwise(0).cast("long"))
+    own = F.ceil(F.col("goal") / F.lit(PARTS))
+    shares = shares.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), own)).cast("long"))
+    # Slots are whole numbers, so their sums and the ranges of points come out alike in any order.
+    shares = shares.withColumn("own", F.ceil(F.col("goal") / F.col("block")).cast("long"))
+    shares = shares.withColumn("slots", F.sum("own").over(every)).withColumn("up_to", F.sum("own").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    shares = shares.withColumn("high", F.when(F.col("slots") > 0, F.floor(F.col("up_to") / F.col("slots") * F.lit(CYCLE))).otherwise(0).cast("long"))
     shares = shares.withColumn("low", F.coalesce(F.lag("high").over(in_order), F.lit(0)))
-    shares = shares.withColumn("slots", F.ceil(total).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
-    # Even blocks come to at most ``slots``, own ones to PARTS a source.
-    most = slots + PARTS * base.select("source").distinct().count()
+    shares = shares.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    # One row per source from here on, computed once; the number of slots decides how many points are laid.
+    shares = cut(shares)
+    most = shares.agg(F.coalesce(F.max("slots"), F.lit(0)).alias("n")).first()["n"]
 
     # Slots -> how often each block of a source is taken.
     slot_rows = schedule(shares.select("source", "low", "high", "slots", "blocks"), most)

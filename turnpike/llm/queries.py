@@ -48,7 +48,8 @@ best as (
 )
 select page_id, host, path, rule,
        coalesce(verdict, case when {_BOUNDED.format("|".join(url_filter.STRICT))}
-           or {" + ".join(f"{_BOUNDED.format(t)}::int * {w}" for t, w in url_filter.SOFT.items())} >= {url_filter.SOFT_LIMIT}
+           or (({" + ".join(f"{_BOUNDED.format(t)}::int * {w}" for t, w in url_filter.SOFT.items())}) >= {url_filter.SOFT_LIMIT}
+               and ({" + ".join(f"{_BOUNDED.format(t)}::int" for t in url_filter.SOFT)}) >= {url_filter.SOFT_LEAST})
            then 'block' else 'allow' end) as verdict
 from best
 """
@@ -77,18 +78,18 @@ goals as (
     from (select l.source, l.source_size, case when f.level is null or l.ratio <= f.level then l.cap else l.weight * f.level end as target
           from leveled l, final f)
 ),
-shares as (
-    select *, greatest({mixture.LEAST_BLOCK}, ceil(sum(goal) over ()::double / {mixture.SLOTS}))::bigint as block, sum(goal) over ()::double as total,
-           case when sum(goal) over () > 0 then floor(sum(goal) over (order by source is null, source rows unbounded preceding)::double
-                / sum(goal) over ()::double * {mixture.CYCLE})::bigint else 0 end as high
-    from goals
+blocks as (select *, greatest(1, least({mixture.BLOCK}, ceil(goal / {mixture.PARTS}.0::double)))::bigint as block from goals),
+counted as (select *, ceil(goal::double / block)::bigint as own from blocks),
+running as (
+    select *, (sum(own) over (order by source is null, source rows unbounded preceding))::bigint as up_to, (sum(own) over ())::bigint as slots from counted
 ),
+shares as (select *, case when slots > 0 then floor(up_to::double / slots * {mixture.CYCLE})::bigint else 0 end as high from running),
 ranges as (
-    select *, coalesce(lag(high) over (order by source is null, source), 0) as low, ceil(total / block)::bigint as slots,
-           ceil(source_size::double / block)::bigint as blocks
+    select *, coalesce(lag(high) over (order by source is null, source), 0) as low, ceil(source_size::double / block)::bigint as blocks
     from shares
 ),
-slots as (select i, i * {mixture.STEP} % {mixture.CYCLE} as point from range({mixture.SLOTS}) t(i)),
+points as (select unnest(range((select coalesce(max(slots), 0) from ranges))) as i),
+slots as (select i, (i % {mixture.CYCLE}) * {mixture.STEP} % {mixture.CYCLE} as point from points),
 owned as (
     select r.source, s.i, r.slots, r.blocks, row_number() over (partition by r.source order by s.i) - 1 as rank
     from slots s join ranges r on s.point >= r.low and s.point < r.high
