@@ -30,13 +30,6 @@ def clip(x: Column | str, low: Column | float | None = None, high: Column | floa
     return F.when(x.isNotNull(), out)
 
 
-def nearest_quantile(x: Column | str, q: float) -> Column:
-    """The element at round(q * (n - 1)) of the sorted non-nulls: an aggregate."""
-    values = F.sort_array(F.collect_list(col(x)))
-    at = F.round(F.lit(q) * (F.size(values) - 1)).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(values, F.greatest(at, F.lit(1))))
-
-
 def distinct_with_null(x: Column | str) -> Column:
     """Distinct values, null being one: an aggregate."""
     return F.count_distinct(col(x)) + F.coalesce(F.max(col(x).isNull().cast("int")), F.lit(0))
@@ -57,6 +50,11 @@ def guarded_ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(col(den) > 0, col(num) / col(den))
 
 
+def nan_to_null(x: Column | str) -> Column:
+    """NaN as unknown; other values stay."""
+    return F.when(~F.isnan(col(x)), col(x))
+
+
 def null_safe(predicate: Column) -> Column:
     """Unknown counts as false."""
     return F.coalesce(predicate, F.lit(False))
@@ -79,24 +77,28 @@ def bands(x: Column | str, edges: Sequence[float], labels: Sequence[str]) -> Col
     return F.when(x.isNotNull(), out.otherwise(F.lit(labels[-1])))
 
 
+# Words before a stand's name, letters that tell variants of a stand apart, metres of a degree.
+STAND_WORDS = "GATE|STAND|RAMP|PARKING|APRON|POS"
+VARIANT_LETTERS = "LRABC"
+METRES_EAST, METRES_NORTH = 111_320.0, 110_540.0
+
+
 def stand_key(x: Column | str) -> Column:
-    """Stand names in one spelling: upper case, no leading word, no separators, no leading zeros of numbers."""
-    x = F.upper(col(x))
-    x = F.regexp_replace(x, r"^(STAND|GATE|PARKING|SUPPLIER)[ #_-]*", "")
-    x = F.regexp_replace(x, r"[ #/._-]+", "")
-    return F.regexp_replace(x, r"(^|[A-Z])0+([0-9])", "$1$2")
+    """Stand names in one spelling: upper case, no ``-(X)`` at the end, no leading word, no separators, no leading zeros of numbers."""
+    bare = F.regexp_replace(F.upper(col(x).cast("string")), r"-\([A-Z]\)$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"^({STAND_WORDS})\s*", ""), r"[\s_\-]", "")
+    return F.regexp_replace(bare, r"(^|[A-Z])0+(\d)", "$1$2")
 
 
 def variant_base(x: Column | str) -> Column:
-    """A stand key without a final letter variant."""
-    return F.regexp_replace(col(x), r"([0-9])[A-Z]$", "$1")
+    """A stand key without the letter of a variant after its number."""
+    return F.regexp_replace(col(x), rf"(\d)[{VARIANT_LETTERS}]$", "$1")
 
 
 def planar_metres(lat: Column | str, lon: Column | str, lat0: Column | str, lon0: Column | str) -> tuple[Column, Column]:
     """East and north metres on the tangent plane at (lat0, lon0)."""
-    metre = 111_320.0
-    east = (col(lon) - col(lon0)) * F.cos(F.radians(col(lat0))) * metre
-    return east, (col(lat) - col(lat0)) * metre
+    east = (col(lon) - col(lon0)) * F.cos(F.radians(col(lat0))) * METRES_EAST
+    return east, (col(lat) - col(lat0)) * METRES_NORTH
 
 
 def equal_count_bin(position: Column, total: Column, bins: int) -> Column:

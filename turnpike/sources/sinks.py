@@ -40,9 +40,11 @@ def run_missing(spark: SparkSession, path: str, column: str, keys: Iterable[str]
     return todo
 
 
-def markdown(frame: DataFrame, most: int = 100) -> str:
-    """A report table of an aggregated frame, ``most`` rows at most."""
-    rows = frame.limit(most).collect()
+def markdown(frame: DataFrame, most: int = 10_000) -> str:
+    """A report table of an aggregated frame; one of more than ``most`` rows is no report and is refused."""
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; aggregate it first")
     lines = ["| " + " | ".join(frame.columns) + " |", "|" + " --- |" * len(frame.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows])
 
@@ -61,9 +63,36 @@ def assert_comparable(base: dict, treatment: dict) -> None:
 
 
 def conform(template: DataFrame, predictions: DataFrame, *, id_col: str, value_col: str) -> DataFrame:
-    """The template's ids with predictions, rounded half to even; left to the caller to check."""
+    """The template's ids with predictions, rounded half to even.
+
+    Refused with the counts of ``check_submission`` if a prediction is missing, null, negative or repeated.
+    """
+    issues = {r["issue"]: r["n"] for r in check_submission(template, predictions, id_col=id_col, value_col=value_col).collect()}
+    if wrong := {k: n for k, n in issues.items() if n and k != "extra"}:
+        raise ValueError(f"predictions don't conform to the template: {wrong}")
     joined = template.select(id_col).join(predictions.select(id_col, value_col), id_col, "left")
-    return joined.select(id_col, F.bround(F.greatest(F.col(value_col), F.lit(0.0)), 0).cast("int").alias(value_col))
+    return joined.select(id_col, F.bround(value_col, 0).cast("int").alias(value_col))
+
+
+def write_submission(template: DataFrame, predictions: DataFrame, path: str, *, id_col: str, value_col: str) -> None:
+    """A checked submission as one table in the template's ids."""
+    write_parquet(conform(template, predictions, id_col=id_col, value_col=value_col), path)
+
+
+def reuse(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made and written only if it isn't there; a write that didn't finish doesn't count."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        write_parquet(make(), path)
+    return spark.read.parquet(path)
+
+
+def report(sections: dict[str, DataFrame], *, title: str, facts: dict[str, object] | None = None) -> str:
+    """A report: a title, named facts, and a table per section."""
+    lines = [f"# {title}", ""] + [f"* {k}: {v}" for k, v in (facts or {}).items()]
+    for name, frame in sections.items():
+        lines += ["", f"## {name}", "", markdown(frame)]
+    return "\n".join(lines) + "\n"
 
 
 def check_submission(template: DataFrame, predictions: DataFrame, *, id_col: str, value_col: str) -> DataFrame:
