@@ -8,13 +8,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnpike.functions.exprs import nearest_quantile
+from turnpike.operators.evaluate import quantiles
 
 
-def fit_priors(rows: DataFrame, keys: Sequence[str], value: str, *, low: float, high: float, q: float = 0.2) -> DataFrame:
-    """Nearest 20 % quantile, median and count of the values in [low, high] for each key."""
+# The quantile and the plausible seconds of an unimpeded taxi.
+PRIOR_QUANTILE, TAXI_LEAST, TAXI_MOST = 0.2, 60, 5400
+
+
+def group_prior(rows: DataFrame, keys: Sequence[str], value: str, *, low: float, high: float, q: float = PRIOR_QUANTILE) -> DataFrame:
+    """Nearest ``q`` quantile (``prior``), ``median`` and count ``n`` of the values in [low, high] for each key."""
     kept = rows.where(F.col(value).between(low, high))
-    return kept.groupBy(*keys).agg(nearest_quantile(value, q).alias("prior"), F.percentile(value, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    nearest = quantiles(kept, value, [q], by=keys, method="nearest").select(F.struct(*keys).alias("_k"), "n", F.col("q")[0].alias("prior"))
+    middle = quantiles(kept, value, [0.5], by=keys).select(F.struct(*keys).alias("_k"), F.col("q")[0].alias("median"))
+    return nearest.join(middle, "_k").select("_k.*", "prior", "median", "n")
+
+
+#: Levels of priors, finest first: name, keys, whether the median and the count are kept.
+PRIOR_LEVELS = (
+    ("stand", ("airport", "stand"), True, True),
+    ("sg_rwy", ("airport", "stand_group", "runway"), False, True),
+    ("rwy", ("airport", "runway"), True, False),
+    ("airport", ("airport",), True, False),
+)
+
+
+def fit_priors(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Unimpeded and median taxi times of labelled departures (``airport, stand, stand_group, runway, taxi``) at four levels.
+
+    Fit on training rows only. All levels stay DataFrames.
+    """
+    found = {}
+    for name, keys, has_median, has_count in PRIOR_LEVELS:
+        prior = group_prior(labelled, keys, "taxi", low=TAXI_LEAST, high=TAXI_MOST)
+        more = [F.col("median").alias(f"med_{name}")] * has_median + [F.col("n").alias(f"n_{name}")] * has_count
+        found[name] = prior.select(*keys, F.col("prior").alias(f"unimp_{name}"), *more)
+    return found
+
+
+def apply_priors(rows: DataFrame, priors: dict[str, DataFrame]) -> DataFrame:
+    """Rows with ``unimpeded_taxi`` and ``median_taxi_prior`` of the finest level that knows their keys, and the counts behind (0 where unknown)."""
+    out = rows
+    for name, keys, _, _ in PRIOR_LEVELS:
+        out = out.join(priors[name], list(keys), "left")
+    levels = [name for name, *_ in PRIOR_LEVELS]
+    medians = [name for name, _, has, _ in PRIOR_LEVELS if has]
+    counts = [f"n_{name}" for name, *_, has in PRIOR_LEVELS if has]
+    chosen = {"unimpeded_taxi": F.coalesce(*[f"unimp_{n}" for n in levels]), "median_taxi_prior": F.coalesce(*[f"med_{n}" for n in medians])}
+    return out.select(*[F.col(c) for c in rows.columns], *[c.alias(n) for n, c in chosen.items()], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def join_known(rows: DataFrame, table: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
@@ -75,6 +115,15 @@ def feature_columns(frame: DataFrame, excluded: Sequence[str]) -> list[str]:
     return [f.name for f in frame.schema if f.name not in excluded and not f.dataType.typeName().startswith(("timestamp", "date"))]
 
 
+def model_matrix(frame: DataFrame, excluded: Sequence[str], vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """Feature columns alone: booleans as 0 and 1, texts as codes of their vocabulary (-1 unknown), clocks and excluded columns left out."""
+    out = frame
+    for name, vocabulary in vocabularies.items():
+        out = encode(out, vocabulary, name, name)
+    kinds = dict(out.dtypes)
+    return out.select(*[F.col(c).cast("tinyint").alias(c) if kinds[c] == "boolean" else F.col(c) for c in feature_columns(out, excluded) if kinds[c] != "string"])
+
+
 def assert_no_leak(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> None:
     """Training and test rows must not share a key."""
     if not train.join(test, list(keys), "left_semi").isEmpty():

@@ -36,27 +36,90 @@ def positions(rows: DataFrame, order: Sequence[str | Column], *, chunk: Column,
     return joined.withColumn("pos", F.col("_before") + F.col("_in")).drop("_c", "_before", "_in", "chunk")
 
 
-def cluster_bootstrap(clusters: DataFrame, *, base: str, treatment: str, n: str, draws: int = 1000) -> DataFrame:
+#: Accuracy of the rough quantiles that bracket an exact one; groups of fewer rows are ordered whole.
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, value: str, qs: Sequence[float], *, by: Sequence[str] = (), method: str = "linear", accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles of the non-nulls by group: ``by``, ``n`` and an array ``q`` in the order of ``qs``.
+
+    ``linear`` interpolates between the neighbours of q * (n - 1), ``nearest`` takes the element at its rounding. Rough
+    quantiles, aggregated in bounded memory, bracket each exact one; values below a bracket are only counted and those
+    inside, some thousandths of a group, are ordered by distinct value. So no buffer holds a group's values. A group
+    without values gives no row.
+    """
+    frame = rows.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0).alias("_one")).alias("_key"), F.col(value).cast("double").alias("_v"))
+    reach = 3.0 / accuracy
+    ends = [F.lit(min(1.0, max(0.0, q + side))) for q in qs for side in (-reach, reach)]
+    rough = frame.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", F.array(*ends), accuracy).alias("_e"))
+    infinite = [F.lit(float("-inf")), F.lit(float("inf"))]
+    bracket = lambda i, side: F.when(F.col("n") > accuracy, F.col("_e")[2 * i + side]).otherwise(infinite[side])
+    rough = rough.select("_key", "n", *[bracket(i, side).alias(f"_{'lh'[side]}{i}") for i in range(len(qs)) for side in (0, 1)])
+    joined = frame.join(rough, "_key")
+    below = joined.groupBy("_key").agg(*[F.count_if(F.col("_v") < F.col(f"_l{i}")).alias(f"_below{i}") for i in range(len(qs))])
+    hits = F.array(*[F.when(F.col("_v").between(F.col(f"_l{i}"), F.col(f"_h{i}")), F.lit(i)) for i in range(len(qs))])
+    inside = joined.withColumn("_i", F.explode(F.array_compact(hits))).groupBy("_key", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_key", "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.withColumn("_upto", upto).join(below, "_key").join(rough.select("_key", "n"), "_key")
+    placed = placed.withColumn("_upto", F.col("_upto") + F.array(*[F.col(f"_below{i}") for i in range(len(qs))])[F.col("_i")])
+    position = F.array(*[F.lit(float(q)) for q in qs])[F.col("_i")] * (F.col("n") - 1)
+    if method == "nearest":
+        position = F.round(position)
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    found = placed.withColumn("_p", position).groupBy("_key", "n", "_i", "_p").agg(at(F.floor("_p")).alias("_a"), at(F.ceil("_p")).alias("_b"))
+    exact = found.withColumn("_q", F.col("_a") + (F.col("_p") - F.floor("_p")) * (F.col("_b") - F.col("_a")))
+    out = exact.groupBy("_key", "n").agg(F.array(*[F.max(F.when(F.col("_i") == i, F.col("_q"))) for i in range(len(qs))]).alias("q"))
+    return out.select(*[F.col(f"_key.{c}").alias(c) for c in by], "n", "q")
+
+
+def cluster_bootstrap(clusters: DataFrame, *, base: str, treatment: str, n: str, draws: int = 3000) -> DataFrame:
     """Paired bootstrap over clusters of the RMSE difference: point, 2.5 % and 97.5 % bounds, share of draws that are worse.
 
     ``clusters`` has one row per cluster with summed squared errors of both models and a count. Each draw takes as many
-    clusters as there are, with replacement, by digests of draw and place, so a rerun gives the same draws. Draws are
-    an explode over (draw, place) joined to the cluster of the drawn number; the clusters are few beside the rows.
+    clusters as there are, with replacement, by digests of draw and place, so a rerun gives the same draws. The places
+    of all draws are a range that every task takes a part of; clusters (an airport's days) are few beside the rows, and
+    their number is read first.
     """
-    numbered = clusters.withColumn("number", F.row_number().over(Window.orderBy("cluster")) - 1)
     total = clusters.agg(F.count(F.lit(1)).alias("k"), (F.sqrt(F.sum(treatment) / F.sum(n)) - F.sqrt(F.sum(base) / F.sum(n))).alias("point"))
-    spots = total.select("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("draw", "k", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("spot"))
-    spots = spots.select("draw", hash_draw(F.col("draw"), F.col("spot"), modulus=F.col("k")).alias("number"))
+    k = total.first()["k"]
+    # Numbers by clusters, not rows: a window over the table of clusters.
+    numbered = clusters.withColumn("number", F.row_number().over(Window.orderBy("cluster")) - 1)
+    spots = clusters.sparkSession.range(draws * k).select(F.floor(F.col("id") / F.lit(max(1, k))).alias("draw"), F.pmod("id", F.lit(max(1, k))).alias("spot"))
+    spots = spots.select("draw", hash_draw(F.col("draw"), F.col("spot"), modulus=F.lit(max(1, k))).alias("number"))
     sums = spots.join(numbered, "number").groupBy("draw").agg(F.sum(base).alias("b"), F.sum(treatment).alias("t"), F.sum(n).alias("m"))
     deltas = sums.select((F.sqrt(F.col("t") / F.col("m")) - F.sqrt(F.col("b") / F.col("m"))).alias("delta"))
     spread = deltas.agg(
         F.percentile("delta", 0.025).alias("low"),
         F.percentile("delta", 0.975).alias("high"),
-        F.avg((F.col("delta") >= 0).cast("double")).alias("p_worse"),
+        F.avg((F.col("delta") > 0).cast("double")).alias("p_worse"),
     )
     return total.select("point", F.lit(1).alias("_one")).join(spread.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def adoption(rows: DataFrame, *, cluster: Sequence[str], base: str, treatment: str, truth: str, month: str, trimmed: Column, draws: int = 3000, sure: float = 0.05, guard: float = 0.9) -> DataFrame:
+    """Whether a treatment is adopted: over the trimmed rows its pooled RMSE falls, surely, and it falls in every month; over all rows it isn't surely worse.
+
+    One row: ``delta`` and ``p_worse`` of the trimmed rows, ``worst_month``, the largest difference of a month,
+    ``p_worse_full`` of all rows, and ``adopt``.
+    """
+    errors = rows.select(
+        F.concat_ws("|", *cluster).alias("cluster"), F.col(month).alias("_month"), trimmed.alias("_kept"),
+        F.pow(F.col(base) - F.col(truth), F.lit(2)).alias("_b"), F.pow(F.col(treatment) - F.col(truth), F.lit(2)).alias("_t"),
+    )
+    sums = [F.sum("_b").alias("b"), F.sum("_t").alias("t"), F.count(F.lit(1)).alias("n")]
+    kept = errors.where(F.coalesce("_kept", F.lit(False)))
+    months = kept.groupBy("_month").agg(*sums).agg(F.max(F.sqrt(F.col("t") / F.col("n")) - F.sqrt(F.col("b") / F.col("n"))).alias("worst_month"))
+
+    def drawn(frame: DataFrame, suffix: str) -> DataFrame:
+        found = cluster_bootstrap(frame.groupBy("cluster").agg(*sums), base="b", treatment="t", n="n", draws=draws)
+        return found.select(F.col("point").alias(f"delta{suffix}"), F.col("p_worse").alias(f"p_worse{suffix}"))
+
+    one = [f.withColumn("_one", F.lit(1)) for f in (drawn(kept, ""), months, drawn(errors, "_full"))]
+    joined = one[0].join(one[1], "_one").join(one[2], "_one")
+    adopt = (F.col("delta") < 0) & (F.col("p_worse") < sure) & (F.col("worst_month") < 0) & (F.col("p_worse_full") < guard)
+    return joined.select("delta", "p_worse", "worst_month", "p_worse_full", F.coalesce(adopt, F.lit(False)).alias("adopt"))
+
+
 def variance_parts(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Between and within variance of a grouping, the between part corrected for the noise of the means, and its share."""
     g = rows.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")).where("n >= 2")

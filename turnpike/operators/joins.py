@@ -9,7 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(
+#: Microseconds of a time block: with what is carried over its border, it bounds the rows that a task holds of one key.
+BLOCK = 28 * 86_400_000_000
+
+
+def _all_known(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def asof_many(
     left: DataFrame,
     right: DataFrame,
     *,
@@ -18,44 +26,83 @@ def asof(
     right_time: str,
     right_id: str,
     columns: Sequence[str],
-    forward: bool = False,
-    block: int = 7 * 86_400_000_000,
+    lookups: dict[str, tuple[str, str | None]],
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Add to each left row the ``columns`` of the right row nearest in time at or before it (``forward``: at or after).
+    """Add to each left row a struct of the right ``columns`` for every lookup ``name: (direction, extra key)``.
+
+    ``backward`` takes the right row nearest in time at or before the left one, ``forward`` at or after it, among those
+    with equal keys and, if it is named, an equal extra key. Of right rows at one time the largest id wins backward and
+    the smallest forward. A null key, time or extra key matches nothing; such left rows come back with nulls.
 
-    Both sides are united and an ordered window per key and time block carries the last right row, so the cost is a
-    sort, not a join of all pairs. What a block carries over from the blocks before it comes from one row per key and
-    block, so no task holds a whole key. Equal times match in both directions; of right rows at one time the largest id wins backward
-    and the smallest forward. A null key or time matches nothing. Row order among the left rows doesn't matter.
+    Both sides are united in one exchange by key and time block, and ordered windows carry the right rows, so the cost is
+    a few sorts and no join. What a block needs from outside comes in as rows of its own: the last right row of each
+    extra key before the block and the first one after it. So no task holds a whole key, nor one the rows without a key.
     """
-    payload = F.struct(*[F.col(c).alias(c) for c in columns])
-    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
-    names = [f"_k{i}" for i in range(len(by))]
-    usable = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
-    kind = payload_type = right.select(payload.alias("p")).schema["p"].dataType
-    row = F.struct(*[F.col(c) for c in left.columns])
-    row_type = left.select(row.alias("r")).schema["r"].dataType
-    on_left = left.select(*keys, F.col(left_time).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast(payload_type).alias("_p"), row.alias("_row"))
-    on_right = right.where(usable & F.col(right_time).isNotNull()).select(
-        *keys, F.col(right_time).alias("_t"), F.lit(1 if forward else 0).alias("_side"), F.col(right_id).cast("bigint").alias("_id"), payload.cast(kind).alias("_p"), F.lit(None).cast(row_type).alias("_row")
-    )
-    both = on_left.unionByName(on_right).withColumn("_b", F.floor(F.col("_t") / block))
-    order = Window.partitionBy(*names, "_b").orderBy(F.col("_t").asc(), F.col("_side").asc(), F.col("_id").asc())
-    blocks = Window.partitionBy(*names).orderBy("_b")
-    at = F.struct("_t", "_id")
-    if forward:
-        # Right rows sort after left rows of their time; looking ahead, the first is the smallest id.
-        found = F.first("_p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-        edge, beyond = F.min_by("_p", F.when(F.col("_p").isNotNull(), at)), F.first("edge", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        found = F.last("_p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        edge, beyond = F.max_by("_p", F.when(F.col("_p").isNotNull(), at)), F.last("edge", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-    known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]) & F.col("_t").isNotNull()
-    edges = both.where(known).groupBy(*names, "_b").agg(edge.alias("edge"))
-    carried = edges.select(*[F.col(n).alias(f"_c{n}") for n in names], F.col("_b").alias("_cb"), beyond.alias("_far"))
-    same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"_c{n}") for n in names]) & (F.col("_b") == F.col("_cb"))
-    matched = both.withColumn("_near", F.when(known, found)).where(F.col("_row").isNotNull()).join(carried, same, "left")
-    return matched.withColumn("_f", F.coalesce("_near", "_far")).select("_row.*", *[F.col(f"_f.{c}").alias(c) for c in columns])
+    names, extra = [f"_k{i}" for i in range(len(by))], next((x for _, x in lookups.values() if x), None)
+    if any(x not in (None, extra) for _, x in lookups.values()):
+        raise ValueError("lookups share one extra key")
+    payload, row = F.struct(*[F.col(c) for c in columns]), F.struct(*[F.col(c) for c in left.columns])
+    types = {"_p": right.select(payload.alias("x")).schema["x"].dataType, "_row": left.select(row.alias("x")).schema["x"].dataType}
+    usable = _all_known([*by, left_time])
+
+    def keyed(frame: DataFrame, time: str) -> list[Column]:
+        on = F.col(extra) if extra else F.lit(None).cast("string")
+        return [*[F.col(k).alias(n) for k, n in zip(by, names, strict=True)], on.alias("_x"), F.col(time).alias("_t"), F.floor(F.col(time) / block).alias("_b")]
+
+    ours = left.where(usable).select(*keyed(left, left_time), row.alias("_row"))
+    theirs = right.where(_all_known([*by, right_time])).select(*keyed(right, right_time), F.col(right_id).cast("bigint").alias("_id"), payload.alias("_p"))
+
+    def lay(frame: DataFrame, side: int, back: bool, ahead: bool, own: bool = False) -> DataFrame:
+        none = lambda kind: F.lit(None).cast(kind)
+        return frame.select(
+            *names, "_x", "_t", "_b", F.lit(side).alias("_side"), none("bigint").alias("_id") if own else F.col("_id"),
+            (F.col("_p") if back else none(types["_p"])).alias("_back"), (F.col("_p") if ahead else none(types["_p"])).alias("_ahead"),
+            (F.col("_row") if own else none(types["_row"])).alias("_row"),
+        )
+
+    # Which blocks of a key have left rows, so that nothing is carried beyond them.
+    span = ours.groupBy(*names).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    at, edge = F.struct("_t", "_id"), F.struct("_t", "_id", "_p")
+    before = theirs.groupBy(*names, "_x", "_b").agg(F.max_by(edge, at).alias("_e")).join(span, names)
+    later = F.coalesce(F.lead("_b").over(Window.partitionBy(*names, "_x").orderBy("_b")), F.col("_hi"))
+    before = before.withColumn("_until", F.least(later, F.col("_hi"))).withColumn("_from", F.greatest(F.col("_b") + 1, F.col("_lo"))).where("_from <= _until")
+    before = before.select(*names, "_x", F.explode(F.sequence("_from", "_until")).alias("_b"), "_e.*")
+    frames = [lay(ours, 1, False, False, own=True), lay(theirs, 0, True, True), lay(before, 0, True, False)]
+    if any(direction == "forward" for direction, _ in lookups.values()):
+        after = theirs.groupBy(*names, "_x", "_b").agg(F.min_by(edge, at).alias("_e")).join(span, names)
+        earlier = F.coalesce(F.lag("_b").over(Window.partitionBy(*names, "_x").orderBy("_b")), F.col("_lo"))
+        after = after.withColumn("_from", F.greatest(earlier, F.col("_lo"))).withColumn("_until", F.least(F.col("_b") - 1, F.col("_hi"))).where("_from <= _until")
+        frames.append(lay(after.select(*names, "_x", F.explode(F.sequence("_from", "_until")).alias("_b"), "_e.*"), 0, False, True))
+    out = reduce(DataFrame.unionByName, frames)
+    # Lookups without the extra key come first: their partitioning serves the others too.
+    for name, (direction, x) in sorted(lookups.items(), key=lambda item: item[1][1] is not None):
+        ahead = direction == "forward"
+        order = [F.col("_t").desc(), F.col("_side"), F.col("_id").desc()] if ahead else [F.col("_t"), F.col("_side"), F.col("_id")]
+        window = Window.partitionBy(*names, "_b", *(["_x"] if x else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = F.last("_ahead" if ahead else "_back", ignorenulls=True).over(window)
+        out = out.withColumn(f"_f_{name}", F.when(F.col("_x").isNotNull(), found) if x else found)
+    matched = out.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_f_{n}").alias(n) for n in lookups])
+    rest = left.where(~F.coalesce(usable, F.lit(False))).select("*", *[F.lit(None).cast(types["_p"]).alias(n) for n in lookups])
+    return matched.unionByName(rest)
+
+
+def asof(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    by: Sequence[str],
+    left_time: str,
+    right_time: str,
+    right_id: str,
+    columns: Sequence[str],
+    forward: bool = False,
+    block: int = BLOCK,
+) -> DataFrame:
+    """Add to each left row the ``columns`` of the right row nearest in time at or before it (``forward``: at or after); see ``asof_many``."""
+    how = {"_found": ("forward" if forward else "backward", None)}
+    out = asof_many(left, right, by=by, left_time=left_time, right_time=right_time, right_id=right_id, columns=columns, lookups=how, block=block)
+    return out.select(*[F.col(c) for c in left.columns], *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def backoff(rows: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame]], value: str, default: Column | float | None = None) -> DataFrame:
@@ -95,7 +142,7 @@ def greedy_one_to_one(pairs: DataFrame, *, left: str, right: str, cost: Sequence
     both their ends are taken, their ends removed. Every round is two partial minimums and joins and takes at least
     the overall best pair; results are cut from the lineage in the shared checkpoint folder.
     """
-    from turnpike.plans.store import cut
+    from turnpike.operators.store import cut
 
     order = F.struct(*[F.col(c) for c in cost], F.col(left), F.col(right))
     remaining = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("_o", order))
