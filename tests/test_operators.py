@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnpike.functions import exprs as X
-from turnpike.operators import blend, encode, evaluate, features, joins, temporal
+from turnpike.operators import blend, encode, evaluate, features, joins, temporal, tracks
 
 S = 1_000_000
 
@@ -17,10 +17,31 @@ def test_clip_keeps_null_and_ignores_null_bounds(spark):
     assert [r[0] for r in f.select(X.clip("x", 0, F.col("hi"))).collect()] == [None, 5, 3, 0]
 
 
-def test_nearest_quantile_rounds_half_away_and_skips_null(spark):
-    f = spark.createDataFrame([(1.0,), (2.0,), (None,), (3.0,), (4.0,)], "x double")
-    assert f.agg(X.nearest_quantile("x", 0.5)).first()[0] == 3.0
-    assert f.where("false").agg(X.nearest_quantile("x", 0.5)).first()[0] is None
+def quantile_brute(values, q, nearest):
+    v, at = sorted(x for x in values if x is not None), None
+    if not v:
+        return None
+    at = q * (len(v) - 1)
+    if nearest:
+        return v[math.floor(at + 0.5)]
+    low = math.floor(at)
+    return v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low])
+
+
+@pytest.mark.parametrize("accuracy", [40, 10_000])
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_quantiles_against_brute_force(spark, method, accuracy):
+    """With a low accuracy the groups are bracketed; ties, nulls, a null group, a group without values."""
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, rng.random(), float(rng.randrange(5))])) for g in ("a", "b", None) for _ in range(700)] + [("c", 1.0), ("d", None), ("e", 2.0), ("e", 1.0)]
+    qs = [0.0, 0.01, 0.2, 0.5, 0.9, 0.99, 1.0]
+    got = evaluate.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", qs, by=["g"], method=method, accuracy=accuracy).collect()
+    assert {r.g for r in got} == {"a", "b", "c", "e", None}
+    for r in got:
+        values = [v for g, v in rows if g == r.g]
+        assert r.n == sum(v is not None for v in values)
+        assert r.q == pytest.approx([quantile_brute(values, q, method == "nearest") for q in qs])
+    assert evaluate.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
 
 
 def test_null_counts_as_a_value(spark):
@@ -35,9 +56,15 @@ def test_guarded_ratio_horizontal_mean_bands(spark):
     assert [tuple(r) for r in rows] == [(None, 0.5, "low"), (1.5, 2.5, "high"), (None, 4.0, None)]
 
 
-@pytest.mark.parametrize(("text", "key"), [("Stand 07a", "7A"), ("gate-B 012", "B12"), ("S10", "S10"), (None, None), ("", "")])
-def test_stand_key(spark, text, key):
-    assert spark.createDataFrame([(text,)], "x string").select(X.stand_key("x")).first()[0] == key
+@pytest.mark.parametrize(("text", "key", "base"), [("Stand 07a", "7A", "7"), ("gateB 012", "B12", "B12"), ("S10", "S10", "S10"), ("RAMP F06", "F6", "F6"), ("202-(C)", "202", "202"), ("apron 115b", "115B", "115"), ("pos_G10L", "G10L", "G10"), ("7X", "7X", "7X"), ("GATE-5", "5", "5"), (None, None, None), ("", "", "")])
+def test_stand_key(spark, text, key, base):
+    row = spark.createDataFrame([(text,)], "x string").select(X.stand_key("x").alias("k")).withColumn("b", X.variant_base("k")).first()
+    assert (row.k, row.b) == (key, base)
+
+
+def test_nan_is_unknown(spark):
+    f = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
+    assert [r[0] for r in f.select(X.nan_to_null("x")).collect()] == [None, 1.0, None]
 
 
 def test_rolling_window_is_half_open(spark):
@@ -75,6 +102,38 @@ def test_asof_against_brute_force(spark, forward, block):
     assert {r.id: r.rid for r in got.collect()} == asof_brute(left, right, forward)
 
 
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_asof_lookups_share_a_pass(spark, block):
+    rng = random.Random(8)
+    left = [(i, rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.choice([*range(40), None])) for i in range(80)]
+    right = [(100 + i, rng.choice(["a", "b", None]), rng.choice(["x", "y", "z", None]), rng.choice([*range(40), None])) for i in range(50)]
+    a, b = spark.createDataFrame(left, "id long, k string, e string, t long"), spark.createDataFrame(right, "rid long, k string, e string, rt long")
+    lookups = {"any": ("backward", None), "next": ("forward", None), "typed": ("backward", "e"), "typed_next": ("forward", "e")}
+    got = joins.asof_many(a, b, by=["k"], left_time="t", right_time="rt", right_id="rid", columns=["rid", "e"], lookups=lookups, block=block)
+    found = {r.id: {n: r[n] and r[n].rid for n in lookups} for r in got.collect()}
+    assert len(found) == len(left)
+    for forward, name in ((False, "any"), (True, "next")):
+        assert {i: f[name] for i, f in found.items()} == asof_brute([(i, k, t) for i, k, _, t in left], [(n, k, r) for n, k, _, r in right], forward)
+    for forward, name in ((False, "typed"), (True, "typed_next")):
+        both = lambda k, e: None if k is None or e is None else k + e
+        assert {i: f[name] for i, f in found.items()} == asof_brute([(i, both(k, e), t) for i, k, e, t in left], [(n, both(k, e), r) for n, k, e, r in right], forward)
+
+
+@pytest.mark.parametrize("block", [60, 300, 86_400])
+def test_saturation_over_block_borders(spark, block):
+    rng = random.Random(block)
+    rows = [(i, rng.choice(["a", None]), rng.choice(["r", None]), rng.randrange(3000) * S + rng.randrange(3)) for i in range(150)]
+    got = temporal.saturation(spark.createDataFrame(rows, "i long, k string, r string, t long"), by=["k", "r"], time="t", tie="i", block=block)
+    expected = {}
+    for key in {(k, r) for _, k, r, _ in rows}:
+        before, run = None, 0
+        for t, i in sorted((t, i) for i, k, r, t in rows if (k, r) == key):
+            gap = None if before is None else (t - before) // S
+            run = 0 if gap is None or gap >= 120 else run + 1
+            before, expected[i] = t, (gap, run)
+    assert {r.i: (r.prev_gap, r.sat_run) for r in got.collect()} == expected and max(r for _, r in expected.values()) > 5
+
+
 def test_asof_with_empty_sides(spark):
     a = spark.createDataFrame([(1, "a", 5)], "id long, k string, t long")
     b = spark.createDataFrame([], "rid long, k string, rt long")
@@ -111,16 +170,26 @@ def test_backoff_takes_the_finest_known_level(spark):
     assert {(r.g, r.h): r.v for r in got} == {("a", 1): 10.0, ("a", 2): 20.0, ("b", 1): 0.0, (None, 1): 0.0}
 
 
+BINS = "airport string, bin long, dep_rwy_config string"
+
+
 def test_segments_start_after_a_day_without_bins(spark):
     day = 288
-    rows = [("A", 0, "R1", "?"), ("A", 1, "R1", "?"), ("A", 2, "R2", "?"), ("A", 3 + day, "R2", "?"), ("A", 4 + day, "R2", "?")]
-    f = temporal.change_segments(spark.createDataFrame(rows, "airport string, bin long, dep_set string, arr_set string"))
-    assert {r.bin: r.mins_since_change for r in f.collect()} == {0: 0, 1: 5, 2: 0, 3 + day: 0, 4 + day: 5}
+    rows = [("A", 0, "R1"), ("A", 1, "R1"), ("A", 2, "R2"), ("A", 3 + day, "R2"), ("A", 4 + day, "R2")]
+    f = temporal.change_segments(spark.createDataFrame(rows, BINS))
+    assert {r.bin: r.mins_since_cfg_change for r in f.collect()} == {0: 0, 1: 5, 2: 0, 3 + day: 0, 4 + day: 5}
 
 
 def test_gap_of_exactly_a_day_goes_on(spark):
-    f = temporal.change_segments(spark.createDataFrame([("A", 0, "R1", "?"), ("A", 288, "R1", "?")], "airport string, bin long, dep_set string, arr_set string"))
-    assert {r.bin: r.mins_since_change for r in f.collect()} == {0: 0, 288: 1440}
+    f = temporal.change_segments(spark.createDataFrame([("A", 0, "R1"), ("A", 288, "R1")], BINS))
+    assert {r.bin: r.mins_since_cfg_change for r in f.collect()} == {0: 0, 288: 1440}
+
+
+def test_configuration_of_unknown_runways(spark):
+    rows = [("A", "DEP", None, 0), ("A", "DEP", "R2", S), ("A", "DEP", "R1", 2 * S), ("B", "DEP", None, 0), ("B", "ARR", "R1", 0)]
+    f = temporal.config_bins(spark.createDataFrame(rows, "airport string, phase string, runway string, t_us long"))
+    got = {r.airport: (r.dep_rwy_config, r.n_active_dep_rwy, r.arr_rwy_config, r.n_active_arr_rwy) for r in f.collect()}
+    assert got == {"A": ("R1+R2", 3, "?", 0), "B": ("", 1, "R1", 1)}
 
 
 def queue_brute(rows):
@@ -154,6 +223,25 @@ def test_surface_runs_treat_nan_as_fast(spark):
     assert sorted((r.first_t, r.last_t, r.takes_off) for r in f.collect()) == [(0, 60, True), (300, 300, False), (3000, 3000, False)]
 
 
+def test_pushback_rules(spark):
+    """Dwell takes the next point's time, a lone last point its own; appear, pass and censored; unknown distances."""
+    rows = [("dwell", 0, 0.0, 10.0), ("dwell", 60, 0.0, 20.0), ("dwell", 120, 5.0, 30.0), ("dwell", 180, 0.0, 500.0), ("last", 0, 9.0, 400.0), ("last", 50, 1.0, 99.0)]
+    rows += [("appear", 0, 3.0, 99.9), ("appear", 30, 9.0, 300.0), ("pass", 0, 3.0, 100.0), ("pass", 30, 9.0, 50.0), ("pass", 60, 9.0, 40.0), ("none", 0, 0.0, 100.0), ("unknown", 0, 0.0, None)]
+    f = spark.createDataFrame(rows, "k string, t long, v double, m double").withColumn("takes_off", F.lit(True))
+    f = temporal.run_points(f, by=["k"], time="t", speed="v").drop("takes_off", "run")
+    got = {r.k: (r.tier, r.pushback_t, r.pb_gap_s, r.pb_dist_m, r.pb_speed) for r in temporal.pushback(f, by=["k"], time="t", speed="v", distance="m").collect()}
+    assert got == {
+        "dwell": ("dwell", 120, 60, 20.0, 0.0), "last": ("dwell", 50, None, 99.0, 1.0), "appear": ("appear", 0, 30, 99.9, 3.0), "pass": ("pass", 30, 30, 50.0, 9.0),
+        "none": (None, None, None, None, None), "unknown": (None, None, None, None, None),
+    }
+
+
+def test_coverage_needs_twenty_aircraft(spark):
+    rows = [("A", "d", i, 10.0) for i in range(20)] + [("B", "d", i, 10.0 if i < 19 else 40.0) for i in range(20)] + [("B", "d", 99, float("nan"))]
+    got = tracks.coverage(spark.createDataFrame(rows, "airport string, day string, hex int, gs double")).collect()
+    assert {r.airport: r.day_coverage for r in got} == {"A": True, "B": False}
+
+
 def test_last_dwell(spark):
     rows = [("x", 0, 0.0), ("x", 200, 1.0), ("x", 300, 9.0), ("x", 310, 0.0), ("x", 400, 0.0), ("y", 0, 9.0)]
     f = temporal.last_dwell(spark.createDataFrame(rows, "k string, t long, v double"), by=["k"], time="t", speed="v")
@@ -220,11 +308,65 @@ def test_blinding_hides_departures_only(spark):
 
 
 def test_flight_category_of_unknown_values(spark):
-    f = spark.createDataFrame([(None, None), (400.0, None), (None, 2.0), (3000.0, 9.0)], "c double, v double")
-    assert [r[0] for r in f.select(features.flight_category(F.col("c"), F.col("v"))).collect()] == ["VFR", "LIFR", "IFR", "MVFR"]
+    f = spark.createDataFrame([(None, None), (400.0, None), (None, 2.0), (3000.0, 9.0), (2999.0, 9.0), (9999.0, 5.0), (9999.0, 4.9), (1000.0, 9.0), (500.0, 9.0), (9999.0, 1.0)], "c double, v double")
+    assert [r[0] for r in f.select(features.flight_category(F.col("c"), F.col("v"))).collect()] == ["VFR", "LIFR", "IFR", "VFR", "MVFR", "VFR", "MVFR", "MVFR", "IFR", "IFR"]
 
 
 def test_planar_distance_of_a_degree(spark):
-    east, north = X.planar_metres(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    row = spark.range(1).select(F.hypot(east, north)).first()[0]
-    assert math.isclose(row, 111_320.0)
+    east, north = X.planar_metres(F.lit(1.0), F.lit(1.0), F.lit(0.0), F.lit(0.0))
+    row = spark.range(1).select(east, north).first()
+    assert math.isclose(row[0], 111_320.0) and math.isclose(row[1], 110_540.0)
+
+
+def test_links_and_bounds(spark):
+    """Own type before any, bounds of the successor, tiers, equal times, departures without a stand."""
+    minute = 60 * S
+    rows = [(1, "ARR", "A", "s", "x", 0, 0), (2, "ARR", "A", "s", "y", 0, 60 * minute), (3, "ARR", "A", "s", "x", 0, 300 * minute), (4, "ARR", "A", "q", "x", 0, 88 * minute), (9, "ARR", "A", None, "x", 0, 0)]
+    rows += [(10, "DEP", "A", "s", "x", 100 * minute, None), (11, "DEP", "A", "s", "z", 100 * minute, None), (12, "DEP", "A", "s", "z", 312 * minute, None), (13, "DEP", "A", "q", "x", 100 * minute, None)]
+    rows += [(14, "DEP", "A", "q", "z", 99 * minute, None), (15, "DEP", "A", None, "x", 100 * minute, None), (16, "DEP", "A", "s", "w", 305 * minute, None), (17, "DEP", "A", "t", "x", 100 * minute, None)]
+    m = spark.createDataFrame([(*r, 0, "w") for r in rows], "mvt_id long, phase string, airport string, stand string, actype string, t_us long, block_us long, sched_us long, wake string")
+    got = {r.mvt_id: r for r in features.stand_links(m).collect()}
+    pick = lambda i: (got[i].inbound_mvt_id, got[i].type_match, got[i].has_next, got[i].bound_binding, got[i].L_sec, got[i].U_sec, got[i].ground_time_sec, got[i].link_confidence)
+    assert set(got) == {10, 11, 12, 13, 14, 16, 17}
+    assert pick(10) == (1, True, True, False, 0, 6000, 5280, "high") and pick(11) == (2, False, True, False, 0, 2400, 1680, "med")
+    assert pick(12) == (3, False, True, True, 720, 720, 0, "low") and pick(13) == (4, True, True, True, 720, 720, 0, "med")
+    assert pick(14) == (None, False, True, True, 660, None, None, "none") and pick(17) == (None, False, False, None, 0, None, None, "none")
+    assert pick(16)[:6] == (2, False, True, True, 300, 14_700) and got[16].interval_sec == 14_400
+
+
+def test_weather_of_an_hour(spark):
+    rows = [("X", "2024-01-01 00:20:00", 30.0, 20.0, 9.0, 0.0, "BKN", "FEW", "OVC", 2500.0, 100.0, 900.0, None), ("X", "2024-01-01 00:50:00", 30.0, None, 9.0, None, "FEW", None, None, 100.0, None, None, "-SN BR")]
+    f = spark.createDataFrame(rows, "station string, valid string, tmpf double, dwpf double, vsby double, p01i double, skyc1 string, skyc2 string, skyc3 string, skyl1 double, skyl2 double, skyl3 double, wxcodes string")
+    f = f.withColumn("valid", F.to_timestamp("valid")).withColumns({c: F.lit(None).cast("double") for c in ("drct", "sknt", "gust")})
+    first, both = features.weather_hours(f.where("skyc3 is not null")).first(), features.weather_hours(f).first()
+    assert (first.ceiling_ft, first.flight_category, first.below_freezing, first.deicing_risk, first.wx_snow) == (900.0, "IFR", True, False, False)
+    assert first.temp_dewpoint_spread_c == pytest.approx(10 / 1.8)
+    assert (both.ceiling_ft, both.flight_category, both.deicing_risk, both.wx_obscuration, both.temp_dewpoint_spread_c) == (None, "VFR", True, True, None)
+
+
+def test_stand_positions_prefer_exact_keys(spark):
+    stands = spark.createDataFrame([("A", "115L", 1.0, 1.0), ("A", "115R", 3.0, 3.0), ("A", "7", 9.0, 9.0), ("A", "7A", 5.0, 5.0)], "airport string, stand_name string, lat double, lon double")
+    positions = features.stand_positions(stands)
+    assert {r.key: r.lat for r in positions.collect()} == {"115L": 1.0, "115R": 3.0, "115": 2.0, "7": 9.0, "7A": 5.0}
+    m = spark.createDataFrame([(1, "A", "Gate 115"), (2, "A", "115C"), (3, "A", "007"), (4, "B", "7"), (5, "A", None)], "mvt_id long, airport string, stand string")
+    assert {r.mvt_id: r.stand_lat for r in features.with_stand_position(m, positions).collect()} == {1: 2.0, 2: 2.0, 3: 9.0, 4: None, 5: None}
+
+
+def test_adoption_needs_every_month(spark):
+    rows = [(f"c{i % 20}", "jan" if i % 2 else "jul", 100.0, 0.0, 5.0 if i % 2 else -5.0, 50.0, i < 380) for i in range(400)]
+    f = spark.createDataFrame(rows, "c string, month string, base double, truth double, bump double, good double, kept boolean")
+    how = {"cluster": ["c"], "base": "base", "truth": "truth", "month": "month", "trimmed": F.col("kept"), "draws": 50}
+    assert evaluate.adoption(f.withColumn("t", F.col("good")), treatment="t", **how).first().adopt
+    mixed = evaluate.adoption(f.withColumn("t", F.when(F.col("month") == "jan", 101).otherwise(50)), treatment="t", **how).first()
+    assert mixed.delta < 0 and mixed.worst_month > 0 and not mixed.adopt
+
+
+def test_blend_weights_and_quality(spark):
+    rows = [("A", "dwell", 100.0, 200.0, 210.0, 60.0, 9.0, 30.0)] * 300 + [("B", "appear", 100.0, 150.0, 160.0, 80.0, 9.0, 30.0)] * 50 + [("LIRF", "dwell", 100.0, 900.0, 900.0, 1.0, 1.0, 1.0), ("A", "pass", 100.0, 900.0, 900.0, 1.0, 1.0, 1.0), ("A", None, 100.0, 1.0, None, None, None, None)]
+    f = spark.createDataFrame(rows, "airport string, tier string, pred double, taxi double, track_taxi double, pb_dist_m double, pb_speed double, pb_gap_s double")
+    b = blend.PushbackBlend.fit(f)
+    got = {(r.airport, r.tier): r.blend for r in b.apply(f).collect()}
+    assert got == pytest.approx({("A", "dwell"): 200.0, ("B", "appear"): 150.0, ("LIRF", "dwell"): 100.0, ("A", "pass"): 100.0, ("A", None): 100.0})
+    assert {(r.airport, r.q) for r in f.select("airport", blend.detection_quality().alias("q")).distinct().collect()} >= {("A", "good"), ("B", "poor"), ("LIRF", "good")}
+    moved = {(r.airport, r.tier): r.blend for r in b.shifted({"A": 50.0}).apply(f).collect()}
+    assert moved["A", "dwell"] == pytest.approx(150.0) and moved["B", "appear"] == pytest.approx(150.0)

@@ -37,19 +37,21 @@ def group_stats(s, d):
 
 @query("select l_suppkey, round(median(l_quantity), 6) as median from lineitem group by l_suppkey")
 def group_median(s, d):
-    return table(s, d, "lineitem").groupBy("l_suppkey").agg(_r(F.percentile("l_quantity", 0.5)).alias("median"))
+    q = E.quantiles(table(s, d, "lineitem"), "l_quantity", [0.5], by=["l_suppkey"])
+    return q.select("l_suppkey", _r(F.col("q")[0]).alias("median"))
 
 
 @query("select l_suppkey, list_sort(list(l_quantity))[round((count(*) - 1) * 0.2::double)::bigint + 1] as prior, count(*) as n from lineitem where l_quantity between 5 and 45 group by l_suppkey")
 def unimpeded_prior(s, d):
     kept = table(s, d, "lineitem").where(F.col("l_quantity").between(5, 45))
-    return kept.groupBy("l_suppkey").agg(X.nearest_quantile("l_quantity", 0.2).alias("prior"), n_rows().alias("n"))
+    return E.quantiles(kept, "l_quantity", [0.2], by=["l_suppkey"], method="nearest").select("l_suppkey", F.col("q")[0].alias("prior"), "n")
 
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 6) as p1, round(quantile_cont(l_extendedprice, 0.5), 6) as p50, round(quantile_cont(l_extendedprice, 0.99), 6) as p99 from lineitem group by 1")
 def percentile_linear(s, d):
     p = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
-    return table(s, d, "lineitem").groupBy("l_returnflag").agg(*[_r(F.percentile("l_extendedprice", q)).alias(n) for n, q in p.items()])
+    q = E.quantiles(table(s, d, "lineitem"), "l_extendedprice", list(p.values()), by=["l_returnflag"])
+    return q.select("l_returnflag", *[_r(F.col("q")[i]).alias(n) for i, n in enumerate(p)])
 
 
 @query(f"with {MOV} select airport, count(distinct runway) + max((runway is null)::int) as n from m group by airport")
@@ -92,12 +94,14 @@ def slice_report(s, d):
     return r.select("airport", _r("rmse").alias("rmse"), _r("mae").alias("mae"), _r("bias").alias("bias"), "n", _r("sse", 2).alias("sse"), _r("share", 8).alias("share"))
 
 
-_POS = "(row_number() over (order by l_quantity, l_orderkey, l_linenumber) - 1)"
+# Keys of lines repeat, so the order goes on to all that tells them apart.
+_LINE_ORDER = ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]
+_POS = f"(row_number() over (order by {', '.join(_LINE_ORDER)}) - 1)"
 
 
 def _deciles(s, d, bins=10):
-    line = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    placed = E.positions(line, ["l_quantity", "l_orderkey", "l_linenumber"], chunk=F.floor("l_quantity"))
+    line = table(s, d, "lineitem").select(*_LINE_ORDER)
+    placed = E.positions(line, _LINE_ORDER, chunk=F.floor("l_quantity"))
     return placed.withColumn("bin", X.equal_count_bin(F.col("pos"), F.col("total"), bins))
 
 
@@ -112,7 +116,7 @@ def decile_report(s, d):
        select list_sum([(l_extendedprice > x)::int for x in edges])::int as bin, count(*) as n, round(avg(l_quantity), 6) as mean from lineitem, e group by 1""")
 def qcut_deciles(s, d):
     line = table(s, d, "lineitem")
-    edges = line.agg(F.percentile("l_extendedprice", [i / 10 for i in range(1, 10)]).alias("edges")).withColumn("_one", F.lit(1))
+    edges = E.quantiles(line, "l_extendedprice", [i / 10 for i in range(1, 10)]).select(F.col("q").alias("edges"), F.lit(1).alias("_one"))
     joined = line.withColumn("_one", F.lit(1)).join(F.broadcast(edges), "_one")
     bin_ = F.aggregate("edges", F.lit(0), lambda a, x: a + (F.col("l_extendedprice") > x).cast("int"))
     return joined.withColumn("bin", bin_).groupBy("bin").agg(n_rows().alias("n"), _r(F.avg("l_quantity")).alias("mean"))
@@ -137,7 +141,7 @@ def avg_rank_decile(s, d):
 def transfer_deciles(s, d):
     line = table(s, d, "lineitem").withColumn("_one", F.lit(1))
     src, dst = line.where("l_orderkey % 2 = 0"), line.where("l_orderkey % 2 = 1")
-    edges = F.broadcast(src.agg(F.percentile("l_extendedprice", [0.2, 0.4, 0.6, 0.8]).alias("edges")).withColumn("_one", F.lit(1)))
+    edges = F.broadcast(E.quantiles(src, "l_extendedprice", [0.2, 0.4, 0.6, 0.8]).select(F.col("q").alias("edges"), F.lit(1).alias("_one")))
     bin_ = F.aggregate("edges", F.lit(0), lambda a, x: a + (F.col("l_extendedprice") > x).cast("int")).alias("bin")
     a = src.join(edges, "_one").groupBy(bin_).agg(_r(F.avg("l_quantity")).alias("source_mean"))
     b = dst.join(edges, "_one").groupBy(bin_).agg(n_rows().alias("n"), _r(F.avg("l_quantity")).alias("target_mean"))
@@ -145,7 +149,7 @@ def transfer_deciles(s, d):
 
 
 @query(f"""with {MOV}, x as (select airport, (taxi - 900)::double as r, (d / 2.0)::double as delta from m)
-       select airport, round(greatest(0, least(1, sum(r * delta) / (sum(delta * delta) + 1e-9))), 8) as w from x group by airport""")
+       select airport, round(greatest(0, least(1, sum(r * delta) / greatest(sum(delta * delta), 1e-9))), 8) as w from x group by airport""")
 def ls_blend_weight(s, d):
     m = movements(s, d)
     return m.groupBy("airport").agg(_r(B.ls_weight((F.col("taxi") - 900).cast("double"), F.col("d") / 2.0), 8).alias("w"))
@@ -158,14 +162,15 @@ def group_lag_fallback(s, d):
     return B.lag_with_fallback(m, "cell", "taxi", 1000).select("cell", "n", _r("lag").alias("lag"))
 
 
-@query("""with b as (select quantile_cont(l_extendedprice, 0.01) as lo, quantile_cont(l_extendedprice, 0.99) as hi from lineitem),
-       x as (select l_returnflag as g, l_quantity as x, greatest(lo, least(hi, l_extendedprice)) as y from lineitem, b),
+@query("""with b as (select quantile_cont(l_extendedprice, 0.01) as lo, quantile_cont(l_extendedprice, 0.99) as hi from lineitem), big as (select l_suppkey from lineitem group by 1 having count(*) >= 600),
+       x as (select g.l_suppkey as g, l_quantity as x, greatest(lo, least(hi, l_extendedprice)) as y from lineitem l left join big g using (l_suppkey), b),
        g as (select g, count(*) as n, avg(x) as mx, avg(y) as my, sum(x * y) as sxy, sum(x * x) as sxx from x group by g),
        b2 as (select sum(sxy - n * mx * my) / sum(sxx - n * mx * mx) as slope from g)
-       select g as l_returnflag, n, round(slope, 6) as slope, round(my - slope * mx, 4) as intercept from g, b2""")
+       select g as l_suppkey, n, round(slope, 6) as slope, round(my - slope * mx, 4) as intercept from g, b2""")
 def fixed_effect_ols(s, d):
-    f = B.fixed_effects(table(s, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
-    return f.select("l_returnflag", "n", _r("slope").alias("slope"), _r("intercept", 4).alias("intercept"))
+    """Groups under 600 rows share the intercept of the row without a group."""
+    f = B.fixed_effects(table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice", least=600)
+    return f.select("l_suppkey", "n", _r("slope").alias("slope"), _r("intercept", 4).alias("intercept"))
 
 
 @query("""with x as (select l_returnflag as g, l_quantity as a, 30 * l_discount + 20 as b, l_extendedprice / 1500 as y from lineitem),
@@ -233,34 +238,47 @@ def pivot_recovery(s, d):
        select a.y::int as y, a.cell, round(b.med - a.med, 6) as shift, round(b.iqr, 6) as iqr from c a join c b on a.cell = b.cell and b.y = a.y + 1""")
 def drift_shift(s, d):
     o = table(s, d, "orders")
-    q = F.percentile("o_totalprice", [0.25, 0.5, 0.75])
-    c = o.groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("cell")).agg(q.alias("q"), n_rows().alias("n")).where("n >= 50")
+    cells = o.select(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("cell"), "o_totalprice")
+    c = E.quantiles(cells, "o_totalprice", [0.25, 0.5, 0.75], by=["y", "cell"]).where("n >= 50").drop("n")
     later = c.select((F.col("y") - 1).alias("y"), "cell", F.col("q").alias("q2"))
     return c.join(later, ["y", "cell"]).select("y", "cell", _r(F.col("q2")[1] - F.col("q")[1]).alias("shift"), _r(F.col("q2")[2] - F.col("q2")[0]).alias("iqr"))
 
 
-_CLUSTERS = f"""with {MOV}, c as (select airport || '|' || (ts::date)::varchar as cluster, sum(pow(taxi - 900, 2)) as b, sum(pow(taxi - 950, 2)) as t, count(*) as n from m group by all),
-       k as (select count(*) as k, sqrt(sum(t) / sum(n)) - sqrt(sum(b) / sum(n)) as point from c), num as (select *, row_number() over (order by cluster) - 1 as number from c),
-       spots as (select draw, ('0x' || substr(md5(draw || '-' || spot), 1, 8))::bigint % k as number from k, range(300) a(draw), lateral (select unnest(range(k)) as spot) b),
-       deltas as (select draw, sqrt(sum(t) / sum(n)) - sqrt(sum(b) / sum(n)) as delta from spots join num using (number) group by draw),
-       boot as (select point, quantile_cont(delta, 0.025) as low, quantile_cont(delta, 0.975) as high, avg((delta >= 0)::int)::double as p_worse from deltas, k group by point)"""
+DRAWS = 3000
 
 
-def _boot(s, d):
-    m = movements(s, d)
-    name = F.concat_ws("|", "airport", F.to_date("ts").cast("string"))
-    c = m.groupBy(name.alias("cluster")).agg(F.sum(F.pow(F.col("taxi") - 900, F.lit(2))).alias("b"), F.sum(F.pow(F.col("taxi") - 950, F.lit(2))).alias("t"), n_rows().alias("n"))
-    return E.cluster_bootstrap(c, base="b", treatment="t", n="n", draws=300)
+def _boot_sql(name: str, rows: str) -> str:
+    """A paired bootstrap of ``rows(cluster, b, t)`` under names with a prefix."""
+    return f"""{name}_c as (select cluster, sum(b) as b, sum(t) as t, count(*) as n from ({rows}) group by all),
+       {name}_k as (select count(*) as k, sqrt(sum(t) / sum(n)) - sqrt(sum(b) / sum(n)) as point from {name}_c), {name}_num as (select *, row_number() over (order by cluster) - 1 as number from {name}_c),
+       {name}_spots as (select draw, ('0x' || substr(md5(draw || '-' || spot), 1, 8))::bigint % k as number from {name}_k, range({DRAWS}) a(draw), lateral (select unnest(range(k)) as spot) b),
+       {name}_deltas as (select draw, sqrt(sum(t) / sum(n)) - sqrt(sum(b) / sum(n)) as delta from {name}_spots join {name}_num using (number) group by draw),
+       {name} as (select point, quantile_cont(delta, 0.025) as low, quantile_cont(delta, 0.975) as high, avg((delta > 0)::int)::double as p_worse from {name}_deltas, {name}_k group by point)"""
+
+
+#: Squared errors of two constant predictions of the taxi time; a half of the days plays a month, short taxis the trimmed rows.
+_ERRORS = "e as (select airport || '|' || (ts::date)::varchar as cluster, day(ts) % 2 as half, taxi <= 1800 as kept, pow(900 - taxi, 2) as b, pow(950 - taxi, 2) as t from m)"
 
 
-@query(f"{_CLUSTERS} select round(point, 6) as point, round(low, 6) as low, round(high, 6) as high, round(p_worse, 6) as p_worse from boot")
+def _rows(s, d):
+    m = movements(s, d).withColumn("day", F.to_date("ts").cast("string")).withColumn("half", F.dayofmonth("ts") % 2)
+    return m.withColumn("base", F.lit(900)).withColumn("treat", F.lit(950))
+
+
+@query(f"with {MOV}, {_ERRORS}, {_boot_sql('boot', 'select * from e')} select round(point, 6) as point, round(low, 6) as low, round(high, 6) as high, round(p_worse, 6) as p_worse from boot")
 def cluster_bootstrap(s, d):
-    return _boot(s, d).select(*[_r(c).alias(c) for c in ("point", "low", "high", "p_worse")])
+    m = _rows(s, d)
+    c = m.groupBy(F.concat_ws("|", "airport", "day").alias("cluster")).agg(F.sum(F.pow(F.col("taxi") - 900, F.lit(2))).alias("b"), F.sum(F.pow(F.col("taxi") - 950, F.lit(2))).alias("t"), n_rows().alias("n"))
+    return E.cluster_bootstrap(c, base="b", treatment="t", n="n", draws=DRAWS).select(*[_r(c).alias(c) for c in ("point", "low", "high", "p_worse")])
 
 
-@query(f"{_CLUSTERS} select point < 0 and p_worse < 0.05 and high < 0 as adopt from boot")
+@query(f"""with {MOV}, {_ERRORS}, {_boot_sql('trim', 'select * from e where kept')}, {_boot_sql('full_', 'select * from e')},
+       halves as (select max(delta) as worst from (select sqrt(avg(t)) - sqrt(avg(b)) as delta from e where kept group by half))
+       select round(trim.point, 6) as delta, round(trim.p_worse, 6) as p_worse, round(worst, 6) as worst_month, round(full_.p_worse, 6) as p_worse_full, trim.point < 0 and trim.p_worse < 0.05 and worst < 0 and full_.p_worse < 0.9 as adopt from trim, full_, halves""")
 def adoption_rule(s, d):
-    return _boot(s, d).select(((F.col("point") < 0) & (F.col("p_worse") < 0.05) & (F.col("high") < 0)).alias("adopt"))
+    """Trimmed rows decide, pooled and in every month; all rows guard."""
+    a = E.adoption(_rows(s, d), cluster=["airport", "day"], base="base", treatment="treat", truth="taxi", month="half", trimmed=F.col("taxi") <= 1800, draws=DRAWS)
+    return a.select(*[_r(c).alias(c) for c in ("delta", "p_worse", "worst_month", "p_worse_full")], "adopt")
 
 
 @query(f"""with {MOV}, g as (select runway is null as masked, pow(taxi - 900, 2) - pow(taxi - 950, 2) as gain from m)
@@ -281,8 +299,9 @@ def seed_ensemble(s, d):
 @query("select count(o_totalprice) as n, round(avg(o_totalprice), 6) as mean, round(quantile_cont(o_totalprice, 0.1), 6) as p10, round(median(o_totalprice), 6) as p50, round(quantile_cont(o_totalprice, 0.9), 6) as p90, min(o_totalprice) as lo, max(o_totalprice) as hi from orders")
 def distribution_summary(s, d):
     v = "o_totalprice"
-    q = F.percentile(v, [0.1, 0.5, 0.9])
-    a = table(s, d, "orders").agg(F.count(v).alias("n"), _r(F.avg(v)).alias("mean"), q.alias("q"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    o = table(s, d, "orders")
+    q = E.quantiles(o, v, [0.1, 0.5, 0.9]).select("q", F.lit(1).alias("_one"))
+    a = o.agg(F.count(v).alias("n"), _r(F.avg(v)).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi")).withColumn("_one", F.lit(1)).join(q, "_one", "left")
     return a.select("n", "mean", *[_r(F.col("q")[i]).alias(p) for i, p in enumerate(("p10", "p50", "p90"))], "lo", "hi")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnpike.operators import features
+from turnpike.operators.evaluate import quantiles
 from turnpike.plans.joined import LINK_SQL
 from turnpike.plans.registry import MOV, query
 from turnpike.sources.tables import movements, table
@@ -29,8 +30,8 @@ def leak_audit(s, d):
     offset = F.when(F.col("stand").isNotNull(), ((F.col("t_us") - F.col("sched_us")) / 1_000_000).cast("bigint"))
     long = m.select("taxi", F.explode(F.array(F.struct(F.lit("offset").alias("name"), offset.alias("x")), F.struct(F.lit("d").alias("name"), F.when(F.col("runway").isNotNull(), F.col("d")).alias("x")))).alias("c")).select("taxi", "c.*")
     e = F.col("x") - F.col("taxi")
-    q = F.percentile(e, [0.5, 0.1, 0.9])
-    g = long.groupBy("name").agg(F.count("x").alias("n"), F.round(F.count("x") / n_rows(), 8).alias("coverage"), q.alias("q"), F.round(F.avg((F.abs(e) <= 60).cast("int")), 8).alias("in_1"), F.round(F.avg((F.abs(e) <= 300).cast("int")), 8).alias("in_5"))
+    g = long.groupBy("name").agg(F.count("x").alias("n"), F.round(F.count("x") / n_rows(), 8).alias("coverage"), F.round(F.avg((F.abs(e) <= 60).cast("int")), 8).alias("in_1"), F.round(F.avg((F.abs(e) <= 300).cast("int")), 8).alias("in_5"))
+    g = g.join(quantiles(long.withColumn("e", e), "e", [0.5, 0.1, 0.9], by=["name"]).drop("n"), "name", "left")
     return g.select("name", "n", "coverage", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("med", "p10", "p90"))], "in_1", "in_5")
 
 
@@ -40,26 +41,52 @@ def naive_error(s, d):
     return movements(s, d).groupBy("airport").agg(F.round(F.sqrt(F.avg(F.pow(e, F.lit(2)))), 6).alias("rmse"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.avg(e), 6).alias("bias"))
 
 
-@query(f"""with {MOV}, {LINK_SQL}, t as (select m.airport, case when link_id is null then 'none' when typed and turn_secs <= {features.FRESH} then 'high' when turn_secs <= {features.STALE} then 'medium' else 'low' end as tier,
-       turn_secs < 0 or to_next_secs < 0 as bad, link_id is not null as linked from links join m using (mvt_id))
-       select airport, tier, count(*) as n, count(*) filter (where coalesce(bad, false)) as n_bad, case when count(*) filter (where not linked)::double / count(*) > 0.1 then 'HARD' else 'SOFT' end as verdict from t group by all""")
+_TRUTH = f"""{LINK_SQL}, j as (select l.*, m.taxi, m.taxi > "U_sec" + 60 as high, m.taxi < "L_sec" - 60 as low from links l join m using (mvt_id) where m.taxi between 0 and 14400)"""
+
+
+@query(f"""with {MOV}, {_TRUTH} select airport, count(*) as n, round(avg((link_confidence <> 'none')::int), 8) as linked, round(avg(has_next::int), 8) as next, round(coalesce(avg((bound_binding and link_confidence <> 'none')::int) filter (where link_confidence <> 'none' and bound_binding is not null), 0), 8) as binding,
+       round(coalesce(avg((high or low)::int) filter (where link_confidence <> 'none'), 0), 8) as violated, round(avg(high::int) filter (where link_confidence <> 'none'), 8) as too_high, round(avg(low::int) filter (where link_confidence <> 'none'), 8) as too_low,
+       median(interval_sec) filter (where link_confidence <> 'none') as width, case when coalesce(avg((high or low)::int) filter (where link_confidence <> 'none'), 0) <= 0.10 then 'HARD' else 'SOFT' end as verdict from j group by airport""")
 def link_validation(s, d):
+    """Per airport: links, successors, bounds that bind, and how often the true taxi leaves them by over a minute."""
+    j = _truth(s, d)
+    linked = F.col("link_confidence") != "none"
+    share = lambda c: F.avg(F.when(linked, c.cast("int")))
+    violated = F.coalesce(share(F.col("high") | F.col("low")), F.lit(0.0))
+    r = lambda c: F.round(c, 8)
+    g = j.groupBy("airport").agg(
+        n_rows().alias("n"), r(F.avg(linked.cast("int"))).alias("linked"), r(F.avg(F.col("has_next").cast("int"))).alias("next"), r(F.coalesce(share(F.col("bound_binding")), F.lit(0.0))).alias("binding"),
+        r(violated).alias("violated"), r(share(F.col("high"))).alias("too_high"), r(share(F.col("low"))).alias("too_low"), F.when(violated <= 0.10, "HARD").otherwise("SOFT").alias("verdict"),
+    )
+    width = quantiles(j.where(linked), "interval_sec", [0.5], by=["airport"]).select("airport", F.col("q")[0].alias("width"))
+    return g.join(width, "airport", "left")
+
+
+@query(f"""with {MOV}, {_TRUTH} select link_confidence as tier, count(*) as n, round(avg(bound_binding::int), 8) as binding, round(avg((not high and not low)::int), 8) as in_bounds, median(interval_sec) as width from j group by 1""")
+def link_tiers(s, d):
+    j = _truth(s, d)
+    inside = (~F.col("high") & ~F.col("low")).cast("int")
+    g = j.groupBy(F.col("link_confidence").alias("tier")).agg(n_rows().alias("n"), F.round(F.avg(F.col("bound_binding").cast("int")), 8).alias("binding"), F.round(F.avg(inside), 8).alias("in_bounds"))
+    width = quantiles(j, "interval_sec", [0.5], by=["link_confidence"]).select(F.col("link_confidence").alias("tier"), F.col("q")[0].alias("width"))
+    return g.join(width, "tier", "left")
+
+
+def _truth(s, d):
     m = movements(s, d)
-    t = features.stand_links(m).join(m.select("mvt_id", "airport"), "mvt_id")
-    bad = F.coalesce((F.col("turn_secs") < 0) | (F.col("to_next_secs") < 0), F.lit(False))
-    g = t.groupBy("airport", F.col("link_tier").alias("tier")).agg(n_rows().alias("n"), F.count_if(bad).alias("n_bad"), F.count_if(F.col("link_id").isNull()).alias("free"))
-    return g.select("airport", "tier", "n", "n_bad", F.when(F.col("free") / F.col("n") > 0.1, "HARD").otherwise("SOFT").alias("verdict"))
+    truth = m.where("phase = 'DEP' and taxi between 0 and 14400").select("mvt_id", "taxi")
+    taxi = F.col("taxi")
+    return features.stand_links(m).join(truth, "mvt_id").withColumn("high", taxi > F.col("U_sec") + 60).withColumn("low", taxi < F.col("L_sec") - 60)
 
 
-@query(f"""with {MOV}, {LINK_SQL}, x as (select d.d, least(coalesce(to_next_secs, 1000000), greatest(-coalesce(turn_secs, 1000000), 90)) as moved from links join m d using (mvt_id))
-       select round(sqrt(avg(pow(d - 90, 2))), 6) as rmse, round(sqrt(avg(pow(d - moved, 2))), 6) as rmse_bounded from x""")
+@query(f"""with {MOV}, {_TRUTH}, a as (select airport, avg(taxi) as mean from j group by 1), h as (select j.*, mean, greatest("L_sec", least("U_sec", mean)) as clamped from j join a using (airport) where link_confidence = 'high')
+       select count(*) as n, round(sqrt(avg(pow(mean - taxi, 2))), 6) as rmse, round(sqrt(avg(pow(clamped - taxi, 2))), 6) as rmse_clamped, count(*) filter (where mean <> clamped) as changed, count(*) filter (where bound_binding) as binding from h""")
 def truncation_gain(s, d):
-    m = movements(s, d)
-    x = features.stand_links(m).join(m.select("mvt_id", "d"), "mvt_id")
-    moved = features.clip_to_bounds(F.lit(90).cast("bigint"), -F.coalesce("turn_secs", F.lit(1_000_000)), F.lit(None).cast("bigint"))
-    moved = F.least(F.coalesce("to_next_secs", F.lit(1_000_000)), moved)
-    sq = lambda e: F.round(F.sqrt(F.avg(F.pow(e, F.lit(2)))), 6)
-    return x.agg(sq(F.col("d") - 90).alias("rmse"), sq(F.col("d") - moved).alias("rmse_bounded"))
+    """What clamping an airport's mean to the bounds of confident links gains."""
+    j = _truth(s, d)
+    h = j.join(j.groupBy("airport").agg(F.avg("taxi").alias("mean")), "airport").where("link_confidence = 'high'")
+    h = h.withColumn("clamped", features.clip_to_bounds(F.col("mean"), F.col("L_sec"), F.col("U_sec")))
+    sq = lambda c: F.round(F.sqrt(F.avg(F.pow(F.col(c) - F.col("taxi"), F.lit(2)))), 6)
+    return h.agg(n_rows().alias("n"), sq("mean").alias("rmse"), sq("clamped").alias("rmse_clamped"), F.count_if(F.col("mean") != F.col("clamped")).alias("changed"), F.count_if("bound_binding").alias("binding"))
 
 
 @query(f"with {MOV} select airport, ts::date as day, count(distinct user_id) filter (where value < 40) >= 6 as covered from m group by all")

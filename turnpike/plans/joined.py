@@ -17,9 +17,9 @@ def left_join_features(s, d):
     return table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_totalprice", "c_mktsegment", "c_acctbal")
 
 
-@query("select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 45")
+@query("select l_orderkey, l_linenumber, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey")
 def inner_join(s, d):
-    return table(s, d, "lineitem").where("l_quantity > 45").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    return table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @query("select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)")
@@ -28,9 +28,9 @@ def semi_restrict(s, d):
     return table(s, d, "orders").join(rich, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 4000)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def anti_join(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 4000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return table(s, d, "customer").join(table(s, d, "orders").where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query(f"""with {MOV}, a as (select airport, ts::date as day, count(*) as n_dep from m where phase = 'DEP' and user_id % 3 <> 0 group by all),
@@ -55,9 +55,9 @@ def composite_key_join(s, d):
 
 @query("""select o_orderkey, l_linenumber, cn.n_name as cust_nation, sn.n_name as supp_nation, (cn.n_regionkey = sn.n_regionkey)::int as same_region from lineitem
        join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-       left join nation cn on c_nationkey = cn.n_nationkey left join nation sn on s_nationkey = sn.n_nationkey where l_quantity > 40""")
+       left join nation cn on c_nationkey = cn.n_nationkey left join nation sn on s_nationkey = sn.n_nationkey""")
 def dual_dim_join(s, d):
-    line = table(s, d, "lineitem").where("l_quantity > 40")
+    line = table(s, d, "lineitem")
     n = table(s, d, "nation")
     cust = n.select(F.col("n_nationkey").alias("cn_key"), F.col("n_name").alias("cust_nation"), F.col("n_regionkey").alias("cn_region"))
     supp = n.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("supp_nation"), F.col("n_regionkey").alias("sn_region"))
@@ -110,23 +110,28 @@ def asof_forward(s, d):
     return joins.asof(dep, arr, by=["airport", "stand"], left_time="sched_us", right_time="arr_us", right_id="arr_id", columns=["arr_id"], forward=True).select("mvt_id", "arr_id")
 
 
-LINK_SQL = f"""links as (
-    select dep.mvt_id, coalesce(t.mvt_id, a.mvt_id) as link_id, t.mvt_id is not null as typed,
-           trunc((dep.sched_us - coalesce(t.block_us, a.block_us)) / 1e6)::bigint as turn_secs, trunc((f.block_us - dep.sched_us) / 1e6)::bigint as to_next_secs
-    from (select * from m where phase = 'DEP') dep
-    left join (select d.mvt_id as dep_id, arg_max(a.mvt_id, (a.block_us, a.mvt_id)) as mvt_id, max(a.block_us) as block_us from m d join m a on d.phase = 'DEP' and a.phase = 'ARR'
-          and a.airport = d.airport and a.stand = d.stand and a.actype = d.actype and a.block_us <= d.sched_us group by all) t on t.dep_id = dep.mvt_id
-    left join (select d.mvt_id as dep_id, arg_max(a.mvt_id, (a.block_us, a.mvt_id)) as mvt_id, max(a.block_us) as block_us from m d join m a on d.phase = 'DEP' and a.phase = 'ARR'
-          and a.airport = d.airport and a.stand = d.stand and a.block_us <= d.sched_us group by all) a on a.dep_id = dep.mvt_id
-    left join (select d.mvt_id as dep_id, min(a.block_us) as block_us from m d join m a on d.phase = 'DEP' and a.phase = 'ARR'
-          and a.airport = d.airport and a.stand = d.stand and a.block_us >= d.sched_us group by all) f on f.dep_id = dep.mvt_id
-)"""
+_STAND_PAIR = "a.airport = d.airport and a.stand = d.stand"
+LINK_SQL = f"""lk as (select *, t_us - {features.NOMINAL_TAXI}000000 as est from m where phase = 'DEP' and stand is not null and t_us is not null),
+    ar as (select * from m where phase = 'ARR' and stand is not null and block_us is not null),
+    ty as (select d.mvt_id, arg_max(a.mvt_id, (a.block_us, a.mvt_id)) as id from lk d join ar a on {_STAND_PAIR} and a.actype = d.actype and a.block_us <= d.est group by 1),
+    an as (select d.mvt_id, arg_max(a.mvt_id, (a.block_us, a.mvt_id)) as id from lk d join ar a on {_STAND_PAIR} and a.block_us <= d.est group by 1),
+    nx as (select d.mvt_id, min(a.block_us) as us from lk d join ar a on {_STAND_PAIR} and a.block_us >= d.est group by 1),
+    l0 as (select d.mvt_id, d.airport, d.stand, o.mvt_id as inbound_mvt_id, o.block_us as "A_own_us", nx.us as "A_next_us", ty.id is not null as type_match, nx.us is not null as has_next,
+           trunc((d.t_us - o.block_us) / 1e6)::bigint as "U_sec", trunc((d.t_us - nx.us) / 1e6)::bigint as raw_low, trunc((d.est - o.block_us) / 1e6)::bigint as ground_time_sec
+           from lk d left join ty using (mvt_id) left join an using (mvt_id) left join nx using (mvt_id) left join m o on o.mvt_id = coalesce(ty.id, an.id)),
+    l1 as (select *, greatest(0, coalesce(raw_low, 0)) as "L_sec", coalesce(ground_time_sec between {features.GROUND_LEAST} and {features.GROUND_MOST}, false) as plausible from l0),
+    links as (select mvt_id, airport, stand, inbound_mvt_id, "A_own_us", "A_next_us", "L_sec", "U_sec", "U_sec" - "L_sec" as interval_sec, ground_time_sec, type_match, has_next, raw_low > 0 as bound_binding,
+           case when inbound_mvt_id is null then 'none' when type_match and plausible and has_next then 'high' when type_match or plausible then 'med' else 'low' end as link_confidence from l1)"""
 
 
-@query(f"""with {MOV}, {LINK_SQL} select mvt_id, link_id, typed, turn_secs, to_next_secs,
-       case when link_id is null then 'none' when typed and turn_secs <= {features.FRESH} then 'high' when turn_secs <= {features.STALE} then 'medium' else 'low' end as link_tier from links""")
+@query(f"with {MOV}, {LINK_SQL} select * from links")
 def stand_link(s, d):
-    return features.stand_links(movements(s, d)).select("mvt_id", "link_id", "typed", "turn_secs", "to_next_secs", "link_tier")
+    return features.stand_links(movements(s, d))
+
+
+@query(f"with {MOV}, {LINK_SQL} select link_confidence, type_match, has_next, bound_binding, count(*) as n from links group by all")
+def link_confidence(s, d):
+    return features.stand_links(movements(s, d)).groupBy("link_confidence", "type_match", "has_next", "bound_binding").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with dim as (select upper(substr(p_name, 1, 6)) as full_key, upper(substr(p_name, 1, 3)) as base, p_retailprice as v from part where p_partkey % 3 <> 0)
@@ -151,7 +156,7 @@ def backoff_group_mean(s, d):
     return joins.backoff(test, levels, "p", 0.0).agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("bias"))
 
 
-_PAIRS = f"""pairs as (select dep.mvt_id as dep_id, a.mvt_id as arr_id, abs(a.t_us - dep.t_us) // 1000000 as gap from (select * from m where phase = 'DEP') dep
+_PAIRS = f"""pairs as (select dep.mvt_id as dep_id, a.mvt_id as arr_id, abs(a.t_us - dep.t_us) // 1000000 as gap, abs(a.t_us - dep.t_us) as off from (select * from m where phase = 'DEP') dep
        join (select * from m where phase = 'ARR') a on a.airport = dep.airport and a.t_us >= dep.t_us - 180000000 and a.t_us < dep.t_us + 180000000)"""
 
 
@@ -160,7 +165,8 @@ def _pairs(s, d):
     dep = m.where("phase = 'DEP'").select(F.col("mvt_id").alias("dep_id"), "airport", "t_us", F.col("stand").alias("dep_stand"))
     arr = m.where("phase = 'ARR'").select(F.col("mvt_id").alias("arr_id"), F.col("airport").alias("airport_r"), F.col("t_us").alias("arr_us"), F.col("stand").alias("arr_stand"))
     pairs = joins.band(dep, arr, by=["airport"], left_time="t_us", right_time="arr_us", reach=180_000_000)
-    return pairs.withColumn("gap", F.floor(F.abs(F.col("arr_us") - F.col("t_us")) / 1_000_000))
+    off = F.abs(F.col("arr_us") - F.col("t_us"))
+    return pairs.withColumn("gap", F.floor(off / 1_000_000)).withColumn("off", off)
 
 
 @query(f"with {MOV}, {_PAIRS} select dep_id, arr_id, gap from pairs")
@@ -168,11 +174,17 @@ def band_join(s, d):
     return _pairs(s, d).select("dep_id", "arr_id", "gap")
 
 
-@query()
+@query(f"""with recursive {MOV}, {_PAIRS}, ranked as (select p.*, d.airport, (not coalesce(d.stand = a.stand, false))::int as elsewhere,
+           row_number() over (partition by d.airport order by not coalesce(d.stand = a.stand, false), off, dep_id, arr_id) as i from pairs p join m d on d.mvt_id = dep_id join m a on a.mvt_id = arr_id),
+       greedy as (select airport, 0::bigint as i, []::bigint[] as ds, []::bigint[] as rs, null::bigint as dep_id, null::bigint as arr_id from (select distinct airport from ranked)
+                  union all
+                  select g.airport, r.i, case when ok then list_append(ds, r.dep_id) else ds end, case when ok then list_append(rs, r.arr_id) else rs end, case when ok then r.dep_id end, case when ok then r.arr_id end
+                  from greedy g join ranked r on r.airport = g.airport and r.i = g.i + 1, lateral (select not list_contains(ds, r.dep_id) and not list_contains(rs, r.arr_id) as ok) o)
+       select r.dep_id, r.arr_id, r.elsewhere, r.off from greedy g join ranked r on r.airport = g.airport and r.dep_id = g.dep_id and r.arr_id = g.arr_id""")
 def greedy_match(s, d):
-    """One-to-one matches of the band pairs by visit to the stand, gap and ids; tests hold it against a sequential pass."""
-    pairs = _pairs(s, d).withColumn("elsewhere", (~X.null_safe(F.col("dep_stand") == F.col("arr_stand"))).cast("int")).select("dep_id", "arr_id", "elsewhere", "gap")
-    return joins.greedy_one_to_one(pairs, left="dep_id", right="arr_id", cost=["elsewhere", "gap"])
+    """One-to-one matches of the band pairs by visit to the stand, distance in time and ids."""
+    pairs = _pairs(s, d).withColumn("elsewhere", (~X.null_safe(F.col("dep_stand") == F.col("arr_stand"))).cast("int")).select("dep_id", "arr_id", "elsewhere", "off")
+    return joins.greedy_one_to_one(pairs, left="dep_id", right="arr_id", cost=["elsewhere", "off"])
 
 
 @query("""with a as (select l_orderkey, l_linenumber, l_quantity * 1.1 as p from lineitem), b as (select l_orderkey, l_linenumber, l_quantity + 1 as p from lineitem)
