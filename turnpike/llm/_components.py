@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is a partial ``min`` per node, so a hub's edges are combined before the shuffle, and an equi-join
-under a salt, so that they are dealt to several tasks. Edges are only ever re-pointed at smaller
-nodes, their number never grows, and nothing but two totals per round reaches the driver.
+Each round is a partial ``min`` per node, so a hub's edges are combined before the shuffle, and an equi-join.
+Hubs are nodes of so many edges that their table is small by arithmetic; it is broadcast, so that a hub's edges stay
+where they are. Edges are only ever re-pointed at smaller nodes, their number never grows, and nothing but two totals
+per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from turnpike.llm._store import cut
 
 
-#: Parts that a node's edges are dealt into for the join with its minimum.
-SALTS = 8
+#: Edges above which a node is a hub, at least, and hubs at most: edges over this number make hubs rarer.
+HUB_EDGES, MOST_HUBS = 512, 200_000
 
 
 def _totals(edges: DataFrame) -> tuple:
@@ -40,13 +41,16 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     seen = _totals(current)
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        # Both directions of n edges hold at most MOST_HUBS nodes of more than 2 n / MOST_HUBS edges.
+        limit = max(HUB_EDGES, 2 * seen[0] // MOST_HUBS)
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+        up = both.where(F.col("v") > F.col("u")).join(hubs, F.col("u") == F.col("hub"), "left")
+        others = up.where(F.col("hub").isNull()).join(low.where(F.col("n") <= limit), "u")
         large = (
-            both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("bigint"))
-            .join(low, ["u", "salt"])
-            .where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+            up.where(F.col("hub").isNotNull())
+            .select(F.col("v").alias("u"), F.least("u", "hub_m").alias("v"))
+            .unionByName(others.select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
             .distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -2,7 +2,7 @@
 
 Equal fingerprints become one class first (partial aggregation). The classes are then partitioned by a
 shallow vantage-point tree over the whole table: every level has one vantage point, every node the median
-distance as its radius, taken from distance histograms that Spark aggregates (65 counts per node reach the
+distance as its radius, taken from distance histograms that Spark aggregates (a bounded number of counts reaches the
 driver, never fingerprints). A class lives in one leaf, and visits those leaves across a boundary that the
 triangle inequality can't rule out. Every leaf is searched by a local vantage-point recursion. Only a
 spanning forest leaves a leaf, so rows stay linear in the classes whatever the size of a group.
@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 from turnpike.llm._components import Forest, components
 from turnpike.llm._store import cut
 
+#: Levels of the tree with radii of their own for each node; nodes below share those of their ancestor there, level by
+#: level, so at most 2**TOP * 65 counts a level reach the driver, and as many radii a level the workers.
+TOP = 10
+#: Leaves up to which the table of oversized ones is broadcast.
+BROADCAST_LEAVES = 100_000
 #: Classes that one leaf of the distributed tree should hold.
 LEAF = 32_768
 #: Rows (classes and visitors) of a leaf above which it is cut into blocks that are compared pairwise.
@@ -67,6 +72,11 @@ def _vantage(level: int) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(b"vantage point", level))
 
 
+def _ancestor(node: np.ndarray, level: int) -> np.ndarray:
+    """The node, or the one above it that radii are kept for."""
+    return node >> max(0, level - TOP)
+
+
 def _route(fp: np.ndarray, radii: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaves of each fingerprint: (row, leaf, visits). Home points cross outwards only, so a pair meets once."""
     row = np.arange(len(fp))
@@ -74,7 +84,7 @@ def _route(fp: np.ndarray, radii: list[np.ndarray], reach: int) -> tuple[np.ndar
     visits = np.zeros(len(fp), dtype=bool)
     for level, radius in enumerate(radii):
         d = _distance(fp, _vantage(level))[row].astype(np.int16)
-        r = radius[node]
+        r = radius[_ancestor(node, level)]
         inside = np.where(visits, d <= r + reach, d <= r)
         outside = np.where(visits, d > r - reach, d > r)
         crossing = ~visits & inside & (d > r - reach)
@@ -85,23 +95,24 @@ def _route(fp: np.ndarray, radii: list[np.ndarray], reach: int) -> tuple[np.ndar
 
 
 def _tree(classes: DataFrame, levels: int) -> list[np.ndarray]:
-    """Radii by level and node: medians of distance histograms, aggregated by Spark."""
+    """Radii by level and node (``TOP`` bounds the nodes): medians of distance histograms, aggregated by Spark."""
     radii: list[np.ndarray] = []
     for level in range(levels):
+        nodes = 1 << min(level, TOP)
 
-        def count(batches: Iterator[pa.RecordBatch], radii=tuple(radii), level=level) -> Iterator[pa.RecordBatch]:
-            bins = np.zeros((1 << level, 65), dtype=np.int64)
+        def count(batches: Iterator[pa.RecordBatch], radii=tuple(radii), level=level, nodes=nodes) -> Iterator[pa.RecordBatch]:
+            bins = np.zeros((nodes, 65), dtype=np.int64)
             for batch in batches:
                 fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 node = np.zeros(len(fp), dtype=np.int64)
                 for up, radius in enumerate(radii):
-                    node = node * 2 + (_distance(fp, _vantage(up)) > radius[node])
-                np.add.at(bins, (node, _distance(fp, _vantage(level))), 1)
+                    node = node * 2 + (_distance(fp, _vantage(up)) > radius[_ancestor(node, up)])
+                np.add.at(bins, (_ancestor(node, level), _distance(fp, _vantage(level))), 1)
             node, d = np.nonzero(bins)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(d), pa.array(bins[node, d])], ["node", "d", "n"])
 
         rows = classes.select("fp").mapInArrow(count, "node bigint, d bigint, n bigint").groupBy("node", "d").agg(F.sum("n").alias("n")).collect()
-        bins = np.zeros((1 << level, 65), dtype=np.int64)
+        bins = np.zeros((nodes, 65), dtype=np.int64)
         for x in rows:
             bins[x["node"], x["d"]] = x["n"]
         under = bins.cumsum(axis=1)
@@ -169,13 +180,13 @@ def link_classes(classes: DataFrame, *, reach: int = 3, leaf: int = LEAF, block:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp[row]), pa.array(rep[row]), pa.array(visits)], ["leaf", "fp", "rep", "visits"])
 
     routed = classes.select("fp", "rep").mapInArrow(route, "leaf bigint, fp bigint, rep bigint, visits boolean")
-    large = {x["leaf"]: -(-x["n"] // block) for x in routed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).collect()}
-    if large:
-        # Blocks of an oversized leaf are compared pairwise: a row goes to every pair that its block is in.
-        blocks = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-        count = F.coalesce(F.try_element_at(blocks, F.col("leaf")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), count).cast("int")
-        routed = routed.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)))
+    # Blocks of an oversized leaf are compared pairwise: a row goes to every pair that its block is in.
+    large = cut(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"))
+    found = large.count()
+    if found:
+        routed = routed.join(F.broadcast(large) if found <= BROADCAST_LEAVES else large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        routed = routed.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         routed = routed.select("leaf", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "fp", "rep", "visits")
     else:
         routed = routed.select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp", "rep", "visits")
@@ -228,12 +239,13 @@ def _first_rows(docs: DataFrame, rows: DataFrame, group: list[str], id_col: str,
     """
     counted = rows.groupBy("id", "digest", *group).agg(F.count(F.lit(1)).alias("n"))
     first = counted.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col("digest").isNull().alias("none"), "digest", "n")).alias("e"))
-    first = cut(first.select(F.col("e.id").alias("__tp_id"), F.col("e.digest").alias("__tp_digest"), F.col("e.n").alias("n")), rows.count())
-    own = docs[id_col].cast("long").eqNullSafe(F.col("__tp_id")) & F.md5(docs[text_col]).eqNullSafe(F.col("__tp_digest"))
-    once = docs.join(first.select("__tp_id", "__tp_digest"), own, "left_semi")
-    if first.where("n > 1").isEmpty():
-        return once
-    return once.withColumn("__tp_digest", F.md5(text_col)).dropDuplicates([id_col, "__tp_digest"]).drop("__tp_digest")
+    first = cut(first.select(F.col("e.id").alias("__tp_id"), F.col("e.digest").alias("__tp_digest"), F.col("e.n").alias("__tp_n")), rows.count())
+    named = docs.withColumn("__tp_key", F.md5(text_col))
+    joined = named.join(first, named[id_col].cast("long").eqNullSafe(F.col("__tp_id")) & named["__tp_key"].eqNullSafe(F.col("__tp_digest")))
+    # Of repeated rows the least in all columns stays, whatever their order; a partial minimum bears many.
+    single = joined.where("__tp_n = 1").select(*docs.columns)
+    repeated = joined.where("__tp_n > 1").groupBy("__tp_id", "__tp_digest").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("__tp_row"))
+    return single.unionByName(repeated.select("__tp_row.*"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 3, leaf: int = LEAF) -> DataFrame:
@@ -261,8 +273,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 20, 6
 #: Bits of 64 in which fingerprints of a candidate pair may differ. A pair at 0.8 is expected to differ in 9.7, with a deviation of 2.9.
 WIDE = 22
-#: Texts under one band up to which all pairs are candidates; more are dealt into parts of about half as many.
-CROWD = 192
+#: Texts, and shingles of theirs, in a block of the texts under one band; blocks are compared pairwise.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1_500, 1_000_000
+#: Cells of the matrix that a comparison lays out at a time.
+_CELLS = 4_000_000
 #: Parts that the pairs of one text are dealt into.
 SALTS = 64
 
@@ -307,27 +321,81 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= F.lit(similarity)).select("a", "b")
 
 
-def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, similarity: float = SIMILARITY, wide: int = WIDE, crowd: int = CROWD) -> DataFrame:
+def _overlaps(flat: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the ``first`` with the ``second`` sets, which lie end to end in ``flat``."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    values, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    # A shingle of one text alone is in no intersection.
+    wanted = counts > 1
+    place = np.cumsum(wanted) - 1
+    shared = wanted[column]
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n_columns = int(wanted.sum())
+    total, width = np.zeros((len(first), len(second)), dtype=np.float32), max(1, _CELLS // max(1, len(sizes)))
+    for at in range(0, n_columns, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        cells = np.zeros((len(sizes), min(width, n_columns - at)), dtype=np.float32)
+        cells[row[lo:hi], column[lo:hi] - at] = 1
+        total += cells[first] @ cells[second].T
+    return total
+
+
+def _links_in_blocks(left: DataFrame, sets: DataFrame, similarity: float, wide: int, block_texts: int) -> DataFrame:
+    """``left(key, node, fp, root)`` -> edges ``(a, b)`` that join the roots of similar texts under one key.
+
+    Texts of a key are dealt out as pairs of blocks and each block pair is compared outright on the exact sets; only a
+    spanning forest of roots leaves it, so no group yields its pairs as rows.
+    """
+    sized = left.join(sets.select("node", "s"), "node")
+    measured = left.join(sets.select("node", F.size("s").alias("words")), "node")
+    several = measured.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where("low < high")
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(block_texts)), F.ceil(F.col("words") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = sized.join(several.select("key", parts.alias("parts")), "key")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "root", "fp", "s")
+
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, root, fp = table["own"].to_numpy(), table["root"].to_numpy(), table["fp"].to_numpy().astype(np.int64).view(np.uint64)
+        lists = table["s"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        ids, place = np.unique(root, return_inverse=True)
+        forest = Forest(len(ids))
+        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if len(ids) > 1 and len(first) and len(second):
+            shared = _overlaps(lists.flatten().to_numpy(), sizes, first, second)
+            for k, a in enumerate(first.tolist()):
+                near = (place[second] != place[a]) & (_distance(fp[second], fp[a]) <= wide)
+                alike = near & (shared[k].astype(np.float64) / (sizes[a] + sizes[second] - shared[k]) >= similarity)
+                if alike.any():
+                    forest.link(place[second[alike]], np.full(int(alike.sum()), place[a]))
+        a, b = forest.stars(ids)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
+def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, similarity: float = SIMILARITY, wide: int = WIDE, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """``classes(node, fp, bands)`` -> links ``(a, b)`` of nodes, each checked on the sets that ``sets_of(nodes)`` gives.
 
-    First every text meets the smallest under each of its bands. Texts that this leaves in different components
-    meet all others under the band, or those of their part where more than ``crowd`` share it.
+    Every band is led by its smallest text. First every text meets two leaders: the smallest, and the one of most of its
+    bands. Bands whose texts this leaves in different components are then compared whole, in pairs of blocks; texts of
+    one component needn't meet again.
     """
     rows = classes.select("node", "fp", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int"))
     low = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("low")).where("n > 1")
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    shared = cut(rows.join(low, ["key", "salt"]).select("key", "node", "fp", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp"), "n"))
+    shared = cut(rows.join(low, ["key", "salt"]).select("key", "node", "fp", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp")))
     sets = cut(sets_of(shared.select("node").distinct()))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= wide
-
-    stars = shared.where((F.col("node") != F.col("low")) & near("fp", "low_fp")).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("low_fp"))) <= wide
+    led = shared.where((F.col("node") != F.col("low")) & near).groupBy("node", "low").agg(F.count(F.lit(1)).alias("n"))
+    chosen = F.array_distinct(F.array(F.min("low"), F.max_by("low", F.struct("n", -F.col("low")))))
+    stars = led.groupBy("node").agg(chosen.alias("leaders")).select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
     links = cut(_similar(stars, sets, similarity))
-    roots = components(links)
-    part = F.when(F.col("n") > crowd, F.pmod(F.xxhash64("node", "key"), F.ceil(2 * F.col("n") / crowd))).otherwise(0)
-    left = shared.withColumn("part", part).join(roots, "node", "left").select("key", "part", "node", "fp", "low", F.coalesce("root", "node").alias("root"))
-    other = left.select("key", "part", F.col("node").alias("other"), F.col("fp").alias("other_fp"), F.col("root").alias("other_root"))
-    pairs = left.join(other, ["key", "part"]).where((F.col("node") < F.col("other")) & (F.col("root") != F.col("other_root")) & (F.col("node") != F.col("low")) & near("fp", "other_fp"))
-    return links.unionByName(cut(_similar(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), sets, similarity)))
+    left = cut(shared.join(components(links), "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root")))
+    return links.unionByName(cut(_links_in_blocks(left, sets, similarity, wide, block_texts)))
 
 
 def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
