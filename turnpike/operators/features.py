@@ -93,7 +93,8 @@ def with_links(dep: DataFrame, m: DataFrame) -> DataFrame:
     arr = m.where("phase = 'ARR'").where(F.col("stand").isNotNull() & F.col("block_us").isNotNull()).select(*_ARRIVAL, "airport", "stand")
     frame = dep.withColumn("_est", F.col("t_us") - NOMINAL_TAXI * MICROS)
     lookups = {"_any": ("backward", None), "_next": ("forward", None), "_typed": ("backward", "actype")}
-    found = joins.asof_many(frame, arr, by=["airport", "stand"], left_time="_est", right_time="block_us", right_id="mvt_id", columns=_ARRIVAL, lookups=lookups)
+    asked = m.where("phase = 'DEP'").withColumn("_est", F.col("t_us") - NOMINAL_TAXI * MICROS)
+    found = joins.asof_many(frame, arr, by=["airport", "stand"], left_time="_est", right_time="block_us", right_id="mvt_id", columns=_ARRIVAL, lookups=lookups, source=asked)
     found = found.withColumn("_in", F.coalesce("_typed", "_any"))
     since, after, ground = secs_between("t_us", "_in.block_us"), secs_between("t_us", "_next.block_us"), secs_between("_est", "_in.block_us")
     typed, plausible, followed = F.col("_typed").isNotNull(), F.coalesce(ground.between(GROUND_LEAST, GROUND_MOST), F.lit(False)), F.col("_next").isNotNull()

@@ -28,6 +28,7 @@ def asof_many(
     columns: Sequence[str],
     lookups: dict[str, tuple[str, str | None]],
     block: int = BLOCK,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add to each left row a struct of the right ``columns`` for every lookup ``name: (direction, extra key)``.
 
@@ -38,6 +39,7 @@ def asof_many(
     Both sides are united in one exchange by key and time block, and ordered windows carry the right rows, so the cost is
     a few sorts and no join. What a block needs from outside comes in as rows of its own: the last right row of each
     extra key before the block and the first one after it. So no task holds a whole key, nor one the rows without a key.
+    Which blocks have left rows is read from ``source``, the same rows with ``by`` and the time, where ``left`` is costly.
     """
     names, extra = [f"_k{i}" for i in range(len(by))], next((x for _, x in lookups.values() if x), None)
     if any(x not in (None, extra) for _, x in lookups.values()):
@@ -50,30 +52,33 @@ def asof_many(
         on = F.col(extra) if extra else F.lit(None).cast("string")
         return [*[F.col(k).alias(n) for k, n in zip(by, names, strict=True)], on.alias("_x"), F.col(time).alias("_t"), F.floor(F.col(time) / block).alias("_b")]
 
-    ours = left.where(usable).select(*keyed(left, left_time), row.alias("_row"))
+    # Left rows that match nothing go along under a null key, dealt by their hash.
+    ours = left.select(*keyed(left, left_time), row.alias("_row"), F.coalesce(usable, F.lit(False)).alias("_ok"))
+    dealt = F.when(F.col("_ok"), F.col("_b")).otherwise(F.pmod(F.xxhash64("_row"), F.lit(4096)))
+    ours = ours.select(*[F.when(F.col("_ok"), F.col(n)).alias(n) for n in names], "_x", "_t", dealt.alias("_b"), "_row")
     theirs = right.where(_all_known([*by, right_time])).select(*keyed(right, right_time), F.col(right_id).cast("bigint").alias("_id"), payload.alias("_p"))
 
-    def lay(frame: DataFrame, side: int, back: bool, ahead: bool, own: bool = False) -> DataFrame:
+    def lay(frame: DataFrame, side: int, back: Column | None, ahead: Column | None, own: bool = False) -> DataFrame:
         none = lambda kind: F.lit(None).cast(kind)
         return frame.select(
             *names, "_x", "_t", "_b", F.lit(side).alias("_side"), none("bigint").alias("_id") if own else F.col("_id"),
-            (F.col("_p") if back else none(types["_p"])).alias("_back"), (F.col("_p") if ahead else none(types["_p"])).alias("_ahead"),
-            (F.col("_row") if own else none(types["_row"])).alias("_row"),
+            (none(types["_p"]) if back is None else back).alias("_back"), (none(types["_p"]) if ahead is None else ahead).alias("_ahead"), (F.col("_row") if own else none(types["_row"])).alias("_row"),
         )
 
     # Which blocks of a key have left rows, so that nothing is carried beyond them.
-    span = ours.groupBy(*names).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    blocks = (left if source is None else source).where(usable).select(*keyed(left, left_time))
+    span = blocks.groupBy(*names).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
     at, edge = F.struct("_t", "_id"), F.struct("_t", "_id", "_p")
-    before = theirs.groupBy(*names, "_x", "_b").agg(F.max_by(edge, at).alias("_e")).join(span, names)
-    later = F.coalesce(F.lead("_b").over(Window.partitionBy(*names, "_x").orderBy("_b")), F.col("_hi"))
-    before = before.withColumn("_until", F.least(later, F.col("_hi"))).withColumn("_from", F.greatest(F.col("_b") + 1, F.col("_lo"))).where("_from <= _until")
-    before = before.select(*names, "_x", F.explode(F.sequence("_from", "_until")).alias("_b"), "_e.*")
-    frames = [lay(ours, 1, False, False, own=True), lay(theirs, 0, True, True), lay(before, 0, True, False)]
-    if any(direction == "forward" for direction, _ in lookups.values()):
-        after = theirs.groupBy(*names, "_x", "_b").agg(F.min_by(edge, at).alias("_e")).join(span, names)
-        earlier = F.coalesce(F.lag("_b").over(Window.partitionBy(*names, "_x").orderBy("_b")), F.col("_lo"))
-        after = after.withColumn("_from", F.greatest(earlier, F.col("_lo"))).withColumn("_until", F.least(F.col("_b") - 1, F.col("_hi"))).where("_from <= _until")
-        frames.append(lay(after.select(*names, "_x", F.explode(F.sequence("_from", "_until")).alias("_b"), "_e.*"), 0, False, True))
+    edges = theirs.groupBy(*names, "_x", "_b").agg(F.max_by(edge, at).alias("_last"), F.min_by(edge, at).alias("_first")).join(span, names)
+    near = Window.partitionBy(*names, "_x").orderBy("_b")
+    edges = edges.withColumn("_later", F.coalesce(F.lead("_b").over(near), F.col("_hi"))).withColumn("_earlier", F.coalesce(F.lag("_b").over(near), F.col("_lo")))
+    reach = {True: (F.greatest(F.col("_b") + 1, F.col("_lo")), F.least("_later", "_hi")), False: (F.greatest("_earlier", "_lo"), F.least(F.col("_b") - 1, F.col("_hi")))}
+    carried = [F.struct(F.lit(back).alias("back"), lo.alias("lo"), hi.alias("hi"), F.col("_last" if back else "_first").alias("e")) for back, (lo, hi) in reach.items()]
+    if all(direction != "forward" for direction, _ in lookups.values()):
+        carried = carried[:1]
+    spread = edges.select(*names, "_x", F.explode(F.array(*carried)).alias("_c")).where("_c.lo <= _c.hi")
+    spread = spread.select(*names, "_x", F.explode(F.sequence("_c.lo", "_c.hi")).alias("_b"), "_c.e.*", F.col("_c.back").alias("_is_back"))
+    frames = [lay(ours, 1, None, None, own=True), lay(theirs, 0, F.col("_p"), F.col("_p")), lay(spread, 0, F.when(F.col("_is_back"), F.col("_p")), F.when(~F.col("_is_back"), F.col("_p")))]
     out = reduce(DataFrame.unionByName, frames)
     # Lookups without the extra key come first: their partitioning serves the others too.
     for name, (direction, x) in sorted(lookups.items(), key=lambda item: item[1][1] is not None):
@@ -82,9 +87,7 @@ def asof_many(
         window = Window.partitionBy(*names, "_b", *(["_x"] if x else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = F.last("_ahead" if ahead else "_back", ignorenulls=True).over(window)
         out = out.withColumn(f"_f_{name}", F.when(F.col("_x").isNotNull(), found) if x else found)
-    matched = out.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_f_{n}").alias(n) for n in lookups])
-    rest = left.where(~F.coalesce(usable, F.lit(False))).select("*", *[F.lit(None).cast(types["_p"]).alias(n) for n in lookups])
-    return matched.unionByName(rest)
+    return out.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_f_{n}").alias(n) for n in lookups])
 
 
 def asof(
