@@ -1,17 +1,20 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding lower-cases, maps homoglyphs (look-alike letters of other scripts, full-width forms) and digit
-substitutions to the letters they stand for, and turns everything else that isn't a letter into a space.
+Folding decomposes compatibility forms (full-width, mathematical, circled letters, ligatures), lower-cases, drops
+the marks that go on letters of any script (accents, strokes), maps homoglyphs and digit substitutions to the
+letters they stand for, and turns everything else that isn't a letter into a space. Marks that a script needs
+(Indic vowels, Arabic and Hebrew points) stay.
 Terms are whole words or word beginnings. An exception phrase is a term with the word before or after it
 that is known to be harmless; a match inside one doesn't count. The weights of the matches are summed and
 normalised by length, and a logistic curve turns both into a score.
 
 The lexicon is learned: document frequencies of words and word beginnings by label are counted by Spark over
-a bounded sample of labelled rows, and terms with strong log-odds are kept, up to a bound.
+a bounded sample of labelled rows, and all terms with strong log-odds are kept.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -27,8 +30,6 @@ from turnpike.llm.quality_gam import training_labels
 
 #: Labelled rows that the lexicon is learned from at most.
 TRAIN_ROWS = 12_000
-#: Terms and exception phrases kept at most, the strongest first.
-MAX_TERMS, MAX_EXCEPTIONS = 4_000, 4_000
 #: Letters of a word beginning.
 PREFIXES = range(4, 9)
 #: A term occurs in at least so many toxic documents, with at least this log-odds.
@@ -43,7 +44,11 @@ HOMOGLYPHS = (
     ("ıʟɡɑ", "ilga"),
 )
 # Digits and signs written for letters.
-SUBSTITUTIONS = ("013457@", "oieasta")
+SUBSTITUTIONS = ("013457@$", "oieastas")
+# Blocks of marks that combine with letters of any script, first and last code point.
+FREE_MARKS = ((0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))
+# First code points of runs of 26 letters that have no compatibility form (circled, squared, flags).
+LETTER_RUNS = (0x1F150, 0x1F170, 0x1F1E6)
 
 
 class _Fold(dict):
@@ -56,10 +61,12 @@ class _Fold(dict):
         self.update({ord(a): b for a, b in zip(*SUBSTITUTIONS, strict=True)})
 
     def __missing__(self, point: int) -> str:
-        char = chr(point)
-        if 0xFF01 <= point <= 0xFF5E:
-            out = fold(chr(point - 0xFEE0))
-        elif char.isalpha():
+        char, run = chr(point), next((r for r in LETTER_RUNS if r <= point < r + 26), None)
+        if run is not None:
+            out = chr(ord("a") + point - run)
+        elif any(first <= point <= last for first, last in FREE_MARKS):
+            out = ""
+        elif char.isalpha() or unicodedata.category(char) in ("Mn", "Mc"):
             out = char
         else:
             out = "" if point in (0x200B, 0x200C, 0x200D, 0xAD) else " "
@@ -71,10 +78,12 @@ _FOLD: dict | None = None
 
 
 def fold(text: str) -> str:
-    """Lower case, homoglyphs and digits as letters, zero-width characters dropped, the rest spaces."""
+    """Lower case, homoglyphs, digits and styled letters as letters, accents and zero-width characters dropped, the rest spaces."""
     global _FOLD
     if _FOLD is None:
         _FOLD = _Fold()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     return text.lower().translate(_FOLD)
 
 
@@ -117,9 +126,7 @@ class Lexicon:
                 hits[start] = max(weight, hits.get(start, 0.0))
             else:
                 spared.append((start, end))
-        if spared:
-            hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spared)}
-        total = sum(hits.values())
+        total = sum(_outside(hits, spared)) if spared else sum(hits.values())
         return total, total / np.sqrt(max(LEAST_WORDS, folded.count(" ") - 1))
 
     def score(self, total: float, dense: float) -> float:
@@ -127,6 +134,17 @@ class Lexicon:
         return float(1.0 / (1.0 + np.exp(-np.clip(a + b * np.log1p(total) + c * dense, -30, 30))))
 
 
+def _outside(hits: dict[int, float], spans: list[tuple[int, int]]) -> Iterator[float]:
+    """Weights of the hits that start in none of the half-open spans: one sweep over both in order."""
+    spans, at_span, reach = sorted(spans), 0, -1
+    for at in sorted(hits):
+        while at_span < len(spans) and spans[at_span][0] <= at:
+            reach = max(reach, spans[at_span][1])
+            at_span += 1
+        if at >= reach:
+            yield hits[at]
+
+
 def _candidates(text: str) -> tuple[set[str], set[str]]:
     """Words and word beginnings of a text, and its pairs of neighbouring words."""
     words = fold(text).split()
@@ -181,8 +199,7 @@ def _exceptions(known: DataFrame, terms: Sequence[str]) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int64())], ["phrase", "y"])
 
     rows = known.mapInArrow(run, "phrase string, y bigint").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    rows = rows.where("toxic = 0 and n >= 2").orderBy(F.desc("n"), "phrase").limit(MAX_EXCEPTIONS)
-    return [x["phrase"] for x in rows.collect()]
+    return sorted(x["phrase"] for x in rows.where("toxic = 0 and n >= 2").collect())
 
 
 def _prune(rows: list[tuple[str, float, int]]) -> dict[str, float]:
@@ -211,7 +228,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", modulus: int = 5, held_out: int = 0, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Learn terms, exceptions and curve from at most ``most`` labelled rows.
 
-    That many ids are broadcast; counts, at most ``MAX_TERMS`` terms and two numbers per labelled row are collected.
+    That many ids are broadcast. Of these rows' words, those that occur in ``LEAST_DOCS`` toxic ones with the odds
+    asked for, their neighbours, and two numbers per row are collected, so what is collected is bounded with the rows.
     Without toxic rows the lexicon is empty and every score is the smoothed share of toxic rows.
     """
     chosen = F.broadcast(training_labels(labels, label_col, id_col=id_col, modulus=modulus, held_out=held_out, most=most))
@@ -224,8 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", modul
         return Lexicon({}, (), (float(np.log(share / (1 - share))), 0.0, 0.0))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (n - toxic + 1))
     rows = _counted(known).withColumn("odds", odds).where((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    rows = rows.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
-    terms = _prune([(x["term"], x["odds"], x["toxic"]) for x in rows])
+    terms = _prune([(x["term"], x["odds"], x["toxic"]) for x in rows.collect()])
     lexicon = Lexicon(terms, tuple(_exceptions(known, list(terms))))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
