@@ -94,11 +94,10 @@ def near_vectors(
     rows = base.select("id", "label", plain.alias("v")).withColumn("key", F.unhex(F.sha2(F.to_json(F.struct("label", "v")), 256)))
     rows = cut(rows.select("id", "label", "v", F.when(F.col("v").isNotNull(), F.col("key")).alias("key")))
     classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), F.first("label").alias("label"), F.first("v").alias("v"))
-    # Classes are numbered by half of their digest.
-    number = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")
     n = rows.count()
-    # Vectors are wide, and each is hashed many times next: more files than their number alone would give.
-    classes = cut(classes.withColumn("class", number), 16 * n)
+    # Numbers are given once and kept with the classes, so no two share one. Vectors are wide, and each is hashed
+    # many times next: more files than their number alone would give.
+    classes = cut(classes.withColumn("class", F.monotonically_increasing_id()), 16 * n)
     found = cut(_search(classes, threshold, tables_for(recall, projections, width), projections, width, block))
     others = found.where(F.col("root").isNull()).groupBy("class").agg(F.sum("n").alias("others"))
     roots = components(found.where(F.col("root").isNotNull()).select(F.col("class").alias("a"), F.col("root").alias("b")), n)
