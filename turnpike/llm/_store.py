@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnpike-checkpoint-"))
-
+from turnpike.operators.store import ensure_folder
 
 #: Rows that one checkpoint file should hold at least, where their number is known.
 ROWS_A_FILE = 50_000
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a local session without one uses its warehouse."""
+    return ensure_folder(spark)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage; lost executors cost no recomputation.
 
