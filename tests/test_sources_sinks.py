@@ -1,12 +1,16 @@
 """Readers, writers, streaming twins and model stages on small literal inputs."""
 
 import bz2
+import gzip
+import io
+import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnpike.operators import models
-from turnpike.sources import sinks
+from turnpike.sources import archives, sinks
 from turnpike.sources import tables as S
 from turnpike.streaming import windows
 
@@ -201,3 +205,43 @@ def test_group_encodings_out_of_fold(spark):
     assert (got[2].op_n, got[2].op_echo_rate, got[2].op_mean_d) == (1, 1.0, 0.0)
     assert (got[3].op_n, got[3].stand_n, got[3].stand_echo_rate) == (0, 0, 1.0)
     assert got[4].op_echo_rate == pytest.approx(1 / 3) and got[4].op_n == 0
+
+
+def archive(path, members):
+    """A tar of traces; a member that is no dictionary is written as it is."""
+    with tarfile.open(path, "w") as tar:
+        for name, content in members.items():
+            data = gzip.compress(json.dumps(content).encode()) if isinstance(content, dict) else content
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+
+
+def test_split_archives_replicas_and_broken_members(spark, tmp_path):
+    points = [[0, 1.0, 1.0, "ground", 3.0, None, 0, 0, {"a": 1}, "x"], [5, 1.5, 1.5, 900], [9, 50.0, 50.0, 1]]
+    good = {"a/trace_full_abc.json": {"icao": "ABC", "r": "D-X", "timestamp": 100.0, "trace": points}, "readme.txt": b"no trace", "a/trace_full_def.json": {"trace": []}}
+    archive(tmp_path / "good.tar", good)
+    archive(tmp_path / "bad.tar", good | {"a/trace_full_bad.json": b"\x1f\x8bbroken"})
+    whole = (tmp_path / "good.tar").read_bytes()
+    (tmp_path / "p1").write_bytes(whole[:1000])
+    (tmp_path / "p2").write_bytes(whole[1000:])
+    (tmp_path / "cut.tar").write_bytes(whole[:600])
+    split, bad, cut = [str(tmp_path / "p1"), str(tmp_path / "p2")], [str(tmp_path / "bad.tar")], [str(tmp_path / "cut.tar")]
+    traces = archives.trace_archives(spark, [("2024-01-01", split), ("2024-01-02", bad)], tolerant=True).collect()
+    assert sorted((r.day, r.hex, r.reg, r.base, r.error is None) for r in traces) == [("2024-01-01", "abc", "D-X", 100.0, True), ("2024-01-01", "def", None, 0.0, True), ("2024-01-02", "abc", "D-X", 100.0, True), ("2024-01-02", "bad", None, None, False), ("2024-01-02", "def", None, 0.0, True)]
+    boxes = spark.createDataFrame([("B", 2, 0.0, 2.0, 0.0, 2.0), ("A", 1, 1.2, 2.0, 1.2, 2.0)], "box string, box_order int, lat_min double, lat_max double, lon_min double, lon_max double")
+    days = {"2024-01-01": [cut, split], "2024-01-02": [bad, cut]}
+    out, manifest = str(tmp_path / "points"), str(tmp_path / "manifest")
+    assert archives.ingest_days(spark, days, boxes, out, manifest) == ["2024-01-01", "2024-01-02"]
+    assert archives.ingest_days(spark, days, boxes, out, manifest) == []
+    got = [(str(r.day), r.hex, r.ts, r.is_ground, r.alt_raw, r.gs, r.src, r.airport) for r in S.read_days(spark, out).orderBy("day", "ts").collect()]
+    assert got[:2] == [("2024-01-01", "abc", 100.0, True, None, 3.0, "x", "B"), ("2024-01-01", "abc", 105.0, False, 900.0, None, None, "A")] and len(got) == 4
+    assert sorted((r.day, r.replica, r.traces, r.broken) for r in spark.read.json(manifest).collect()) == [("2024-01-01", 1, 2, 0), ("2024-01-02", 0, 3, 1)]
+
+
+def test_transfers_are_whole_and_happen_once(spark, tmp_path):
+    (tmp_path / "a").write_text("one")
+    assert archives.transfer(spark, str(tmp_path / "a"), str(tmp_path / "b")) and (tmp_path / "b").read_text() == "one"
+    (tmp_path / "a").write_text("two")
+    assert not archives.transfer(spark, str(tmp_path / "a"), str(tmp_path / "b")) and (tmp_path / "b").read_text() == "one"
+    assert archives.transfer(spark, str(tmp_path / "a"), str(tmp_path / "b"), again=True) and (tmp_path / "b").read_text() == "two"
