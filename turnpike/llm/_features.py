@@ -42,6 +42,18 @@ def _covered(hashes: np.ndarray, k: int) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+#: Words of the windows in which distinct words are counted; the share among all words would fall with length alone.
+SPAN = 200
+
+
+def _distinct(hashes: np.ndarray) -> float:
+    """Share of distinct words, on average over whole windows of ``SPAN`` words; of all words where there are fewer."""
+    n = len(hashes)
+    parts = hashes[: n // SPAN * SPAN].reshape(-1, SPAN) if n >= SPAN else hashes.reshape(1, -1)
+    ranked = np.sort(parts, axis=1)
+    return 1.0 - float((ranked[:, 1:] == ranked[:, :-1]).mean()) * (parts.shape[1] - 1) / parts.shape[1] if parts.shape[1] > 1 else 1.0
+
+
 def measure(data: bytes, memory: WordHashes) -> tuple[tuple[int, ...], tuple[float, ...]]:
     """``COUNTS`` and ``MEASURES`` of a text in UTF-8."""
     words = data.split()
@@ -62,7 +74,7 @@ def measure(data: bytes, memory: WordHashes) -> tuple[tuple[int, ...], tuple[flo
     measures = (
         float(np.log1p(n)), word_chars / n, symbols / n, dup_lines / len(lines), repeat / n, float(_UPPER[bytes_].sum()) / word_chars,
         float(_DIGIT[bytes_].sum()) / word_chars, data.count(b"!") / n, pipes / n, data.count(b".") / n, data.count(b",") / n,
-        float(runs.max()) / n, len(runs) / n, float((hashes[1:] == hashes[:-1]).mean()) if n > 1 else 0.0, len(lines) / n,
+        float(runs.max()) / n, _distinct(hashes), float((hashes[1:] == hashes[:-1]).mean()) if n > 1 else 0.0, len(lines) / n,
         float(max(map(len, words))), (len(data) - points) / word_chars, _covered(hashes, 8) / n,
         float(_ALNUM[bytes_].sum()) / (word_chars + len(data) - points),
     )

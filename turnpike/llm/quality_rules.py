@@ -44,7 +44,7 @@ RULES = (
     Rule("dup_lines", 0.1, 0.3),
     Rule("repeat_words", 0.15, 0.35),
     Rule("repeat_wide", 0.05, 0.25),
-    Rule("distinct", 0.35, 0.2, above=False),
+    Rule("distinct", 0.6, 0.35, above=False),
 )
 
 
