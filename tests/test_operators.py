@@ -149,7 +149,8 @@ def test_band_join_ends(spark):
     assert sorted(r.u for r in got.collect()) == [820, 1000, 1179]
 
 
-def test_greedy_matching_equals_a_sequential_pass(spark):
+@pytest.mark.parametrize("walk", [0, 12, 1000])
+def test_greedy_matching_equals_a_sequential_pass(spark, walk):
     rng = random.Random(5)
     pairs = [(x, y, rng.randrange(4)) for x in range(9) for y in range(20, 29) if rng.random() < 0.5]
     used, expected = set(), set()
@@ -158,8 +159,8 @@ def test_greedy_matching_equals_a_sequential_pass(spark):
             used |= {x, y}
             expected.add((x, y, c))
     f = spark.createDataFrame(pairs, "l long, r long, c long")
-    assert {tuple(r) for r in joins.greedy_one_to_one(f, left="l", right="r", cost=["c"]).collect()} == expected
-    assert joins.greedy_one_to_one(f.where("false"), left="l", right="r", cost=["c"]).count() == 0
+    assert {tuple(r) for r in joins.greedy_one_to_one(f, left="l", right="r", cost=["c"], walk=walk).collect()} == expected
+    assert joins.greedy_one_to_one(f.where("false"), left="l", right="r", cost=["c"], walk=walk).count() == 0
 
 
 def test_backoff_takes_the_finest_known_level(spark):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnpike.operators.store import cut
+
 
 #: Microseconds of a time block: with what is carried over its border, it bounds the rows that a task holds of one key.
 BLOCK = 28 * 86_400_000_000
@@ -138,25 +141,49 @@ def band(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time: str
     return a.join(b, reduce(lambda x, y: x & y, on)).drop("_bucket", "_bucket_r")
 
 
-def greedy_one_to_one(pairs: DataFrame, *, left: str, right: str, cost: Sequence[str]) -> DataFrame:
+#: Pairs that one task may walk through; more are thinned out by rounds first.
+GREEDY_PAIRS = 200_000
+
+
+def _greedy_walk(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The greedy pass itself, over pairs sorted by ``_o``: one task, which remembers the ids that are taken."""
+    columns = [c for c in pairs.columns if c != "_o"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used_l, used_r = set(), set()
+        for batch in batches:
+            taken = []
+            for k, (x, y) in enumerate(zip(batch.column(left).to_pylist(), batch.column(right).to_pylist(), strict=True)):
+                if x not in used_l and y not in used_r:
+                    used_l.add(x)
+                    used_r.add(y)
+                    taken.append(k)
+            yield batch.select(columns).take(pa.array(taken, pa.int64()))
+
+    return pairs.repartition(1).sortWithinPartitions("_o").mapInArrow(run, pairs.select(*columns).schema)
+
+
+def greedy_one_to_one(pairs: DataFrame, *, left: str, right: str, cost: Sequence[str], walk: int = GREEDY_PAIRS) -> DataFrame:
     """The pairs that a greedy pass over ascending cost would take, each side once.
 
-    With a strict order (cost, then both ids) that is what repeated mutual-best rounds give: pairs that are the best of
-    both their ends are taken, their ends removed. Every round is two partial minimums and joins and takes at least
-    the overall best pair; results are cut from the lineage in the shared checkpoint folder.
+    With a strict order (cost, then both ids) mutual-best rounds give the same: pairs that are the best of both their ends
+    are taken, their ends removed. Every round is two partial minimums and joins, and thins the pairs out; when ``walk``
+    or fewer are left, one task walks through them, so that a chain of pairs doesn't cost a round each. Results are cut
+    from the lineage in the shared checkpoint folder.
     """
-    from turnpike.operators.store import cut
-
     order = F.struct(*[F.col(c) for c in cost], F.col(left), F.col(right))
     remaining = cut(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("_o", order))
-    taken: DataFrame | None = None
-    while not remaining.isEmpty():
+    taken: list[DataFrame] = []
+    while (n := remaining.count()) > walk:
         best_l = remaining.groupBy(left).agg(F.min("_o").alias("_bl"))
         best_r = remaining.groupBy(right).agg(F.min("_o").alias("_br"))
-        mutual = cut(remaining.join(best_l, left).join(best_r, right).where((F.col("_o") == F.col("_bl")) & (F.col("_o") == F.col("_br"))).select(*pairs.columns).dropDuplicates([left, right]))
-        taken = mutual if taken is None else taken.unionByName(mutual)
+        mutual = remaining.join(best_l, left).join(best_r, right).where((F.col("_o") == F.col("_bl")) & (F.col("_o") == F.col("_br")))
+        mutual = cut(mutual.select(*pairs.columns).dropDuplicates([left, right]))
+        taken.append(mutual)
         remaining = cut(remaining.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
-    return pairs.limit(0) if taken is None else taken
+    if n:
+        taken.append(cut(_greedy_walk(remaining, left, right)))
+    return reduce(DataFrame.unionByName, taken) if taken else pairs.limit(0)
 
 
 def nearest(points: DataFrame, places: DataFrame, *, by: str, x: str, y: str, place_x: str, place_y: str, place: str, id_col: str) -> DataFrame:
