@@ -15,20 +15,22 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces in a generation of what one worker remembers. It bounds memory and changes no result.
 PIECE_MEMORY = 250_000
 #: Token pairs whose compatibility one worker remembers.
 PAIR_MEMORY = 400_000
+#: Bytes of a rank file at most; it goes to every executor once.
+MOST_RANK_BYTES = 64 << 20
 #: Longer pieces are encoded anew each time.
 LONGEST_KEPT = 64
 _NEVER = 1 << 60
@@ -92,11 +94,15 @@ class ByteBpe:
         self.trie.make_automaton()
         self.pieces = _Pieces(self)
 
+    @classmethod
+    def from_bytes(cls, data: bytes, pattern: str) -> ByteBpe:
+        """From the content of a rank file: a line per token, its bytes in Base64 and its rank."""
+        return cls({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}, pattern)
+
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        return cls(ranks, pattern)
+        with open(path, "rb") as file:
+            return cls.from_bytes(file.read(), pattern)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes this one from its bytes; None for a byte.
@@ -212,11 +218,20 @@ class ByteBpe:
 _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 
-def _worker_encoder(path: str, pattern: str) -> ByteBpe:
-    """One encoder per Python worker and rank file."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBpe.from_file(path, pattern)
-    return _loaded[path, pattern]
+def _shipped(spark: SparkSession, rank_file: str, pattern: str) -> Callable[[], ByteBpe]:
+    """A function that gives a Python worker its encoder, made once from the rank file that the driver broadcasts."""
+    with open(rank_file, "rb") as file:
+        data = file.read()
+    if len(data) > MOST_RANK_BYTES:
+        raise ValueError(f"the rank file holds {len(data)} bytes, over {MOST_RANK_BYTES}")
+    name, held = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+    def encoder() -> ByteBpe:
+        if (name, pattern) not in _loaded:
+            _loaded[name, pattern] = ByteBpe.from_bytes(held.value, pattern)
+        return _loaded[name, pattern]
+
+    return encoder
 
 
 def encode_decode(
@@ -233,14 +248,14 @@ def encode_decode(
     Returns ``id_col, n_tokens long, ids_sha256, decoded_sha256`` and, with ``with_ids``, ``ids array<int>``.
     Null text counts as the empty text: no tokens and the digests of nothing. Repeated rows give repeated rows;
     other columns are neither read nor returned. A narrow map: no shuffle, one batch of texts in memory.
-    The rank file has to be present under the same path on every executor.
+    The rank file is read by the driver and broadcast; ``MOST_RANK_BYTES`` bounds it.
     """
-    rank_file = os.fspath(rank_file)
+    encoder = _shipped(docs.sparkSession, os.fspath(rank_file), pattern)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _worker_encoder(rank_file, pattern)
+        bpe = encoder()
         sha = hashlib.sha256
         for batch in batches:
             counts, id_digests, digests, lists = [], [], [], []
@@ -264,11 +279,11 @@ def encode_decode(
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, *, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
     """Add the bytes that ``ids_col`` stands for; null ids give null bytes."""
-    rank_file = os.fspath(rank_file)
+    encoder = _shipped(encoded.sparkSession, os.fspath(rank_file), pattern)
 
     @F.pandas_udf("binary")
     def to_bytes(ids):
-        bpe = _worker_encoder(rank_file, pattern)
+        bpe = encoder()
         return ids.map(lambda x: None if x is None else bpe.decode(np.asarray(x).tolist()))
 
     return encoded.withColumn(out_col, to_bytes(F.col(ids_col)))
