@@ -1,18 +1,20 @@
 """Substring dedup by seed and extend over winnowed anchors.
 
 Seeds: of the word k-grams of every window of ``length`` words the one with the smallest hash is its
-anchor. The choice depends on the window's words alone, so equal windows have equal anchors at equal
-places, and only about 2 in 12 places are anchors. Joining documents on anchor hashes leaves the places
-that can be part of a repeat at all (a sixth of the text in the test tables).
-
-Extension: around a shared anchor the match is extended to the left and right, one extension for each
-window that the anchor stands for, as a 128-bit hash of the window. A window repeats if the smallest
-document with this extension is smaller than its own; consecutive repeating windows merge into maximal
-repeats. So no pair of documents is ever built: a passage that a third of the documents share costs one
-row per document and window, combined within each batch before the shuffle.
-
-Rows that a batch has already decided (another row of the batch has the same key) bypass the exchange of
-their key under a salt, so a hot key sends one row per batch at most.
+anchor, the leftmost of equal ones. The choice depends on the window's words alone, so equal windows have
+equal anchors at equal places, and only about 2 in 12 places are anchors. Documents are joined on anchor
+hashes, which leaves the places that can be part of a repeat at all.
+
+Extension: an occurrence of a shared anchor goes to its anchor's group with the words around it that its
+windows reach. There it is extended to the left and to the right as far as occurrences in smaller documents
+agree over ``length`` words in all: occurrences are grouped by the anchor with the nearest words on the left and
+the rest on the right, for every share of the two sides, and each group knows its smallest document. So a
+group's cost is linear in its occurrences, and no pair of documents is ever built. Windows around one anchor
+overlap in it, so what an occurrence repeats is one span; spans of neighbouring anchors merge into maximal repeats.
+
+An anchor of very many holders would gather too many occurrences in one task. Its windows are extended before
+the exchange instead, as 128-bit hashes that are dealt by themselves; rows that a batch has already decided
+bypass their key under a salt, so a hot window sends one row per batch at most. Both ways find the same windows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +37,20 @@ SEED_WORDS = 4
 SALTS = 64
 #: Salts for the copies of one document.
 COPY_SALTS = 16
+#: Holders of an anchor above which its windows are exchanged one by one.
+HOT_HOLDERS = 10_000
+#: Rows that are extended at a time.
+_CHUNK = 150_000
 _ROWS = 250_000
 _PORTION = 1_500_000
 
 
-def _anchors(hashes: np.ndarray, length: int, k: int) -> np.ndarray:
-    """The anchor hash of every window of ``length`` words."""
+def _anchors(hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the anchor of every window of ``length`` words, and the hashes of all k-grams."""
     grams = rolling_hash(hashes, k, 1)
     width = length - k + 1
-    return np.lib.stride_tricks.sliding_window_view(grams, width).min(axis=1)
+    places = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+    return places + np.arange(len(places)), grams
 
 
 def _windows(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -82,8 +90,8 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """``(h, doc, state)``, one row per document and anchor. State 0: the batch's only document with this anchor,
-    1: the smallest of several, 2: another of several."""
+    """``(h, doc, state, holders)``, one row per document and anchor. State 0: the batch's only document with this anchor,
+    1: the smallest of several, 2: another of several. The first row of an anchor knows its holders in the batch."""
 
     def settle(found: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, doc = np.concatenate(found), np.concatenate(owners)
@@ -93,10 +101,11 @@ def _seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
         same = np.zeros(len(h), dtype=bool)
         same[1:] = ~first[1:] & (doc[1:] == doc[:-1])
         h, doc, first = h[~same], doc[~same], first[~same]
-        alone = first.copy()
-        alone[:-1] &= first[1:]
-        state = np.where(alone, 0, np.where(first, 1, 2)).astype(np.int8)
-        yield from _chunks(["h", "doc", "state"], h, doc, state)
+        starts = np.flatnonzero(first)
+        holders = np.zeros(len(h), dtype=np.int32)
+        holders[starts] = np.diff(np.append(starts, len(h)))
+        state = np.where(holders == 1, 0, np.where(first, 1, 2)).astype(np.int8)
+        yield from _chunks(["h", "doc", "state", "holders"], h, doc, state, holders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -106,28 +115,202 @@ def _seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     words = (text.as_py() or b"").split()
                     if doc is not None and len(words) >= length:
-                        yield np.unique(_anchors(memory.of(words), length, k)), doc
+                        places, grams = _anchors(memory.of(words), length, k)
+                        yield np.unique(grams[places]), doc
 
         yield from _in_portions(each(), settle)
 
-    return docs.select(F.col("_id"), F.col("_text")).mapInArrow(run, "h bigint, doc bigint, state tinyint")
+    return docs.select(F.col("_id"), F.col("_text")).mapInArrow(run, "h bigint, doc bigint, state tinyint, holders int")
 
 
 def _salt(decided):
     return F.when(decided, F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
 
 
-def _shared_seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """``(doc, seeds)``: the anchors of each document that another document has as well."""
+def _shared_seeds(docs: DataFrame, length: int, k: int, hot_holders: int) -> DataFrame:
+    """``(doc, seeds, hot_seeds)``: the anchors of each document that another document has as well; hot ones have many holders."""
     rows = _seeds(docs, length, k).withColumn("salt", _salt(F.col("state") == 2))
     held = Window.partitionBy("h", "salt")
-    low, high = F.min("doc").over(held), F.max("doc").over(held)
-    shared = rows.withColumn("several", low < high).where((F.col("state") > 0) | F.col("several"))
-    return shared.groupBy("doc").agg(F.collect_set("h").alias("seeds"))
+    several, holders = F.min("doc").over(held) < F.max("doc").over(held), F.sum("holders").over(held)
+    shared = rows.withColumn("several", several).withColumn("all", holders).where((F.col("state") > 0) | F.col("several"))
+    # Rows that their batch decided lie under salts; the hot anchors, which are few, go to all of those.
+    every = F.sequence(F.lit(0), F.lit(SALTS))
+    hot = shared.where((F.col("salt") == 0) & (F.col("all") > hot_holders)).select("h").distinct().select("h", F.explode(every).alias("salt"), F.lit(True).alias("hot"))
+    told = shared.select("h", "doc", "salt").join(hot, ["h", "salt"], "left")
+    return told.groupBy("doc").agg(F.collect_set(F.when(F.col("hot").isNull(), F.col("h"))).alias("seeds"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot_seeds"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Documents that have shared anchors in a column and are no whole copies: id, text and the anchors."""
+    for batch in batches:
+        seeds = batch.column(column)
+        for doc, text, some, copy in zip(batch.column(0).to_pylist(), batch.column(1), seeds, batch.column(4).to_pylist(), strict=True):
+            if some.is_valid and len(some.values) and not copy:
+                yield doc, text.as_py() or b"", some.values.to_numpy().view(np.uint64)
+
+
+def _print(text: bytes) -> int:
+    """What tells texts of one id apart."""
+    return xxhash.xxh32_intdigest(text)
+
+
+def _mix(value: np.ndarray, more: np.ndarray, seed: int) -> np.ndarray:
+    odd = np.uint64(xxhash.xxh64_intdigest(b"extension", seed) | 1)
+    with np.errstate(over="ignore"):
+        out = (value + more) * odd
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def _sides(words: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the nearest 0, 1, 2, ... words of a side, a row per occurrence."""
+    out = np.zeros((len(words), words.shape[1] + 1), dtype=np.uint64)
+    for i in range(words.shape[1]):
+        out[:, i + 1] = _mix(out[:, i], words[:, i], seed)
+    return out
+
+
+def _occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """``(h, doc, print, low, high, around, places)``: a document's occurrences of its shared anchors that are not hot.
+
+    ``around`` are the hashes of the words on the left, nearest first, and on the right; ``low`` and ``high`` the fewest and
+    the most words on the left that windows with this anchor have; beyond their reach the words are zero. Occurrences
+    with the same words around share a row.
+    """
+    reach = length - k
+    names = ["h", "doc", "print", "low", "high", "around", "places"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.binary(), pa.binary()]
+
+    def rows_of(doc: int, text: bytes, seeds: np.ndarray, memory: WordHashes) -> list[np.ndarray] | None:
+        words = text.split()
+        if len(words) < length:
+            return None
+        hashes = memory.of(words)
+        places, grams = _anchors(hashes, length, k)
+        at, first, counts = np.unique(places, return_index=True, return_counts=True)
+        held = np.isin(grams[at], seeds)
+        at, first, counts = at[held], first[held], counts[held]
+        if not len(at):
+            return None
+        # Windows of one anchor start in a row: at first, first + 1, ...
+        high, low = at - first, at - first - counts + 1
+        padded = np.concatenate([np.zeros(reach, np.uint64), hashes, np.zeros(reach, np.uint64)])
+        step = np.arange(reach)
+        left, right = padded[at[:, None] + reach - 1 - step], padded[at[:, None] + reach + k + step]
+        left[step >= high[:, None]] = 0
+        right[step >= reach - low[:, None]] = 0
+        around = np.concatenate([left, right], axis=1)
+        whole = _mix(_sides(around, 5)[:, -1], grams[at] + (low * 64 + high).astype(np.uint64), 6)
+        _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+        if len(one) < len(at):
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of))
+        else:
+            one = order = np.arange(len(at))
+            ends = one + 1
+        return [grams[at[one]].view(np.int64), np.full(len(one), doc), np.full(len(one), _print(text), dtype=np.uint32).view(np.int32), low[one], high[one], around[one], at[order].astype("<i4"), ends]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, held, size = WordHashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            parts = list(zip(*held, strict=True))
+            flat = [np.concatenate(p) for p in parts[:5]]
+            around = np.ascontiguousarray(np.concatenate(parts[5]))
+            width = around.shape[1] * 8
+            places = np.concatenate(parts[6])
+            shift = np.cumsum([0] + [len(p) for p in parts[6][:-1]])
+            ends = np.concatenate([e + s for e, s in zip(parts[7], shift, strict=True)]) * 4
+            columns = [pa.array(c.astype(kind.to_pandas_dtype()), kind) for c, kind in zip(flat, kinds, strict=False)]
+            columns.append(pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer((np.arange(len(around) + 1) * width).astype(np.int32)), pa.py_buffer(around)]))
+            columns.append(pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(places)]))
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for doc, text, seeds in _texts(batches, 2):
+            rows = rows_of(doc, text, seeds, memory)
+            if rows is not None:
+                held.append(rows)
+                size += len(rows[6])
+                if size >= 50_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "h bigint, doc bigint, print int, low tinyint, high tinyint, around binary, places binary")
+
+
+def _extended(h: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The most words on the left, and on the right, over which each occurrence agrees with one in a smaller document,
+    ``length`` words in all; -1 where none does. Whole groups of anchors only."""
+    reach = around.shape[1] // 2
+    seeds = [(_sides(around[:, :reach], s), _sides(around[:, reach:], s + 1), _mix(h, np.zeros(1, np.uint64), s)) for s in (11, 21)]
+    left, right = np.full(len(h), -1, dtype=np.int64), np.full(len(h), -1, dtype=np.int64)
+    for n in range(reach + 1):
+        rows = np.flatnonzero((low <= n) & (n <= high))
+        if len(rows) < 2:
+            continue
+        one, two = (_mix(_mix(sides[rows, n], others[rows, reach - n], 31 + i), anchor[rows], 41 + i) for i, (sides, others, anchor) in enumerate(seeds))
+        order, first = _first_of(one, two, doc[rows])
+        rows = rows[order]
+        starts = np.flatnonzero(first)
+        least = np.repeat(doc[rows[starts]], np.diff(np.append(starts, len(rows))))
+        again = rows[doc[rows] > least]
+        left[again] = n
+        right[again] = np.maximum(right[again], reach - n)
+    return left, right
+
+
+def _spans(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """``(doc, spans)``: for each document the spans ``(print, first, past)`` that its anchors are extended to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            h, doc, low, high = (table[c].to_numpy() for c in ("h", "doc", "low", "high"))
+            around, places = table["around"].chunk(0) if table.num_rows else None, table["places"].chunk(0) if table.num_rows else None
+            matrix = np.frombuffer(around.buffers()[2], np.uint64)[np.frombuffer(around.buffers()[1], np.int32)[around.offset] // 8 :][: table.num_rows * 2 * (length - k)].reshape(table.num_rows, -1)
+            left, right = _extended(h.view(np.uint64), doc, low, high, matrix)
+            rows = np.flatnonzero(left >= 0)
+            offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + table.num_rows + 1] // 4
+            at = np.frombuffer(places.buffers()[2], "<i4")
+            counts = (offsets[1:] - offsets[:-1])[rows]
+            row = np.repeat(rows, counts)
+            index = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[row]
+            place = at[index].astype(np.int64)
+            columns = [doc[row], table["print"].to_numpy()[row], (place - left[row]).astype(np.int32), (place + k + right[row]).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "print", "first", "past"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= _CHUNK:
+                table = pa.concat_tables(held)
+                h = table["h"].to_numpy()
+                # The last group may go on in the next batch.
+                done = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
+                if done:
+                    yield settle(table.slice(0, done))
+                held = [table.slice(done)]
+                size = table.num_rows - done
+        if held:
+            yield settle(pa.concat_tables(held))
+
+    rows = _occurrences(texts, length, k)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(parts, "h").sortWithinPartitions("h")
+    found = grouped.mapInArrow(run, "doc bigint, print int, first int, past int")
+    return found.groupBy("doc").agg(F.collect_list(F.struct("print", "first", "past")).alias("spans"))
 
 
 def _repeating(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """``(doc, repeats)``: hashes of the windows of each document that start in a smaller document too."""
+    """``(doc, repeats)``: hashes of the windows around hot anchors of each document that start in a smaller document too."""
 
     def settle(found: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         both, doc = np.concatenate(found), np.concatenate(owners)
@@ -143,15 +326,15 @@ def _repeating(texts: DataFrame, length: int, k: int) -> DataFrame:
         memory = WordHashes()
 
         def each() -> Iterator[tuple]:
-            for batch in batches:
-                for doc, text, seeds, copy in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                    words = (text.as_py() or b"").split() if seeds.is_valid and not copy else ()
-                    if len(words) < length:
-                        continue
-                    hashes = memory.of(words)
-                    at = np.nonzero(np.isin(_anchors(hashes, length, k), seeds.values.to_numpy().view(np.uint64)))[0]
-                    if len(at):
-                        yield np.stack([_windows(hashes, length)[at], rolling_hash(hashes, length, 3)[at]], axis=1), doc
+            for doc, text, seeds in _texts(batches, 3):
+                words = text.split()
+                if len(words) < length:
+                    continue
+                hashes = memory.of(words)
+                places, grams = _anchors(hashes, length, k)
+                at = np.flatnonzero(np.isin(grams[places], seeds))
+                if len(at):
+                    yield np.stack([_windows(hashes, length)[at], rolling_hash(hashes, length, 3)[at]], axis=1), doc
 
         yield from _in_portions(each(), settle)
 
@@ -161,13 +344,15 @@ def _repeating(texts: DataFrame, length: int, k: int) -> DataFrame:
     return repeats.groupBy("doc").agg(F.collect_set("w").alias("repeats"))
 
 
-def _covered(words: list[bytes], repeats: np.ndarray, memory: WordHashes, length: int) -> np.ndarray:
-    """Which words lie in a repeating window."""
-    hit = np.isin(_windows(memory.of(words), length), repeats)
+def _covered(words: list[bytes], spans: np.ndarray, repeats: np.ndarray | None, memory: WordHashes, length: int) -> np.ndarray:
+    """Which words lie in a span ``(first, past)`` or in a repeating window."""
     edge = np.zeros(len(words) + 1, dtype=np.int32)
-    at = np.nonzero(hit)[0]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
+    np.add.at(edge, spans[:, 0], 1)
+    np.add.at(edge, spans[:, 1], -1)
+    if repeats is not None:
+        at = np.nonzero(np.isin(_windows(memory.of(words), length), repeats))[0]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -180,11 +365,13 @@ def remove_repeats(
     text_col: str = "text",
     with_text: bool = False,
     with_spans: bool = False,
+    hot_holders: int = HOT_HOLDERS,
 ) -> DataFrame:
     """Remove every word covered by a run of ``length`` words that also starts in a document with a smaller id.
 
     Returns ``id_col, n_words, n_removed, kept_sha256`` (kept words joined by one space), on demand also
-    ``kept_text`` and ``spans array<array<int>>``, the maximal repeats as [first word, past the last].
+    ``kept_text`` and ``spans array<array<int>>``, the maximal repeats as [first word, past the last]. Anchors of more than
+    ``hot_holders`` documents are extended before the exchange, others in it; the result is the same.
     Null text has no words. A row with a null id neither removes nor loses anything. Rows with equal ids never
     remove each other's words. Windows are judged on the input. Other columns are not read; ids are integers.
     Texts are shuffled once, by id; both joins use that exchange. Whole copies of a smaller document are known
@@ -201,23 +388,34 @@ def remove_repeats(
     # An id is a copy if all its rows with a text are.
     copies = salted.join(first, ["d", "salt"], "left").groupBy("_id").agg(F.min(F.coalesce(F.col("first") < F.col("_id"), F.lit(False))).alias("copy"))
     copies = cut(copies.where("copy").select(F.col("_id").alias("copy_id")), base.count())
-    seeds = _shared_seeds(base, length, seed_words).withColumnRenamed("doc", "seed_id")
-    spread = base.join(seeds, F.col("_id") == F.col("seed_id"), "left").join(copies, F.col("_id") == F.col("copy_id"), "left")
-    repeats = _repeating(spread.select("_id", "_text", "seeds", F.col("copy_id").isNotNull().alias("copy")), length, seed_words)
-    final = base.join(repeats, F.col("_id") == F.col("doc"), "left").join(copies, F.col("_id") == F.col("copy_id"), "left")
-    final = final.select("_id", "_text", "repeats", F.col("copy_id").isNotNull().alias("copy"))
+    whole = base.join(copies, F.col("_id") == F.col("copy_id"), "left")
+    seeds = _shared_seeds(whole.where(F.col("copy_id").isNull()), length, seed_words, hot_holders).withColumnRenamed("doc", "seed_id")
+    texts = whole.join(seeds, F.col("_id") == F.col("seed_id"), "left").select("_id", "_text", "seeds", "hot_seeds", F.col("copy_id").isNotNull().alias("copy"))
+    spans = _spans(texts, length, seed_words).withColumnRenamed("doc", "span_id")
+    repeats = _repeating(texts, length, seed_words)
+    final = whole.join(spans, F.col("_id") == F.col("span_id"), "left").join(repeats, F.col("_id") == F.col("doc"), "left")
+    final = final.select("_id", "_text", "spans", "repeats", F.col("copy_id").isNotNull().alias("copy"))
     names = [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + ["spans"] * with_spans
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text + ", spans array<array<int>>" * with_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            counts, removed, digests, texts, spans = [], [], [], [], []
-            for text, repeats, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = (text.as_py() or b"").split()
+            counts, removed, digests, texts, runs = [], [], [], [], []
+            for text, some, repeats, copy in zip(batch.column(1), batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                data = text.as_py() or b""
+                words = data.split()
                 kept, gone = words, np.zeros(len(words), dtype=bool)
-                if len(words) >= length and (copy or repeats.is_valid):
-                    gone = np.ones(len(words), dtype=bool) if copy else _covered(words, repeats.values.to_numpy().view(np.uint64), memory, length)
+                if len(words) >= length and (copy or some.is_valid or repeats.is_valid):
+                    if copy:
+                        gone = np.ones(len(words), dtype=bool)
+                    else:
+                        own = np.zeros((0, 2), dtype=np.int64)
+                        if some.is_valid:
+                            of, first, past = (c.to_numpy() for c in some.values.flatten())
+                            mine = of == np.uint32(_print(data)).view(np.int32)
+                            own = np.stack([first[mine], past[mine]], axis=1)
+                        gone = _covered(words, own, repeats.values.to_numpy().view(np.uint64) if repeats.is_valid else None, memory, length)
                     kept = [word for word, out in zip(words, gone.tolist(), strict=True) if not out]
                 joined = b" ".join(kept)
                 counts.append(len(words))
@@ -226,9 +424,9 @@ def remove_repeats(
                 if with_text:
                     texts.append(joined.decode("utf-8"))
                 if with_spans:
-                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2).tolist())
+                    runs.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2).tolist())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-            columns += [pa.array(texts, pa.string())] * with_text + [pa.array(spans, pa.list_(pa.list_(pa.int32())))] * with_spans
+            columns += [pa.array(texts, pa.string())] * with_text + [pa.array(runs, pa.list_(pa.list_(pa.int32())))] * with_spans
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return final.mapInArrow(run, schema)
