@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from turnpike.llm import byte_bpe, line_dedup, quality_gam, quality_rules, simhash, substring, toxicity
 from turnpike.llm._components import Forest, components
-from turnpike.llm._features import COUNTS, measure
+from turnpike.llm._features import COUNTS, MEASURES, SPAN, measure
 from turnpike.llm._text import WordHashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,7 +177,8 @@ def test_simhash_tree_on_dense_fingerprints(spark):
         low = new
     expected = {(int(i), int(low[i])) for i in range(len(fps)) if low[i] != i}
     f = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps.tolist())], "fp long, rep long")
-    for leaf, block in ((100_000, 100_000), (200, 100_000), (200, 60)):
+    # Leaves of one make twelve levels, two more than have radii for each node.
+    for leaf, block in ((100_000, 100_000), (200, 100_000), (200, 60), (1, 100_000)):
         assert {tuple(r) for r in components(simhash.link_classes(f, leaf=leaf, block=block)).collect()} == expected
 
 
@@ -192,8 +196,8 @@ def test_unlike_rows_of_one_id_stay(spark):
     a, b, c, d = (prose(rng, 80, 4000) for _ in range(4))
     rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, b, "t"), (None, c, "s"), (5, d, "s"), (5, a, "s"), (5, d, "s")]
     for keep in (simhash.keep_one, simhash.keep_dissimilar):
-        got = [(r.doc_id, r.text) for r in keep(frame(spark, rows)).collect()]
-        assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, c), (5, d)], key=str)
+        got = [(r.doc_id, r.text, r.source) for r in keep(frame(spark, rows)).collect()]
+        assert sorted(got, key=str) == sorted([(1, a, "s"), (None, b, "s"), (None, c, "s"), (5, d, "s")], key=str)
 
 
 def shingle_sets(text):
@@ -265,14 +269,17 @@ def repeats_brute(rows, length=13):
     return out
 
 
+@pytest.mark.parametrize("hot", [10_000, 5, 0])
 @pytest.mark.parametrize("batch", ["10000", "5"])
-def test_repeats_against_brute_force(spark, messy, batch):
+def test_repeats_against_brute_force(spark, messy, batch, hot):
+    """All anchors extended in their groups, some, or none; a text of few kinds of words repeats itself and others."""
     rng = random.Random(4)
     passage = prose(rng, 60)
+    messy = messy + [(350 + i, " ".join(rng.choice("ab") for _ in range(400 * i)), "s1") for i in range(4)] + [(360, "a " * 3000, "s"), (361, "a " * 14 + "b", "s"), (362, "a " * 9, "s")]
     rows = messy + [(400 + i, f"{prose(rng, 20)} {' '.join(words(passage)[i % 30 : i % 30 + 10 + i])} {prose(rng, 20)}", "s1") for i in range(40)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = substring.remove_repeats(frame(spark, rows).repartition(4)).collect()
+        got = substring.remove_repeats(frame(spark, rows).repartition(4), hot_holders=hot).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got), key=str) == sorted(repeats_brute(rows), key=str)
@@ -315,6 +322,41 @@ def test_lines_on_many_sites_go_but_for_the_first_holder(spark):
     assert line_dedup.remove_spread_lines(frame(spark, [])).count() == 0
 
 
+def lines_brute(rows, min_sites):
+    """What is left of each row's text, by plain sets."""
+    sites, first = {}, {}
+    for i, text, site in rows:
+        for line in (text or "").split("\n"):
+            bare = line.strip(" \t\n\x0b\x0c\r")
+            if bare and site is not None:
+                sites.setdefault(bare, set()).add(site)
+                if i is not None:
+                    first[bare] = min(i, first.get(bare, i))
+    gone = {line for line, found in sites.items() if len(found) >= min_sites}
+    out = []
+    for i, text, _ in rows:
+        lines = [] if text is None else text.split("\n")
+        keys = [line.strip(" \t\n\x0b\x0c\r") for line in lines]
+        kept = [line for line, k in zip(lines, keys, strict=True) if i is None or k not in gone or first.get(k) == i]
+        out.append((i, None if text is None else "\n".join(kept), len(lines) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_lines", [200_000, 0])
+@pytest.mark.parametrize("min_sites", [1, 2, 3, 5])
+def test_line_dedup_equals_brute_force(spark, messy, min_sites, broadcast_lines, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast_lines)
+    rng = random.Random(min_sites)
+    pool = [f"line {k}" for k in range(30)] + ["", "  ", "\t\u3000"]
+    rows = [(i, t and t.replace(". ", ".\n"), s) for i, t, s in messy]
+    rows += [(1000 + i, "\n".join(rng.choice(pool) + " " * rng.randrange(2) for _ in range(rng.randrange(12))), rng.choice(["a", "b", "c", "d", "e", "f", None])) for i in range(120)]
+    # One id with unlike texts, a repeated first holder, and a long text in which nearly every line is boilerplate.
+    rows += [(1000, "line 1\nown", "a"), (1000, "line 1\nown", "a"), (1000, "line 2\nline 3", "b"), (None, "line 1", "z"), (5000, "\n".join(pool * 2_000 + ["end"]), "g")]
+    got = [(r.doc_id, r.text, r["_lines_removed"]) for r in line_dedup.remove_spread_lines(frame(spark, rows), min_sites=min_sites).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2])
+    assert sorted(got, key=order) == sorted(lines_brute(rows, min_sites), key=order)
+
+
 def test_sketches_decide_far_from_the_threshold(spark):
     rows = [(i, "Everywhere", f"site{i}") for i in range(400)] + [(1000 + i, "Edge line", f"site{i}") for i in range(100)] + [(2000 + i, "Below", f"site{i}") for i in range(99)]
     got = {r.sites for r in line_dedup.spread_lines(frame(spark, rows), min_sites=100).collect()}
@@ -346,6 +388,96 @@ def test_counts_against_brute_force(messy):
         assert measure((text or "").encode(), WordHashes())[0] == counts_brute(text), text
 
 
+def measures_brute(text):
+    """The measures of a text by name, character by character and word by word."""
+    w, text = words(text), text or ""
+    n, chars = len(w), "".join(w)
+    if not n:
+        return dict.fromkeys(MEASURES, 0.0)
+    lines = [x for x in text.split("\n") if words(x)]
+    covered = {k: 0 for k in (3, 8)}
+    for k in covered:
+        grams = [tuple(w[i : i + k]) for i in range(n - k + 1)]
+        covered[k] = len({i + j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(k)}) if n < 3000 else None
+    parts = [w[i : i + SPAN] for i in range(0, n // SPAN * SPAN, SPAN)] or [w]
+    data = "".join(w).encode()
+    alnum = sum(b > 127 or chr(b).isalnum() for b in data)
+    return {
+        "log_words": math.log1p(n), "word_length": len(chars) / n, "symbols": sum(text.count(c) for c in "#*$%&|<>") / n,
+        "dup_lines": (len(lines) - len(set(lines))) / len(lines), "repeat_words": covered[3] and covered[3] / n, "upper": sum("A" <= c <= "Z" for c in text) / len(chars),
+        "digits": sum("0" <= c <= "9" for c in text) / len(chars), "exclaims": text.count("!") / n, "pipes": text.count("|") / n, "stops": text.count(".") / n, "commas": text.count(",") / n,
+        "top_word": max(w.count(x) for x in set(w)) / n, "distinct": sum(len(set(p)) / len(p) for p in parts) / len(parts), "twins": sum(a == b for a, b in zip(w, w[1:])) / max(1, n - 1),
+        "lines": len(lines) / n, "longest_word": max(len(x.encode()) for x in w), "non_ascii": (len(text.encode()) - len(text)) / len(chars), "repeat_wide": covered[8] and covered[8] / n, "alnum": alnum / len(data),
+    }
+
+
+def test_measures_against_brute_force(messy):
+    rng = random.Random(16)
+    texts = [t for _, t, _ in messy if len(t or "") < 20_000] + ["A b! C, d. | 1 é", "x\nx\n\n \nx", "one", prose(rng, 1500, 60)]
+    for text in texts:
+        got, expected = dict(zip(MEASURES, measure((text or "").encode(), WordHashes())[1], strict=True)), measures_brute(text)
+        for name in MEASURES:
+            assert got[name] == pytest.approx(expected[name] or 0.0, abs=1e-12), (name, text[:80])
+
+
+def verdicts_brute(texts, rounds=200):
+    """Kept or not by expectation-maximisation over single documents."""
+    base, votes = [], []
+    for text in texts:
+        n, m, repeated = len(words(text)), measures_brute(text), counts_brute(text)[4]
+        base.append(n < 50 or 100 * repeated > 50 * n)
+        row = []
+        for rule in quality_rules.RULES:
+            x, good, bad = (1 if rule.above else -1) * np.array([m[rule.measure], rule.good, rule.bad])
+            row.append(0 if not n else -1 if x >= bad else 1 if x <= good else 0)
+        votes.append(row)
+    voters = [v for v, failed in zip(votes, base, strict=True) if not failed]
+    a, b, share = [0.95] * len(votes[0]), [0.4] * len(votes[0]), 0.8
+
+    def posterior(row):
+        good, bad = share, 1 - share
+        for vote, right, caught in zip(row, a, b, strict=True):
+            good *= {1: right, -1: 1 - right, 0: 1}[vote]
+            bad *= {1: 1 - caught, -1: caught, 0: 1}[vote]
+        return good / (good + bad)
+
+    for k in range(rounds):
+        p = [posterior(v) for v in voters]
+        if k == rounds - 1:
+            final = dict(zip(map(tuple, voters), p, strict=True))
+        for r in range(len(a)):
+            up, down = [sum(q for q, v in zip(p, voters, strict=True) if v[r] == s) for s in (1, -1)]
+            up_bad, down_bad = [sum(1 - q for q, v in zip(p, voters, strict=True) if v[r] == s) for s in (1, -1)]
+            a[r] = min(max((up + 1.9) / (up + down + 2), 0.501), 1 - 1e-6)
+            b[r] = min(max((down_bad + 0.8) / (up_bad + down_bad + 2), 1e-3), 1 - 1e-6)
+        share = min(max((sum(p) + 1.6) / (len(p) + 2), 1e-6), 1 - 1e-6)
+    return [not failed and final[tuple(v)] >= 0.5 for v, failed in zip(votes, base, strict=True)]
+
+
+def test_verdicts_equal_brute_force(spark, messy):
+    rng = random.Random(17)
+    texts = [t for _, t, _ in messy if len(t or "") < 20_000]
+    for i in range(90):
+        w = [f"word{rng.randrange(3000)}" for _ in range(rng.choice([60, 120, 400]))]
+        junk = i % 6
+        if junk == 1:
+            w = [x + "%$#" for x in w]
+        elif junk == 2:
+            w = [x.upper() + "!" for x in w]
+        elif junk == 3:
+            w = w[:12] * (len(w) // 24) + w
+        texts.append(("\n" if i % 4 else " ").join(w))
+    got = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    expected = verdicts_brute(texts)
+    assert [got[i] for i in range(len(texts))] == expected and 20 < sum(expected) < len(texts) - 20
+
+
+def test_long_prose_is_not_rejected_for_its_length(spark):
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"word{rng.randrange(4000)}" for _ in range(n)), "s") for i, n in enumerate([100] * 40 + [60_000] * 3)]
+    assert all(r.kept for r in quality_rules.judge(frame(spark, rows)).collect())
+
+
 def test_rules_keep_clean_documents_and_reject_junk(spark, messy):
     rng = random.Random(8)
     clean = lambda: " ".join(f"word{rng.randrange(3000)}" for _ in range(150))
@@ -381,6 +513,23 @@ def test_additive_model_learns_interactions():
     assert (quality_gam.fit(x[:50], np.ones(50)).score(x[:2]) > 0.9).all()
 
 
+def test_scores_equal_a_look_up_by_loops(spark, messy):
+    docs = frame(spark, messy)
+    model = quality_gam.train(docs, spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, quality int"))
+
+    def bin_of(edges, x):
+        return sum(bool(e <= x) for e in edges)
+
+    expected = []
+    for i, text, _ in messy:
+        x = measure((text or "").encode(), WordHashes())[1]
+        logit = model.base + sum(table[bin_of(model.edges[k], x[k])] for k, table in enumerate(model.tables))
+        logit += sum(table[bin_of(model.pair_edges[a], x[a])][bin_of(model.pair_edges[b], x[b])] for a, b, table in model.pairs)
+        expected.append((i, round(1 / (1 + math.exp(-logit)), 9)))
+    got = [(r.doc_id, round(r.score, 9)) for r in quality_gam.score(docs, model).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len({s for _, s in got}) > 10
+
+
 def held_out_accuracy(spark, name, label, limit):
     from turnpike.llm import queries
 
@@ -415,7 +564,39 @@ def test_classifier_on_messy_rows(spark, messy):
 
 def test_folding():
     assert toxicity.fold("1D10T ｉｄｉｏｔ ıdiоt i\u200bdiot").split() == ["idiot"] * 4
-    assert toxicity.fold("Ö-ß!").split() == ["ö", "ß"]
+    # Accents, strokes and styles fold; marks that a script needs don't break its words.
+    assert toxicity.fold("ídíőt i̶d̶i̶o̶t 𝗶𝗱𝗶𝗼𝘁 ⓘⓓⓘⓞⓣ 🅸🅳🅸🅾🆃 !d!ot pi$$ed").split() == ["idiot"] * 5 + ["d", "ot", "pissed"]
+    assert toxicity.fold(unicodedata.normalize("NFD", "Idíot")) == "idiot"
+    assert toxicity.fold("Ö-ß!").split() == ["o", "ß"]
+    assert toxicity.fold("हिन्दी में").split() == ["हिन्दी", "में"]
+
+
+def measure_brute(lexicon, text):
+    """Weights of words by comparing every word with every term and every phrase at every place."""
+    w = toxicity.fold(text).split()
+    spared = {j for phrase in lexicon.exceptions for i in range(len(w)) if w[i : i + 2] == phrase.split() for j in (i, i + 1)}
+    best = [max([v for t, v in lexicon.terms.items() if (x.startswith(t[:-1]) if t.endswith("*") else x == t)], default=0.0) for x in w]
+    total = sum(b for i, b in enumerate(best) if i not in spared)
+    return total, total / max(toxicity.LEAST_WORDS, len(w)) ** 0.5
+
+
+def test_lexicon_equals_brute_force():
+    rng = random.Random(6)
+    vocabulary = ["bad", "badly", "luck", "thing", "scum", "scummy", "trash", "can", "fine", "b4d", "Lück"]
+    lexicon = toxicity.Lexicon({"bad": 3.0, "bad*": 2.5, "scum*": 4.0, "trash": 5.0}, ("bad luck", "trash can", "can trash", "luck bad"))
+    for n in (0, 1, 2, 5, 30, 200):
+        for _ in range(40):
+            text = " ".join(rng.choice(vocabulary) for _ in range(n)) + rng.choice(["", "!", "\n"])
+            got, expected = lexicon.measure(text), measure_brute(lexicon, text)
+            assert abs(got[0] - expected[0]) < 1e-9 and abs(got[1] - expected[1]) < 1e-9, text
+
+
+def test_hit_dense_text_takes_linear_time():
+    lexicon = toxicity.Lexicon({"bad": 3.0}, ("bad luck",))
+    text = "bad luck bad thing " * 270_000
+    began = time.perf_counter()
+    assert lexicon.measure(text)[0] == 3.0 * 270_000
+    assert time.perf_counter() - began < 10
 
 
 def test_exceptions_and_lengths():
@@ -436,3 +617,38 @@ def test_toxicity_on_messy_rows(spark, messy):
     assert all(got[900 + i] for i in range(12)) and not any(got[i] for i in range(40)) and got[300] == 0
     assert toxicity.train(docs, labels.where("toxic = 0")).terms == {}
     assert toxicity.score(frame(spark, []), lexicon).count() == 0
+
+
+def test_overlaps_equal_sets():
+    rng = np.random.default_rng(21)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(23)]
+    first, second = np.arange(0, 15), np.arange(8, 23)
+    got = simhash._overlaps(np.concatenate(sets), np.array([len(x) for x in sets]), first, second)
+    assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in second] for a in first]
+
+
+def test_links_in_blocks_join_what_brute_force_joins(spark):
+    """A crowd under one key whose texts are about as often similar as not, in one block and in many."""
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 1 << 62, 100)
+    sets = [np.unique(np.where(rng.random(100) < rng.choice([0.03, 0.12, 0.3]), rng.integers(0, 1 << 62, 100), base)) for _ in range(120)]
+    rows = [(k, n, 0, n - n % 3, [int(x) for x in sets[n]]) for n in range(120) for k in ((0,) if n % 2 else (0, 1))] + [(2, 500, 0, 500, [1, 2])]
+    left = spark.createDataFrame([r[:4] for r in rows], "key long, node long, fp long, root long")
+    kept = spark.createDataFrame(sorted({(r[1], tuple(r[4])) for r in rows}), "node long, s array<long>")
+    parent = {n: n - n % 3 for n in range(120)}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a in range(120):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    expected = {(n, find(n)) for n in range(0, 120, 3) if find(n) != n}
+    assert 5 < len(expected) < 39
+    for block in (1_500, 17):
+        got = components(simhash._links_in_blocks(left, kept, 0.8, 22, block)).collect()
+        assert {(r.node, r.root) for r in got} == expected
