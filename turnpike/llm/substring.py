@@ -37,8 +37,8 @@ SEED_WORDS = 4
 SALTS = 64
 #: Salts for the copies of one document.
 COPY_SALTS = 16
-#: Holders of an anchor above which its windows are exchanged one by one.
-HOT_HOLDERS = 10_000
+#: Holders of an anchor above which its windows are exchanged one by one; it bounds the rows that a group brings to a task.
+HOT_HOLDERS = 1_000
 #: Rows that are extended at a time.
 _CHUNK = 150_000
 _ROWS = 250_000
@@ -133,20 +133,19 @@ def _shared_seeds(docs: DataFrame, length: int, k: int, hot_holders: int) -> Dat
     held = Window.partitionBy("h", "salt")
     several, holders = F.min("doc").over(held) < F.max("doc").over(held), F.sum("holders").over(held)
     shared = rows.withColumn("several", several).withColumn("all", holders).where((F.col("state") > 0) | F.col("several"))
+    shared = cut(shared.select("h", "doc", "salt", ((F.col("salt") == 0) & (F.col("all") > hot_holders)).alias("many")))
     # Rows that their batch decided lie under salts; the hot anchors, which are few, go to all of those.
-    every = F.sequence(F.lit(0), F.lit(SALTS))
-    hot = shared.where((F.col("salt") == 0) & (F.col("all") > hot_holders)).select("h").distinct().select("h", F.explode(every).alias("salt"), F.lit(True).alias("hot"))
-    told = shared.select("h", "doc", "salt").join(hot, ["h", "salt"], "left")
+    hot = shared.where("many").select("h").distinct().select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS))).alias("salt"), F.lit(True).alias("hot"))
+    told = shared.join(hot, ["h", "salt"], "left")
     return told.groupBy("doc").agg(F.collect_set(F.when(F.col("hot").isNull(), F.col("h"))).alias("seeds"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot_seeds"))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Documents that have shared anchors in a column and are no whole copies: id, text and the anchors."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """Documents that have shared anchors and are no whole copies: id, text, the anchors, and those that are hot."""
     for batch in batches:
-        seeds = batch.column(column)
-        for doc, text, some, copy in zip(batch.column(0).to_pylist(), batch.column(1), seeds, batch.column(4).to_pylist(), strict=True):
-            if some.is_valid and len(some.values) and not copy:
-                yield doc, text.as_py() or b"", some.values.to_numpy().view(np.uint64)
+        for doc, text, seeds, hot, copy in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), batch.column(4).to_pylist(), strict=True):
+            if seeds.is_valid and not copy:
+                yield doc, text.as_py() or b"", *(x.values.to_numpy().view(np.uint64) for x in (seeds, hot))
 
 
 def _print(text: bytes) -> int:
@@ -171,23 +170,28 @@ def _sides(words: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+#: Kinds of rows in the exchange of anchors: an occurrence, a window of a hot anchor, one that its batch has decided.
+_OCCURRENCE, _WINDOW, _DECIDED = 0, 1, 2
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end, up to ``ends`` in bytes."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """``(h, doc, print, low, high, around, places)``: a document's occurrences of its shared anchors that are not hot.
+    """``(h, doc, kind, print, low, high, around, places)``: what a document sends to the groups of its shared anchors.
 
-    ``around`` are the hashes of the words on the left, nearest first, and on the right; ``low`` and ``high`` the fewest and
-    the most words on the left that windows with this anchor have; beyond their reach the words are zero. Occurrences
-    with the same words around share a row.
+    An occurrence: ``h`` is the anchor, ``around`` the hashes of the words on the left, nearest first, and on the right;
+    ``low`` and ``high`` the fewest and the most words on the left that windows with this anchor have, beyond whose reach
+    the words are zero; occurrences with the same words around share a row. A window of a hot anchor: ``h`` and ``around``
+    are its hash. A batch sends the smallest document of a window only and the others as decided, under a salt.
     """
     reach = length - k
-    names = ["h", "doc", "print", "low", "high", "around", "places"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.binary(), pa.binary()]
+    names = ["h", "doc", "kind", "print", "low", "high", "around", "places"]
 
-    def rows_of(doc: int, text: bytes, seeds: np.ndarray, memory: WordHashes) -> list[np.ndarray] | None:
-        words = text.split()
-        if len(words) < length:
-            return None
-        hashes = memory.of(words)
-        places, grams = _anchors(hashes, length, k)
+    def rows_of(doc: int, text: bytes, hashes: np.ndarray, places: np.ndarray, grams: np.ndarray, seeds: np.ndarray) -> list[np.ndarray] | None:
         at, first, counts = np.unique(places, return_index=True, return_counts=True)
         held = np.isin(grams[at], seeds)
         at, first, counts = at[held], first[held], counts[held]
@@ -201,44 +205,82 @@ def _occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
         left[step >= high[:, None]] = 0
         right[step >= reach - low[:, None]] = 0
         around = np.concatenate([left, right], axis=1)
-        whole = _mix(_sides(around, 5)[:, -1], grams[at] + (low * 64 + high).astype(np.uint64), 6)
-        _, one, of = np.unique(whole, return_index=True, return_inverse=True)
-        if len(one) < len(at):
-            order = np.argsort(of, kind="stable")
-            ends = np.cumsum(np.bincount(of))
-        else:
-            one = order = np.arange(len(at))
-            ends = one + 1
-        return [grams[at[one]].view(np.int64), np.full(len(one), doc), np.full(len(one), _print(text), dtype=np.uint32).view(np.int32), low[one], high[one], around[one], at[order].astype("<i4"), ends]
+        h = grams[at]
+        one = order = np.arange(len(at))
+        ends = one + 1
+        if len(np.unique(h)) < len(h):
+            # Occurrences of one anchor may have the same words around.
+            whole = _mix(_sides(around, 5)[:, -1], h + (low * 64 + high).astype(np.uint64), 6)
+            _, one, of = np.unique(whole, return_index=True, return_inverse=True)
+            order, ends = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))
+        return [h[one], np.full(len(one), doc), np.full(len(one), _print(text), dtype=np.uint32), low[one], high[one], around[one], at[order].astype("<i4"), ends]
+
+    def occurrences(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        parts = list(zip(*held, strict=True))
+        h, doc, mark, low, high, around, places = (np.concatenate(p) for p in parts[:7])
+        shift = np.cumsum([0] + [len(p) for p in parts[6][:-1]])
+        ends = np.concatenate([e + n for e, n in zip(parts[7], shift, strict=True)])
+        n, width = len(h), around.shape[1] * 8
+        columns = [_signed(h), pa.array(doc), pa.array(np.full(n, _OCCURRENCE, np.int8)), pa.array(mark.view(np.int32)), pa.array(low.astype(np.int8)), pa.array(high.astype(np.int8))]
+        return pa.RecordBatch.from_arrays([*columns, _binary(around, np.arange(1, n + 1) * width), _binary(places, ends * 4)], names)
+
+    def windows(found: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        both, doc = np.concatenate(found), np.concatenate(owners)
+        order, first = _first_of(both[:, 0], both[:, 1], doc)
+        both, doc = both[order], doc[order]
+        # The rest of a run comes after a smaller document of this portion, or repeats its id.
+        starts = np.flatnonzero(first)
+        least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
+        for rows, kind in ((first, _WINDOW), (doc > least, _DECIDED)):
+            some, of = both[rows], doc[rows]
+            for at in range(0, len(of), _ROWS):
+                part, mine = some[at : at + _ROWS], of[at : at + _ROWS]
+                n, none = len(mine), np.zeros(min(_ROWS, len(of) - at), np.int32)
+                key = part[:, 0] if kind == _WINDOW else _mix(mine.astype(np.uint64), np.zeros(1, np.uint64), 7)
+                around = _binary(part[:, 1 if kind == _WINDOW else 0], np.arange(1, n + 1) * 8)
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(mine), pa.array(np.full(n, kind, np.int8)), pa.array(none), pa.array(none.astype(np.int8)), pa.array(none.astype(np.int8)), around, _binary(none, none)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, held, size = WordHashes(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            parts = list(zip(*held, strict=True))
-            flat = [np.concatenate(p) for p in parts[:5]]
-            around = np.ascontiguousarray(np.concatenate(parts[5]))
-            width = around.shape[1] * 8
-            places = np.concatenate(parts[6])
-            shift = np.cumsum([0] + [len(p) for p in parts[6][:-1]])
-            ends = np.concatenate([e + s for e, s in zip(parts[7], shift, strict=True)]) * 4
-            columns = [pa.array(c.astype(kind.to_pandas_dtype()), kind) for c, kind in zip(flat, kinds, strict=False)]
-            columns.append(pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer((np.arange(len(around) + 1) * width).astype(np.int32)), pa.py_buffer(around)]))
-            columns.append(pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(places)]))
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        for doc, text, seeds in _texts(batches, 2):
-            rows = rows_of(doc, text, seeds, memory)
+        found: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        n_found = 0
+        for doc, text, seeds, hot in _texts(batches):
+            words = text.split()
+            if len(words) < length:
+                continue
+            hashes = memory.of(words)
+            places, grams = _anchors(hashes, length, k)
+            rows = rows_of(doc, text, hashes, places, grams, seeds) if len(seeds) else None
             if rows is not None:
                 held.append(rows)
                 size += len(rows[6])
-                if size >= 50_000:
-                    yield flush()
-                    held, size = [], 0
+            at = np.flatnonzero(np.isin(grams[places], hot)) if len(hot) else ()
+            if len(at):
+                found.append(np.stack([_windows(hashes, length)[at], rolling_hash(hashes, length, 3)[at]], axis=1))
+                owners.append(np.full(len(at), doc, dtype=np.int64))
+                n_found += len(at)
+            if size >= 50_000:
+                yield occurrences(held)
+                held, size = [], 0
+            if n_found >= _PORTION:
+                yield from windows(found, owners)
+                found, owners, n_found = [], [], 0
         if held:
-            yield flush()
+            yield occurrences(held)
+        if found:
+            yield from windows(found, owners)
+
+    return texts.mapInArrow(run, "h bigint, doc bigint, kind tinyint, print int, low tinyint, high tinyint, around binary, places binary")
 
-    return texts.mapInArrow(run, "h bigint, doc bigint, print int, low tinyint, high tinyint, around binary, places binary")
+
+def _values(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a binary column that lie end to end, and the ends of its rows."""
+    array = column.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    values = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return values, (offsets[1:] - offsets[0]) // values.itemsize
 
 
 def _extended(h: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,29 +304,46 @@ def _extended(h: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray,
     return left, right
 
 
-def _spans(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """``(doc, spans)``: for each document the spans ``(print, first, past)`` that its anchors are extended to."""
+def _repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """``(doc, spans, repeats)``: for each document the spans ``(print, first, past)`` that its anchors are extended to, and the
+    hashes of its windows around hot anchors that start in a smaller document too."""
+
+    def extend(table: pa.Table) -> pa.RecordBatch:
+        h, doc, low, high = (table[c].to_numpy() for c in ("h", "doc", "low", "high"))
+        around, (at, ends) = _values(table["around"], "<u8")[0], _values(table["places"], "<i4")
+        left, right = _extended(h.view(np.uint64), doc, low, high, around.reshape(len(h), -1))
+        rows = np.flatnonzero(left >= 0)
+        starts = np.concatenate([[0], ends[:-1]])
+        counts = (ends - starts)[rows]
+        row = np.repeat(rows, counts)
+        place = at[np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[row]].astype(np.int64)
+        columns = [doc[row], table["print"].to_numpy()[row], (place - left[row]).astype(np.int32), (place + k + right[row]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(row), pa.int64())], ["doc", "print", "first", "past", "w"])
+
+    def told(doc: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(doc), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(doc), none, none, none, pa.array(w.view(np.int64))], ["doc", "print", "first", "past", "w"])
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind = table["kind"].to_numpy()
+        for which in np.unique(kind).tolist():
+            some = table.filter(pa.array(kind == which)) if (kind != which).any() else table
+            if which == _OCCURRENCE:
+                yield extend(some)
+                continue
+            w, doc, other = some["h"].to_numpy().view(np.uint64), some["doc"].to_numpy(), _values(some["around"], "<u8")[0]
+            if which == _DECIDED:
+                yield told(doc, other)
+                continue
+            order, first = _first_of(w, other, doc)
+            starts = np.flatnonzero(first)
+            least = np.repeat(doc[order[starts]], np.diff(np.append(starts, len(order))))
+            again = order[doc[order] > least]
+            yield told(doc[again], w[again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
-
-        def settle(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            h, doc, low, high = (table[c].to_numpy() for c in ("h", "doc", "low", "high"))
-            around, places = table["around"].chunk(0) if table.num_rows else None, table["places"].chunk(0) if table.num_rows else None
-            matrix = np.frombuffer(around.buffers()[2], np.uint64)[np.frombuffer(around.buffers()[1], np.int32)[around.offset] // 8 :][: table.num_rows * 2 * (length - k)].reshape(table.num_rows, -1)
-            left, right = _extended(h.view(np.uint64), doc, low, high, matrix)
-            rows = np.flatnonzero(left >= 0)
-            offsets = np.frombuffer(places.buffers()[1], np.int32)[places.offset : places.offset + table.num_rows + 1] // 4
-            at = np.frombuffer(places.buffers()[2], "<i4")
-            counts = (offsets[1:] - offsets[:-1])[rows]
-            row = np.repeat(rows, counts)
-            index = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[row]
-            place = at[index].astype(np.int64)
-            columns = [doc[row], table["print"].to_numpy()[row], (place - left[row]).astype(np.int32), (place + k + right[row]).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "print", "first", "past"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -296,60 +355,26 @@ def _spans(texts: DataFrame, length: int, k: int) -> DataFrame:
                 # The last group may go on in the next batch.
                 done = int(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[-1])
                 if done:
-                    yield settle(table.slice(0, done))
+                    yield from settle(table.slice(0, done))
                 held = [table.slice(done)]
                 size = table.num_rows - done
         if held:
-            yield settle(pa.concat_tables(held))
+            yield from settle(pa.concat_tables(held))
 
     rows = _occurrences(texts, length, k)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = rows.repartition(parts, "h").sortWithinPartitions("h")
-    found = grouped.mapInArrow(run, "doc bigint, print int, first int, past int")
-    return found.groupBy("doc").agg(F.collect_list(F.struct("print", "first", "past")).alias("spans"))
-
-
-def _repeating(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """``(doc, repeats)``: hashes of the windows around hot anchors of each document that start in a smaller document too."""
-
-    def settle(found: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        both, doc = np.concatenate(found), np.concatenate(owners)
-        order, first = _first_of(both[:, 0], both[:, 1], doc)
-        both, doc = both[order], doc[order]
-        # The rest of a run comes after a smaller document of this portion, or repeats its id.
-        starts = np.nonzero(first)[0]
-        least = np.repeat(doc[starts], np.diff(np.append(starts, len(doc))))
-        keep = first | (doc > least)
-        yield from _chunks(["w", "v", "doc", "known"], np.ascontiguousarray(both[keep, 0]), np.ascontiguousarray(both[keep, 1]), doc[keep], ~first[keep])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordHashes()
-
-        def each() -> Iterator[tuple]:
-            for doc, text, seeds in _texts(batches, 3):
-                words = text.split()
-                if len(words) < length:
-                    continue
-                hashes = memory.of(words)
-                places, grams = _anchors(hashes, length, k)
-                at = np.flatnonzero(np.isin(grams[places], seeds))
-                if len(at):
-                    yield np.stack([_windows(hashes, length)[at], rolling_hash(hashes, length, 3)[at]], axis=1), doc
-
-        yield from _in_portions(each(), settle)
-
-    rows = texts.mapInArrow(run, "w bigint, v bigint, doc bigint, known boolean").withColumn("salt", _salt(F.col("known")))
-    held = Window.partitionBy("w", "v", "salt")
-    repeats = rows.withColumn("least", F.min("doc").over(held)).where(F.col("known") | (F.col("least") < F.col("doc")))
-    return repeats.groupBy("doc").agg(F.collect_set("w").alias("repeats"))
+    found = grouped.mapInArrow(run, "doc bigint, print int, first int, past int, w bigint")
+    span = F.when(F.col("w").isNull(), F.struct("print", "first", "past"))
+    return found.groupBy("doc").agg(F.collect_list(span).alias("spans"), F.collect_set("w").alias("repeats"))
 
 
-def _covered(words: list[bytes], spans: np.ndarray, repeats: np.ndarray | None, memory: WordHashes, length: int) -> np.ndarray:
+def _covered(words: list[bytes], spans: np.ndarray, repeats: np.ndarray, memory: WordHashes, length: int) -> np.ndarray:
     """Which words lie in a span ``(first, past)`` or in a repeating window."""
     edge = np.zeros(len(words) + 1, dtype=np.int32)
     np.add.at(edge, spans[:, 0], 1)
     np.add.at(edge, spans[:, 1], -1)
-    if repeats is not None:
+    if len(repeats):
         at = np.nonzero(np.isin(_windows(memory.of(words), length), repeats))[0]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + length, -1)
@@ -391,10 +416,8 @@ def remove_repeats(
     whole = base.join(copies, F.col("_id") == F.col("copy_id"), "left")
     seeds = _shared_seeds(whole.where(F.col("copy_id").isNull()), length, seed_words, hot_holders).withColumnRenamed("doc", "seed_id")
     texts = whole.join(seeds, F.col("_id") == F.col("seed_id"), "left").select("_id", "_text", "seeds", "hot_seeds", F.col("copy_id").isNotNull().alias("copy"))
-    spans = _spans(texts, length, seed_words).withColumnRenamed("doc", "span_id")
-    repeats = _repeating(texts, length, seed_words)
-    final = whole.join(spans, F.col("_id") == F.col("span_id"), "left").join(repeats, F.col("_id") == F.col("doc"), "left")
-    final = final.select("_id", "_text", "spans", "repeats", F.col("copy_id").isNotNull().alias("copy"))
+    repeats = _repeats(texts, length, seed_words)
+    final = whole.join(repeats, F.col("_id") == F.col("doc"), "left").select("_id", "_text", "spans", "repeats", F.col("copy_id").isNotNull().alias("copy"))
     names = [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + ["spans"] * with_spans
     schema = f"`{id_col}` bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text + ", spans array<array<int>>" * with_spans
 
@@ -406,16 +429,13 @@ def remove_repeats(
                 data = text.as_py() or b""
                 words = data.split()
                 kept, gone = words, np.zeros(len(words), dtype=bool)
-                if len(words) >= length and (copy or some.is_valid or repeats.is_valid):
+                if len(words) >= length and (copy or some.is_valid):
                     if copy:
                         gone = np.ones(len(words), dtype=bool)
                     else:
-                        own = np.zeros((0, 2), dtype=np.int64)
-                        if some.is_valid:
-                            of, first, past = (c.to_numpy() for c in some.values.flatten())
-                            mine = of == np.uint32(_print(data)).view(np.int32)
-                            own = np.stack([first[mine], past[mine]], axis=1)
-                        gone = _covered(words, own, repeats.values.to_numpy().view(np.uint64) if repeats.is_valid else None, memory, length)
+                        of, first, past = (c.to_numpy() for c in some.values.flatten())
+                        mine = of == np.uint32(_print(data)).view(np.int32)
+                        gone = _covered(words, np.stack([first[mine], past[mine]], axis=1), repeats.values.to_numpy().view(np.uint64), memory, length)
                     kept = [word for word, out in zip(words, gone.tolist(), strict=True) if not out]
                 joined = b" ".join(kept)
                 counts.append(len(words))
