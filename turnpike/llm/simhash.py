@@ -348,13 +348,16 @@ def _links_in_blocks(left: DataFrame, sets: DataFrame, similarity: float, wide:
     Texts of a key are dealt out as pairs of blocks and each block pair is compared outright on the exact sets; only a
     spanning forest of roots leaves it, so no group yields its pairs as rows.
     """
-    sized = left.join(sets.select("node", "s"), "node")
+    # Sizes decide which keys are left to compare and how they are dealt; only then do the sets come along.
     measured = left.join(sets.select("node", F.size("s").alias("words")), "node")
     several = measured.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("words").alias("words")).where("low < high")
     parts = F.greatest(F.ceil(F.col("n") / F.lit(block_texts)), F.ceil(F.col("words") / F.lit(BLOCK_SHINGLES))).cast("int")
-    rows = sized.join(several.select("key", parts.alias("parts")), "key")
+    # A key may hold a third of all texts, so it is dealt under salts before its blocks are.
+    dealt = several.select("key", parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    rows = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int")).join(dealt, ["key", "salt"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "root", "fp", "s")
+    rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "root", "fp", "node")
+    rows = rows.join(sets.select("node", "s"), "node").drop("node")
 
     def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
