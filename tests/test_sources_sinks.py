@@ -198,13 +198,17 @@ def test_month_driver_guards_against_leaks(spark):
 
 
 def test_group_encodings_out_of_fold(spark):
-    rows = [(1, "A", "o", "s", "m1", 0), (2, "A", "o", "s", "m2", 100), (3, "A", "p", None, "m2", 20_000), (4, "A", "o", "s", "m3", None)]
+    rows = [(1, "A", "o", "s", "m1", 0), (2, "A", "o", "s", "m2", 100), (3, "A", "p", None, "m2", 20_000), (4, "A", "o", "s", "m3", None), (5, "B", "o", "s", "m1", 0)]
     f = spark.createDataFrame(rows, "mvt_id long, airport string, operator string, stand string, ym string, d long")
     got = {r.mvt_id: r for r in models.with_group_encodings(f.drop("d"), f, fold="ym").collect()}
     assert (got[1].op_n, got[1].op_echo_rate) == (1, 0.0) and got[1].op_mean_d == pytest.approx((100 + 30 * (100 + 10_800) / 2) / 31)
     assert (got[2].op_n, got[2].op_echo_rate, got[2].op_mean_d) == (1, 1.0, 0.0)
     assert (got[3].op_n, got[3].stand_n, got[3].stand_echo_rate) == (0, 0, 1.0)
-    assert got[4].op_echo_rate == pytest.approx(1 / 3) and got[4].op_n == 0
+    # A row whose own fold knows nothing gets what all others say of its group; an airport without other rows nothing.
+    assert got[4].op_n == 2 and got[4].op_echo_rate == pytest.approx((1 + 30 / 3) / 32)
+    assert got[5].op_echo_rate is None and got[5].op_n == 0
+    full = {r.mvt_id: r for r in models.with_group_encodings(f.drop("d"), f).collect()}
+    assert full[5].op_echo_rate == 1.0 and full[1].op_n == 2 and full[3].stand_mean_d == pytest.approx((0 + 100 + 10_800) / 3)
 
 
 def archive(path, members):

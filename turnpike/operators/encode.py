@@ -18,9 +18,8 @@ PRIOR_QUANTILE, TAXI_LEAST, TAXI_MOST = 0.2, 60, 5400
 def group_prior(rows: DataFrame, keys: Sequence[str], value: str, *, low: float, high: float, q: float = PRIOR_QUANTILE) -> DataFrame:
     """Nearest ``q`` quantile (``prior``), ``median`` and count ``n`` of the values in [low, high] for each key."""
     kept = rows.where(F.col(value).between(low, high))
-    nearest = quantiles(kept, value, [q], by=keys, method="nearest").select(F.struct(*keys).alias("_k"), "n", F.col("q")[0].alias("prior"))
-    middle = quantiles(kept, value, [0.5], by=keys).select(F.struct(*keys).alias("_k"), F.col("q")[0].alias("median"))
-    return nearest.join(middle, "_k").select("_k.*", "prior", "median", "n")
+    found = quantiles(kept, value, [q, 0.5], by=keys, method=["nearest", "linear"])
+    return found.select(*keys, F.col("q")[0].alias("prior"), F.col("q")[1].alias("median"), "n")
 
 
 #: Levels of priors, finest first: name, keys, whether the median and the count are kept.

@@ -40,10 +40,11 @@ def positions(rows: DataFrame, order: Sequence[str | Column], *, chunk: Column,
 ACCURACY = 10_000
 
 
-def quantiles(rows: DataFrame, value: str, qs: Sequence[float], *, by: Sequence[str] = (), method: str = "linear", accuracy: int = ACCURACY) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, qs: Sequence[float], *, by: Sequence[str] = (), method: str | Sequence[str] = "linear", accuracy: int = ACCURACY) -> DataFrame:
     """Exact quantiles of the non-nulls by group: ``by``, ``n`` and an array ``q`` in the order of ``qs``.
 
-    ``linear`` interpolates between the neighbours of q * (n - 1), ``nearest`` takes the element at its rounding. Rough
+    ``linear`` interpolates between the neighbours of q * (n - 1), ``nearest`` takes the element at its rounding; one method
+    for all or one for each. Rough
     quantiles, aggregated in bounded memory, bracket each exact one; values below a bracket are only counted and those
     inside, some thousandths of a group, are ordered by distinct value. So no buffer holds a group's values. A group
     without values gives no row.
@@ -62,9 +63,9 @@ def quantiles(rows: DataFrame, value: str, qs: Sequence[float], *, by: Sequence[
     upto = F.sum("_c").over(Window.partitionBy("_key", "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     placed = inside.withColumn("_upto", upto).join(below, "_key").join(rough.select("_key", "n"), "_key")
     placed = placed.withColumn("_upto", F.col("_upto") + F.array(*[F.col(f"_below{i}") for i in range(len(qs))])[F.col("_i")])
-    position = F.array(*[F.lit(float(q)) for q in qs])[F.col("_i")] * (F.col("n") - 1)
-    if method == "nearest":
-        position = F.round(position)
+    methods = [method] * len(qs) if isinstance(method, str) else list(method)
+    exactly = F.array(*[F.lit(float(q)) for q in qs])[F.col("_i")] * (F.col("n") - 1)
+    position = F.when(F.array(*[F.lit(m == "nearest") for m in methods])[F.col("_i")], F.round(exactly)).otherwise(exactly)
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
     found = placed.withColumn("_p", position).groupBy("_key", "n", "_i", "_p").agg(at(F.floor("_p")).alias("_a"), at(F.ceil("_p")).alias("_b"))
     exact = found.withColumn("_q", F.col("_a") + (F.col("_p") - F.floor("_p")) * (F.col("_b") - F.col("_a")))

@@ -459,6 +459,39 @@ def _framed(s, d):
     return store.cut(frame), store.cut(labels)
 
 
+_ENCODED = [f"{g}_{n}" for g in ("op", "stand") for n in ("echo_rate", "mean_d", "n")]
+
+
+def _encoded_sql(name: str, key: str) -> str:
+    of_group, of_fold = f"partition by airport, {key}", f"partition by airport, {key}, ym"
+    others = lambda x, group, fold: f"sum({x}) over ({group}) - sum({x}) over ({fold})"
+    mean = lambda x: f"(({others(x, 'partition by airport', 'partition by airport, ym')}) / nullif({others('k', 'partition by airport', 'partition by airport, ym')}, 0))"
+    parts = [f"case when {key} is null then {mean(x)} else (({others(x, of_group, of_fold)}) + 30 * {mean(x)}) / (({others('k', of_group, of_fold)}) + 30) end as {name}_{n}" for x, n in (("e", "echo_rate"), ("c", "mean_d"))]
+    return ", ".join([*parts, f"case when {key} is null then 0 else {others('k', of_group, of_fold)} end::bigint as {name}_n"])
+
+
+@query(f"""with {MOV}, lab as (select mvt_id, airport, operator, stand, 'w' || least((day(ts) - 1) // 8, 3) as ym, case when mvt_id % 23 <> 0 then d end as d0 from m where phase = 'DEP'),
+       k as (select *, (d0 is not null)::int as k, coalesce((abs(d0) < 30)::int, 0)::double as e, (case when d0 is null then 0 else greatest(-3600, least(10800, d0)) end)::double as c from lab),
+       x as (select mvt_id, {_encoded_sql('op', 'operator')}, {_encoded_sql('stand', 'stand')} from k)
+       select mvt_id, {', '.join(c if c.endswith('_n') else f'round({c}, 8) as {c}' for c in _ENCODED)} from x""")
+def group_encodings(s, d):
+    """Echo rates and mean delays of operators and stands, from the other weeks."""
+    from turnpike.operators import models
+
+    ym = F.concat(F.lit("w"), F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)).cast("string"))
+    rows = movements(s, d).where("phase = 'DEP'").select("mvt_id", "airport", "operator", "stand", ym.alias("ym"), F.when(F.col("mvt_id") % 23 != 0, F.col("d")).alias("d"))
+    out = models.with_group_encodings(rows.drop("d"), rows, fold="ym")
+    return out.select("mvt_id", *[F.col(c) if c.endswith("_n") else F.round(c, 8).alias(c) for c in _ENCODED])
+
+
+@query("""select p_partkey, (p_size > 25)::tinyint as large, p_size, coalesce(v.code, -1) as p_type from part left join (select p_type, row_number() over (order by p_type) - 1 as code from (select distinct p_type from part where p_partkey % 2 = 0)) v using (p_type)""")
+def model_matrix(s, d):
+    """Features as a model reads them: flags as numbers, texts as codes, no clocks."""
+    p = table(s, d, "part").withColumn("large", F.col("p_size") > 25).withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+    vocabulary = C.category_codes(p.where("p_partkey % 2 = 0"), "p_type")
+    return C.model_matrix(p.drop("p_name", "p_brand"), ["p_retailprice"], {"p_type": vocabulary})
+
+
 _RUN_HOW = {"columns": _COLUMNS, "flipped": ("A3",), "rounds": 2, "depth": 3, "patience": 1}
 
 
