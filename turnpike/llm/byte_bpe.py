@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnpike.llm._memory import released
+
 #: Pieces in a generation of what one worker remembers. It bounds memory and changes no result.
-PIECE_MEMORY = 250_000
+PIECE_MEMORY = 150_000
 #: Token pairs whose compatibility one worker remembers.
-PAIR_MEMORY = 400_000
+PAIR_MEMORY = 300_000
 #: Bytes of a rank file at most; it goes to every executor once.
 MOST_RANK_BYTES = 64 << 20
 #: Longer pieces are encoded anew each time.
@@ -274,7 +276,7 @@ def encode_decode(
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), schema)
 
 
 def decode_ids(encoded: DataFrame, rank_file: str, pattern: str, *, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:

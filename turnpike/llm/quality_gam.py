@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnpike.llm._features import MEASURES, measure
+from turnpike.llm._memory import released
 from turnpike.llm._text import WordHashes
 
 #: Labelled rows that the model is fitted on at most, the first in the order of a hash of their id.
@@ -145,7 +146,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = [measure(x.as_py() or b"", memory)[1] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {id_type}, x array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(released(run), f"id {id_type}, x array<double>")
 
 
 def training_labels(labels: DataFrame, label_col: str, *, id_col: str = "doc_id", modulus: int, held_out: int, most: int) -> DataFrame:
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Gam, *, threshold: float = 0.7, carry: tuple[s
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, score_col, predicted_col])
 
-    return docs.select(*texts).mapInArrow(run, schema)
+    return docs.select(*texts).mapInArrow(released(run), schema)
 
 
 def accept(docs: DataFrame, model: Gam, **how) -> DataFrame:

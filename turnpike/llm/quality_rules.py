@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnpike.llm._features import COUNTS, MEASURES, measure
+from turnpike.llm._memory import released
 from turnpike.llm._store import cut
 from turnpike.llm._text import WordHashes
 
@@ -66,7 +67,7 @@ def patterns(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in counts.T.copy()], pa.array(number)], [id_col, *COUNTS, "pattern"])
 
     schema = ", ".join([f"`{id_col}` {id_type}", *(f"{c} bigint" for c in COUNTS), "pattern bigint"])
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(released(run), schema)
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnpike.llm._components import Forest, components
+from turnpike.llm._memory import released
 from turnpike.llm._store import cut
 
 #: Levels of the tree with radii of their own for each node; nodes below share those of their ancestor there, level by
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             values = np.fromiter((fingerprint(x.as_py() or b"", shingle=shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {id_type}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(released(run), f"id {id_type}, fp bigint")
 
 
 def _distance(a: np.ndarray, b) -> np.ndarray:
@@ -111,7 +112,7 @@ def _tree(classes: DataFrame, levels: int) -> list[np.ndarray]:
             node, d = np.nonzero(bins)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(d), pa.array(bins[node, d])], ["node", "d", "n"])
 
-        rows = classes.select("fp").mapInArrow(count, "node bigint, d bigint, n bigint").groupBy("node", "d").agg(F.sum("n").alias("n")).collect()
+        rows = classes.select("fp").mapInArrow(released(count), "node bigint, d bigint, n bigint").groupBy("node", "d").agg(F.sum("n").alias("n")).collect()
         bins = np.zeros((nodes, 65), dtype=np.int64)
         for x in rows:
             bins[x["node"], x["d"]] = x["n"]
@@ -179,7 +180,7 @@ def link_classes(classes: DataFrame, *, reach: int = 3, leaf: int = LEAF, block:
             row, node, visits = _route(fp.view(np.uint64), radii, reach)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp[row]), pa.array(rep[row]), pa.array(visits)], ["leaf", "fp", "rep", "visits"])
 
-    routed = classes.select("fp", "rep").mapInArrow(route, "leaf bigint, fp bigint, rep bigint, visits boolean")
+    routed = classes.select("fp", "rep").mapInArrow(released(route), "leaf bigint, fp bigint, rep bigint, visits boolean")
     # Blocks of an oversized leaf are compared pairwise: a row goes to every pair that its block is in.
     large = cut(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"))
     found = large.count()
@@ -262,7 +263,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["id", "digest", "fp"])
 
     named = named.select(F.col(id_col).cast("long"), "digest", F.col(text_col).cast("binary"))
-    prints = cut(named.mapInArrow(run, "id bigint, digest string, fp bigint"))
+    prints = cut(named.mapInArrow(released(run), "id bigint, digest string, fp bigint"))
     found = prints.join(_class_components(prints, reach, leaf), "fp", "left")
     return _first_rows(docs, found.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp"))), ["component_id", "alone"], id_col, text_col)
 
@@ -426,13 +427,13 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
-    prints = cut(named.mapInArrow(sketch, "id bigint, digest string, node bigint, fp bigint, bands array<bigint>"))
+    prints = cut(named.mapInArrow(released(sketch), "id bigint, digest string, node bigint, fp bigint, bands array<bigint>"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         one = prints.groupBy("node").agg(F.min(F.struct("digest", F.col("id").isNull().alias("no"), "id")).alias("e")).join(nodes, "node")
         one = one.select("node", F.col("e.digest").alias("of"), F.col("e.id").alias("by"))
         texts = named.join(one, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
-        return texts.mapInArrow(shingles, "node bigint, s array<bigint>").dropDuplicates(["node"])
+        return texts.mapInArrow(released(shingles), "node bigint, s array<bigint>").dropDuplicates(["node"])
 
     classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
     roots = components(similar_links(classes, sets_of, similarity=similarity))

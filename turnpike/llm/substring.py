@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnpike.llm._memory import released
 from turnpike.llm._store import cut
 from turnpike.llm._text import WordHashes, rolling_hash
 
@@ -120,7 +121,7 @@ def _seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
 
         yield from _in_portions(each(), settle)
 
-    return docs.select(F.col("_id"), F.col("_text")).mapInArrow(run, "h bigint, doc bigint, state tinyint, holders int")
+    return docs.select(F.col("_id"), F.col("_text")).mapInArrow(released(run), "h bigint, doc bigint, state tinyint, holders int")
 
 
 def _salt(decided):
@@ -271,7 +272,7 @@ def _occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
         if found:
             yield from windows(found, owners)
 
-    return texts.mapInArrow(run, "h bigint, doc bigint, kind tinyint, print int, low tinyint, high tinyint, around binary, places binary")
+    return texts.mapInArrow(released(run), "h bigint, doc bigint, kind tinyint, print int, low tinyint, high tinyint, around binary, places binary")
 
 
 def _values(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +365,7 @@ def _repeats(texts: DataFrame, length: int, k: int) -> DataFrame:
     rows = _occurrences(texts, length, k)
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = rows.repartition(parts, "h").sortWithinPartitions("h")
-    found = grouped.mapInArrow(run, "doc bigint, print int, first int, past int, w bigint")
+    found = grouped.mapInArrow(released(run), "doc bigint, print int, first int, past int, w bigint")
     span = F.when(F.col("w").isNull(), F.struct("print", "first", "past"))
     return found.groupBy("doc").agg(F.collect_list(span).alias("spans"), F.collect_set("w").alias("repeats"))
 
@@ -449,4 +450,4 @@ def remove_repeats(
             columns += [pa.array(texts, pa.string())] * with_text + [pa.array(runs, pa.list_(pa.list_(pa.int32())))] * with_spans
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return final.mapInArrow(run, schema)
+    return final.mapInArrow(released(run), schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnpike.llm._memory import released
 from turnpike.llm._store import cut
 from turnpike.llm.quality_gam import training_labels
 
@@ -177,7 +178,7 @@ def _counted(known: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return known.mapInArrow(run, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return known.mapInArrow(released(run), "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _exceptions(known: DataFrame, terms: Sequence[str]) -> list[str]:
@@ -198,7 +199,7 @@ def _exceptions(known: DataFrame, terms: Sequence[str]) -> list[str]:
                 labels += [int(y > 0)] * len(phrases)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int64())], ["phrase", "y"])
 
-    rows = known.mapInArrow(run, "phrase string, y bigint").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    rows = known.mapInArrow(released(run), "phrase string, y bigint").groupBy("phrase").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
     return sorted(x["phrase"] for x in rows.where("toxic = 0 and n >= 2").collect())
 
 
@@ -250,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", modul
             values = [lexicon.measure(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([v[i] for v in values], pa.float64()) for i in range(2)]], ["y", "total", "dense"])
 
-    found = sorted(tuple(r) for r in known.mapInArrow(measured, "y double, total double, dense double").collect())
+    found = sorted(tuple(r) for r in known.mapInArrow(released(measured), "y double, total double, dense double").collect())
     lexicon.curve = _curve(np.array([r[1:] for r in found]), np.array([r[0] for r in found]))
     return lexicon
 
@@ -272,4 +273,4 @@ def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5, id_col:
                 [id_col, "score", "predicted", "weight", "density"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, score double, predicted int, weight double, density double")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(released(run), f"`{id_col}` {id_type}, score double, predicted int, weight double, density double")
