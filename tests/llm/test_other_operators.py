@@ -81,6 +81,30 @@ def test_vectors_against_brute_force(spark):
     assert vector_dedup.near_vectors(f.where("false")).count() == 0
 
 
+def test_a_cosine_at_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.6, 0.8], 0), (3, [0.0, 5.0], 0), (4, [3.0, 4.0], 1), (5, [1e200, 1e200], 2), (6, [1e-200, 1e-200], 2)]
+    f = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(f, threshold=0.6).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_vectors_of_the_table_against_brute_force(spark):
+    f = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, None if r.embedding is None else list(r.embedding), r.label) for r in f.collect()]
+    got = sorted(map(tuple, vector_dedup.near_vectors(f).collect()), key=str)
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (labels[:, None] == labels[None, :])
+    low = ids.copy()
+    while True:
+        new = np.where(near, low[None, :], low.max()).min(axis=1)
+        if (new == low).all():
+            break
+        low = new
+    assert got == sorted(zip(ids.tolist(), (near.sum(axis=1) - 1).tolist(), low.tolist(), (low == ids).tolist(), strict=True), key=str)
+
+
 def test_tables_reach_the_recall():
     p = vector_dedup.meeting_probability(4.0) ** 8
     assert 1 - (1 - p) ** vector_dedup.tables_for(0.999, 8, 4.0) >= 0.999

@@ -8,6 +8,7 @@ import corpus_pipeline
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
+from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
 
 from turnpike.llm import mixture, quality_gam
@@ -103,8 +104,8 @@ def similar_plain(rows):
     return list(best.values())
 
 
-def mix_plain(rows):
-    """Rows of the mix: slot by slot through the schedule, block by block of each source's shuffled stream."""
+def taken_plain(rows):
+    """The rows in the order of their source's shuffled stream with the words that the mix takes of each, slot by slot and block by block."""
     size = lambda r: len((r[1] or "").split())
     names = sorted({r[3] for r in rows if r[3] is not None}, key=lambda s: s.encode()) + ([None] if any(r[3] is None for r in rows) else [])
     total = {s: sum(size(r) for r in rows if r[3] == s) for s in names}
@@ -135,19 +136,27 @@ def mix_plain(rows):
     out = []
     for s in names:
         order = sorted((r for r in rows if r[3] == s), key=lambda r: (hashlib.md5(f"{'null' if r[0] is None else r[0]}-mix".encode()).hexdigest(), r[0] or 0, size(r)))
-        start, by_id = 0, {}
+        start = 0
         for r in order:
-            words = sum(taken.get((s, w // block[s]), 0) for w in range(start, start + size(r)))
+            out.append((r, sum(taken.get((s, w // block[s]), 0) for w in range(start, start + size(r)))))
             start += size(r)
-            a, b = by_id.get(r[0], (0, 0))
-            by_id[r[0]] = (a + words, b + size(r))
-        for r in order:
-            words, all_of_id = by_id[r[0]]
-            if size(r) and words:
-                part = words * size(r) // all_of_id
-                for cut in [0] * (part // size(r)) + [part % size(r)] * (part % size(r) > 0):
-                    text = " ".join(r[1].split()[:cut]) if cut else r[1]
-                    out.append((r[0], text, r[2], r[3], len(text)))
+    return out
+
+
+def mix_plain(rows):
+    """Rows of the mix: a document as often as it is taken, and the words at the end of a source's last block."""
+    size, by_id, out = lambda r: len((r[1] or "").split()), {}, []
+    placed = taken_plain(rows)
+    for r, words in placed:
+        a, b = by_id.get((r[0], r[3]), (0, 0))
+        by_id[r[0], r[3]] = (a + words, b + size(r))
+    for r, _ in placed:
+        words, all_of_id = by_id[r[0], r[3]]
+        if size(r) and words:
+            part = words * size(r) // all_of_id
+            for cut in [0] * (part // size(r)) + [part % size(r)] * (part % size(r) > 0):
+                text = " ".join(r[1].split()[:cut]) if cut else r[1]
+                out.append((r[0], text, r[2], r[3], len(text)))
     return out
 
 
@@ -187,6 +196,33 @@ def test_stages_equal_their_plain_versions(spark, folder):
     assert counts[0] < len(rows) and counts[2] < counts[1] and counts[4] == counts[3] > 100
 
 
+def test_extra_columns_with_clashing_names_change_nothing(spark, folder):
+    names = ("id", "fp", "h", "t", "y", "doc", "line", "site", "at", "print", "node", "bands", "key", "group", "digest", "size", "copy", "target", "bucket", "score", "predicted", "label_id", "s", "k")
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, extra = plain, plain.withColumns({c: F.lit("x") for c in names})
+    order = lambda r: [(x is None, str(x)) for x in r]
+    for name, stage in corpus_pipeline.STAGES:
+        one, two = stage(spark, docs, folder), stage(spark, extra, folder)
+        if name != "byte_bpe":
+            assert two.columns == extra.columns
+        got = [sorted((tuple(r) for r in f.select(*one.columns).collect()), key=order) for f in (one, two)]
+        assert got[0] == got[1], name
+        if name != "byte_bpe":
+            docs = spark.createDataFrame(got[0], DOCS)
+            extra = docs.withColumns({c: F.lit("x") for c in names})
+
+
+def test_mix_of_long_texts_and_equal_places(spark):
+    """A text longer than blocks, ids that repeat and so have one place in the shuffle, rows that repeat."""
+    rng = random.Random(33)
+    rows = [(i % 40, "w " * rng.randrange(0, 60), "en", f"s{i % 3}", 0) for i in range(150)] + [(500, "long " * 60_000, "en", "s1", 0), (501, "x " * 9_000, "en", "s2", 0), (7, None, "en", None, 0), (None, "a b c", "en", None, 0)]
+    rows += rows[:6]
+    got = mixture.mix(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    size = lambda r: len((r[1] or "").split())
+    expected = sorted(((r[0], r[3], size(r), words) for r, words in taken_plain(rows)), key=str)
+    assert sorted(((r.doc_id, r.source, r["size"], r.taken) for r in got), key=str) == expected
+
+
 def test_run_gives_the_last_stage_and_leaves_its_folder_alone(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     first = sorted(map(tuple, out.collect()), key=str)

@@ -159,6 +159,7 @@ def simhash_brute(rows):
 
 @pytest.mark.parametrize("how", [{}, {"leaf": 4}])
 def test_simhash_against_brute_force(spark, messy, how):
+    messy = messy + [(5, "another text under id five", "s1"), (5, messy[5][1] + " more", "s2"), (5, None, "s3")]
     got = simhash.near_duplicates(frame(spark, messy), **how)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(simhash_brute(messy), key=str)
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
