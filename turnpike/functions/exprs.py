@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def n_rows() -> Column:
+    """Number of rows: an aggregate."""
+    return F.count(F.lit(1))
+
+
 def secs_between(later: Column | str, earlier: Column | str) -> Column:
     """Whole seconds between two microsecond clocks, truncated towards zero."""
     return ((col(later) - col(earlier)) / MICROS).cast("bigint")

@@ -56,13 +56,6 @@ def apply_priors(rows: DataFrame, priors: dict[str, DataFrame]) -> DataFrame:
     return out.select(*[F.col(c) for c in rows.columns], *[c.alias(n) for n, c in chosen.items()], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
-def join_known(rows: DataFrame, table: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
-    """Left join on keys whose other columns get a suffix."""
-    side = table.select(*[F.col(k).alias(f"_{k}{suffix}") for k in keys], *[F.col(c).alias(f"{c}{suffix}") for c in table.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}{suffix}") for k in keys])
-    return rows.join(side, on, "left").drop(*[f"_{k}{suffix}" for k in keys])
-
-
 def smoothed(rows: DataFrame, *, group: Sequence[str], parent: Sequence[str], target: Column, weight: float = 30.0) -> DataFrame:
     """``(n * own mean + weight * parent mean) / (n + weight)`` for each group within its parent."""
     frame = rows.withColumn("_y", target).where(F.col("_y").isNotNull())

@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 
 from turnpike.functions.exprs import MICROS
 
-
-def rolling_count(by: Sequence[str], time: str, start: int, end: int) -> Column:
-    """Rows of the key with time in (t + start, t + end], seconds against a microsecond clock: the half-open window."""
-    frame = Window.partitionBy(*by).orderBy(time).rangeBetween(start * MICROS + 1, end * MICROS)
-    return F.count(F.lit(1)).over(frame)
-
-
 #: Seconds of a time block of a key, and the block of rows without a time.
 BLOCK, NO_TIME = 86_400, -(1 << 40)
 

@@ -6,17 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnpike.functions import exprs as X
+from turnpike.functions.exprs import n_rows
 from turnpike.operators import blend as B
 from turnpike.operators import evaluate as E
 from turnpike.plans.registry import MOV, query
 from turnpike.sources.tables import movements, table
 
 
-def n_rows():
-    """Number of rows: an aggregate."""
-    return F.count(F.lit(1))
-
-
 def _r(c, places=6):
     return F.round(c, places)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnpike.functions.exprs import n_rows
 from turnpike.operators import features
 from turnpike.operators.evaluate import quantiles
 from turnpike.plans.joined import LINK_SQL
@@ -11,11 +12,6 @@ from turnpike.plans.registry import MOV, query
 from turnpike.sources.tables import movements, table
 
 
-def n_rows():
-    """Number of rows: an aggregate."""
-    return F.count(F.lit(1))
-
-
 @query(f"with {MOV} select phase, count(*) as n, count(*) filter (where phase = 'DEP') as blanked, count(*) filter (where phase = 'ARR') as known from m group by phase")
 def blank_invariant(s, d):
     b = features.blind(movements(s, d))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnpike.functions import exprs as X
+from turnpike.functions.exprs import n_rows
 from turnpike.operators import blend as B
 from turnpike.operators import encode as C
 from turnpike.operators import features
@@ -20,10 +21,6 @@ from turnpike.plans.relational import WEATHER, WX, observations
 from turnpike.plans.temporal import _BINS, _ROLL, _SEG, CONGESTION, QUEUE, QUEUE_SQL
 from turnpike.sources.tables import movements, table
 
-
-def n_rows():
-    """Number of rows: an aggregate."""
-    return F.count(F.lit(1))
 PRIOR_LEVELS = (["l_suppkey", "l_returnflag"], ["l_returnflag", "l_linestatus"], ["l_returnflag"])
 
 
@@ -244,9 +241,6 @@ def feature_families(s, d):
     return out.select("mvt_id", "stand_group", "sched_takeoff_offset", *_metres(features.GEOMETRY), *[F.round(c, 6).alias(c) if c in _INEXACT else c for c in _FAMILIES])
 
 
-_HELD = ("2024-01-08", "2024-01-20")
-
-
 @query(f"""with {MOV}, x as (select *, strftime(ts, '%Y-%m-%d') as ym from m)
        select 'train' as frame, count(*) as n, count(distinct mvt_id) as ids from x where phase = 'DEP' union all select 'labels', count(*), count(distinct mvt_id) from x where phase = 'DEP'
        union all select 'holdout_gap', count(*), count(distinct mvt_id) from x where phase = 'DEP' and strftime(ts, '%Y-%m') = '2024-01' union all select 'ranking', count(*), count(distinct mvt_id) from x where phase = 'DEP' and mvt_id % 2 = 0""")

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnpike.functions.exprs import planar_metres
+from turnpike.functions.exprs import n_rows, planar_metres
 from turnpike.operators import features, tracks
 from turnpike.operators import temporal as T
 from turnpike.plans.registry import MOV, query
 from turnpike.sources.tables import movements, table
 
 
-def n_rows():
-    """Number of rows: an aggregate."""
-    return F.count(F.lit(1))
-
-
 def _count(keys: str, lo: int, hi: int) -> str:
     return f"count(*) over (partition by {keys} order by t_us range between {abs(lo)} {'preceding' if lo < 0 else 'following'} and {abs(hi)} {'preceding' if hi < 0 else 'following'})"
 

@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOVEMENT_COLUMNS = (
-    "mvt_id", "phase", "airport", "ades", "runway", "stand", "actype", "wake", "operator", "t_us", "block_us", "sched_us", "eobt_us", "iobt_us", "lobt_us", "aobt_us",
-    "taxi", "d", "value", "user_id", "ts",
-)
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; columns and filters of the query reach the scan."""
