@@ -60,8 +60,8 @@ class Hashing:
 
 
 def _units(values: np.ndarray) -> np.ndarray:
-    """Rows of unit length, in double precision and safe against overflow."""
-    values = values / np.abs(values).max(axis=1, keepdims=True)
+    """Rows of unit length, in double precision and safe against overflow; powers of two scale without rounding."""
+    values = np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, keepdims=True))[1])
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
