@@ -28,7 +28,8 @@ def detect_pushbacks(m: DataFrame, points: DataFrame, stands: DataFrame, *, gap:
     ``points(airport, day, hex, ts, gs, lat, lon)`` have times in seconds; ``stands(airport, stand_name, lat, lon)``.
     The runs of slow points that end in a take-off are matched one to one with departures of the airport within
     ``reach`` seconds: runs that visit the own stand first, then the nearest in time, then the smallest ids. The tier
-    comes from the matched run's points near the own stand; a run that never shows there leaves it null.
+    comes from the matched run's points near the own stand; a run that never shows there leaves it null. Airports of which
+    no stand is known have no matches.
     """
     t = (F.col("t_us") / MICROS).alias("mvt_t")
     positions = features.stand_positions(stands)

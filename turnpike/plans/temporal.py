@@ -143,7 +143,7 @@ _STANDS = """stands as (select distinct 'A' || (user_id % 10) as airport, 'STAND
 
 @query(f"""with recursive {MOV}, {_RUNS}, {_STANDS}, pos as (select distinct airport, lat, lon from stands),
        dep as (select m.mvt_id, m.airport, m.t_us / 60000000.0::double as mvt_t, case when m.stand is not null and m.user_id % 3 <> 0 then 47.4::double end as s_lat from m where m.phase = 'DEP'),
-       ends as (select 'A' || (hex % 10) as airport, hex, run, last_t from runs where takes_off),
+       ends as (select 'A' || (hex % 10) as airport, hex, run, last_t from runs where takes_off and 'A' || (hex % 10) in (select airport from pos)),
        near as (select d.mvt_id, e.airport, e.hex, e.run, abs(e.last_t - d.mvt_t) as off, p.t, p.next_t, p.gs, case when d.s_lat is not null then p.own_m end as own_m
                 from dep d join ends e on e.airport = d.airport and e.last_t >= d.mvt_t - 180 and e.last_t < d.mvt_t + 180 join own p on p.hex = e.hex and p.run = e.run),
        cand as (select mvt_id, airport, hex, run, off, {_PUSH} from near group by mvt_id, airport, hex, run, off),
