@@ -167,9 +167,14 @@ def local_links(fp: np.ndarray, home: np.ndarray, other: np.ndarray | None, reac
             todo += parts
 
 
-def link_classes(classes: DataFrame, *, reach: int = 3, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """``classes(fp, rep)``, distinct fingerprints and their smallest ids -> spanning edges ``(a, b)`` of ids."""
-    n = classes.count()
+def link_classes(classes: DataFrame, *, reach: int = 3, leaf: int = LEAF, block: int = BLOCK, tables: int = 1) -> DataFrame:
+    """``classes(fp, rep)``, distinct fingerprints and their smallest ids -> spanning edges ``(a, b)`` of ids.
+
+    With several ``tables`` a column ``table`` tells whose fingerprint it is; only those of one table link. Their
+    fingerprints are alike in distribution, so the trees share vantage points and radii.
+    """
+    table = F.col("table") if tables > 1 else F.lit(0)
+    n = -(-classes.count() // tables)
     levels = max(0, int(np.ceil(np.log2(max(1, n) / leaf))))
     radii = _tree(classes, levels)
 
@@ -178,9 +183,10 @@ def link_classes(classes: DataFrame, *, reach: int = 3, leaf: int = LEAF, block:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rep = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             row, node, visits = _route(fp.view(np.uint64), radii, reach)
+            node += batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[row] << levels
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp[row]), pa.array(rep[row]), pa.array(visits)], ["leaf", "fp", "rep", "visits"])
 
-    routed = classes.select("fp", "rep").mapInArrow(released(route), "leaf bigint, fp bigint, rep bigint, visits boolean")
+    routed = classes.select("fp", "rep", table.alias("table")).mapInArrow(released(route), "leaf bigint, fp bigint, rep bigint, visits boolean")
     # Blocks of an oversized leaf are compared pairwise: a row goes to every pair that its block is in.
     large = cut(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).where("blocks > 1"))
     found = large.count()
@@ -270,11 +276,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 #: Words of a shingle and the share of shared shingles that make two texts near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of a text's minimum hashes, and hashes of a band: a pair at 0.8 shares a band with a chance of 0.998.
-BANDS, BAND = 20, 6
-#: Bits of 64 in which fingerprints of a candidate pair may differ. A pair at 0.8 is expected to differ in 9.7, with a deviation of 2.9.
+#: Fingerprints of a text, their bits and the bits in which those of a candidate pair may differ. At 0.8 one fingerprint of a
+#: pair is that near with a chance of 0.125, one of all with 0.994; unlike texts are with 1e-8 a fingerprint.
+PRINTS, BITS, NEAR = 38, 40, 3
+#: Bits of 64 in which a wider fingerprint of a candidate pair may differ. A pair at 0.8 is expected to differ in 9.7, with a deviation of 2.9.
 WIDE = 22
-#: Texts, and shingles of theirs, in a block of the texts under one band; blocks are compared pairwise.
+#: Texts, and shingles of theirs, in a block of the texts under one key; blocks are compared pairwise.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1_500, 1_000_000
 #: Cells of the matrix that a comparison lays out at a time.
 _CELLS = 4_000_000
@@ -299,18 +306,45 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _sketch(hashes: np.ndarray, mix: np.ndarray, odd: np.ndarray) -> tuple[int, int, list[int]]:
-    """Digest, fingerprint and band keys of a shingle set; an empty one has no bands."""
+#: Words of random bits that a shingle gives to the fingerprints.
+_WORDS = -(-PRINTS * BITS // 64)
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, _WORDS, dtype=np.uint64)
+
+
+def _sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
+    """Digest, wide fingerprint and fingerprints of a shingle set; an empty one has none."""
     if not len(hashes):
         return 0, 0, []
-    total, low = np.zeros(64, dtype=np.int64), np.full(len(mix), ~np.uint64(0))
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        low = np.minimum(low, ((part[:, None] ^ mix) * odd).min(axis=0))
-    fp = int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big", signed=True)
-    keys = [xxhash.xxh64_intdigest(low[at : at + BAND].tobytes(), at) for at in range(0, len(low), BAND)]
-    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True), fp, np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+    total = np.zeros(64 * (1 + _WORDS), dtype=np.int64)
+    for at in range(0, len(hashes), 255):
+        part = hashes[at : at + 255, None]
+        # The finaliser of SplitMix64 makes independent words of a hash.
+        words = part ^ _SEEDS
+        words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        words = (words ^ (words >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        words = np.concatenate([part, words ^ (words >> np.uint64(31))], axis=1)
+        bits = np.unpackbits(words.astype(">u8").view(np.uint8), axis=1)
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    bits = total * 2 > len(hashes)
+    fp = int.from_bytes(np.packbits(bits[:64]).tobytes(), "big", signed=True)
+    prints = np.zeros((PRINTS, 64), dtype=bool)
+    prints[:, 64 - BITS :] = bits[64 : 64 + PRINTS * BITS].reshape(PRINTS, BITS)
+    prints = np.packbits(prints, axis=1).view(">u8").astype(np.int64).ravel().tolist()
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True), fp, prints
+
+
+def _near_groups(classes: DataFrame, *, reach: int = NEAR, leaf: int = LEAF) -> DataFrame:
+    """``classes(node, fp, prints)`` -> ``(node, fp, key, salt)`` for each fingerprint: the key is that of its component.
+
+    Components are those of one table's fingerprints that differ in ``reach`` bits or fewer, found by vantage-point trees.
+    """
+    rows = classes.select("node", "fp", F.posexplode("prints").alias("table", "print")).withColumn("key", F.xxhash64("table", "print"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int"))
+    distinct = cut(rows.select("table", F.col("print").alias("fp"), F.col("key").alias("rep")).distinct())
+    roots = components(link_classes(distinct, reach=reach, leaf=leaf, tables=PRINTS))
+    # A fingerprint may be that of many texts, so it is dealt under salts.
+    roots = roots.select(F.col("node").alias("key"), "root", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    return rows.join(roots, ["key", "salt"], "left").select("node", "fp", F.coalesce("root", "key").alias("key"), "salt").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -382,13 +416,13 @@ def _links_in_blocks(left: DataFrame, sets: DataFrame, similarity: float, wide:
 
 
 def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, similarity: float = SIMILARITY, wide: int = WIDE, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """``classes(node, fp, bands)`` -> links ``(a, b)`` of nodes, each checked on the sets that ``sets_of(nodes)`` gives.
+    """``classes(node, fp, prints)`` -> links ``(a, b)`` of nodes, each checked on the sets that ``sets_of(nodes)`` gives.
 
-    Every band is led by its smallest text. First every text meets two leaders: the smallest, and the one of most of its
-    bands. Bands whose texts this leaves in different components are then compared whole, in pairs of blocks; texts of
-    one component needn't meet again.
+    Candidates are the texts of one component of a table's fingerprints, its key. Every key is led by its smallest text.
+    First every text meets two leaders: the smallest, and the one of most of its keys. Keys whose texts this leaves in
+    different components are then compared whole, in pairs of blocks; texts of one component needn't meet again.
     """
-    rows = classes.select("node", "fp", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int"))
+    rows = _near_groups(classes)
     low = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("low")).where("n > 1")
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     shared = cut(rows.join(low, ["key", "salt"]).select("key", "node", "fp", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp")))
@@ -406,20 +440,18 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs``, all columns, that come first in their group: links are pairs of texts that share at least
     ``similarity`` of the word shingles that either has (Jaccard).
 
-    Candidates share a band of minimum hashes and have SimHash fingerprints within ``WIDE`` bits, which vantage
-    points can't prune; each is checked on the exact sets. Texts without words are one group. Rows with a null id
-    go unless no other row is like them; rows of one id with unlike texts are judged each for itself.
+    A candidate pair has one of ``PRINTS`` SimHash fingerprints within ``NEAR`` bits, found by vantage-point trees, or is
+    joined by a chain of such, and a wider one within ``WIDE`` bits; each is checked on the exact sets. Texts without words
+    are one group. Rows with a null id go unless no other row is like them; rows of one id with unlike texts are judged each
+    for itself.
     """
-    rng = np.random.default_rng(42)
-    mix, odd = (rng.integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64) for _ in range(2))
-    odd |= np.uint64(1)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            found = [_sketch(_shingles(x.as_py() or b"", shingle), mix, odd) for x in batch.column(2)]
-            node, fp, bands = zip(*found, strict=True) if found else ((), (), ())
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "fp", "bands"])
+            found = [_sketch(_shingles(x.as_py() or b"", shingle)) for x in batch.column(2)]
+            node, fp, prints = zip(*found, strict=True) if found else ((), (), ())
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "fp", "prints"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
@@ -427,7 +459,7 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
-    prints = cut(named.mapInArrow(released(sketch), "id bigint, digest string, node bigint, fp bigint, bands array<bigint>"))
+    prints = cut(named.mapInArrow(released(sketch), "id bigint, digest string, node bigint, fp bigint, prints array<bigint>"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         one = prints.groupBy("node").agg(F.min(F.struct("digest", F.col("id").isNull().alias("no"), "id")).alias("e")).join(nodes, "node")
@@ -435,7 +467,7 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         texts = named.join(one, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
         return texts.mapInArrow(released(shingles), "node bigint, s array<bigint>").dropDuplicates(["node"])
 
-    classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")).where(F.size("bands") > 0)
+    classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("prints").alias("prints")).where(F.size("prints") > 0)
     roots = components(similar_links(classes, sets_of, similarity=similarity))
     rows = prints.select("id", "digest", "node").join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("group"))
     return _first_rows(docs, rows, ["group"], id_col, text_col)
