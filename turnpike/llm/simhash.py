@@ -25,6 +25,8 @@ from turnpike.llm._store import cut
 #: Levels of the tree with radii of their own for each node; nodes below share those of their ancestor there, level by
 #: level, so at most 2**TOP * 65 counts a level reach the driver, and as many radii a level the workers.
 TOP = 10
+#: Fingerprints that aren't alone, up to which the table of their keys is broadcast.
+BROADCAST_KEYS = 500_000
 #: Leaves up to which the table of oversized ones is broadcast.
 BROADCAST_LEAVES = 100_000
 #: Classes that one leaf of the distributed tree should hold.
@@ -333,18 +335,29 @@ def _sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True), fp, prints
 
 
-def _near_groups(classes: DataFrame, *, reach: int = NEAR, leaf: int = LEAF) -> DataFrame:
-    """``classes(node, fp, prints)`` -> ``(node, fp, key, salt)`` for each fingerprint: the key is that of its component.
+def _near_groups(classes: DataFrame, *, reach: int = NEAR, leaf: int = 2 * LEAF, broadcast: int = BROADCAST_KEYS) -> DataFrame:
+    """``classes(node, fp, prints)`` -> ``(node, fp, key, salt)`` for each fingerprint that isn't alone: the key is that of its component.
 
     Components are those of one table's fingerprints that differ in ``reach`` bits or fewer, found by vantage-point trees.
+    Table and fingerprint are one long, which keeps the shuffles and the folder small; most are alone and go at once.
     """
-    rows = classes.select("node", "fp", F.posexplode("prints").alias("table", "print")).withColumn("key", F.xxhash64("table", "print"))
+    classes = cut(classes)
+    rows = classes.select("node", "fp", F.posexplode("prints").alias("table", "print"))
+    rows = rows.select("node", "fp", F.shiftleft(F.col("table").cast("long"), BITS).bitwiseOR(F.col("print")).alias("code"))
+    several = F.when(F.count(F.lit(1)) > 1, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    held = cut(rows.groupBy("code").agg(several.alias("several")).select(F.col("code").bitwiseOR(F.col("several")).alias("held")))
+    code = F.col("held").bitwiseAND(F.lit((1 << 62) - 1))
+    points = held.select(code.bitwiseAND(F.lit((1 << BITS) - 1)).alias("fp"), code.alias("rep"), F.shiftright(code, BITS).cast("int").alias("table"))
+    roots = components(link_classes(points, reach=reach, leaf=leaf, tables=PRINTS))
+    own = held.where(F.col("held") >= F.lit(1 << 62)).select(code.alias("code")).unionByName(roots.select(F.col("root").alias("code"))).distinct()
+    own = own.join(roots.select(F.col("node").alias("code")), "code", "left_anti").select("code", F.col("code").alias("key"))
+    keys = cut(own.unionByName(roots.select(F.col("node").alias("code"), F.col("root").alias("key"))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int"))
-    distinct = cut(rows.select("table", F.col("print").alias("fp"), F.col("key").alias("rep")).distinct())
-    roots = components(link_classes(distinct, reach=reach, leaf=leaf, tables=PRINTS))
+    if keys.count() <= broadcast:
+        return rows.join(F.broadcast(keys), "code").select("node", "fp", "key", "salt")
     # A fingerprint may be that of many texts, so it is dealt under salts.
-    roots = roots.select(F.col("node").alias("key"), "root", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    return rows.join(roots, ["key", "salt"], "left").select("node", "fp", F.coalesce("root", "key").alias("key"), "salt").distinct()
+    dealt = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return rows.join(dealt, ["code", "salt"]).select("node", "fp", "key", "salt")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
