@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -15,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from turnpike.llm import byte_bpe, line_dedup, quality_gam, quality_rules, simhash, substring, toxicity
+from turnpike.llm import _components, byte_bpe, line_dedup, quality_gam, quality_rules, simhash, substring, toxicity
 from turnpike.llm._components import Forest, components
 from turnpike.llm._features import COUNTS, MEASURES, SPAN, measure
 from turnpike.llm._text import WordHashes
@@ -73,6 +74,30 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
+def test_stars_leave_the_rounds_of_components(spark, monkeypatch):
+    """A long chain takes many rounds; stars that are done are not among their rows, and every node still gets its root."""
+    rng = random.Random(2)
+    chain = list(range(200_000, 200_300))
+    rng.shuffle(chain)
+    stars = spark.range(30_000).select((F.col("id") - F.col("id") % 6).alias("a"), F.col("id").alias("b"))
+    edges = stars.unionByName(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long"))
+    rows, cut = [], _components.cut
+
+    def counted(df, *how):
+        out = cut(df, *how)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(_components, "cut", counted)
+    got = sorted(tuple(r) for r in components(edges).collect())
+    assert got == [(i, i - i % 6) for i in range(30_000) if i % 6] + [(i, 200_000) for i in range(200_001, 200_300)]
+    # The stars are laid down once as edges and once as done.
+    assert sum(rows) < 2 * 25_000 + 10_000, rows
+    rows.clear()
+    monkeypatch.setattr(_components, "MOST_OPEN", 1, raising=False)
+    assert sorted(tuple(r) for r in components(edges).collect()) == got and sum(rows) > 3 * 25_000
+
+
 def test_forest_of_blocks():
     forest, ids = Forest(6), np.array([50, 40, 30, 20, 10, 5])
     forest.link(np.array([0, 1]), np.array([1, 2]))
@@ -272,6 +297,45 @@ def test_similar_texts_in_a_crowd(spark):
     assert simhash.keep_dissimilar(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_sets_are_made_without_a_shuffle_of_texts(spark, messy, monkeypatch, bits):
+    """Only shingle sets of candidates are exchanged, also where a full filter passes every text; rows are the same."""
+    monkeypatch.setattr(simhash, "MOST_FILTER_BITS", bits, raising=False)
+    rng = random.Random(17)
+    rows, plans, cut = messy + [(1000 + i, prose(rng, 60, 4000), "s") for i in range(100)], [], simhash.cut
+    rows += [(2000 + i, rows[-1 - i][1] + " more", "s") for i in range(40)]
+
+    def planned(df, *how):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *how)
+
+    monkeypatch.setattr(simhash, "cut", planned)
+    kept = [r.doc_id for r in simhash.keep_dissimilar(frame(spark, rows)).collect()]
+    sets, low = [shingle_sets(t or "") for _, t, _ in rows], list(range(len(rows)))
+    for _ in rows:
+        new = [min(low[j] for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == low:
+            break
+        low = new
+    assert sorted(kept) == sorted(min(rows[j][0] for j in range(len(rows)) if low[j] == k and rows[j][0] is not None) for k in set(low))
+    # What lies below the map that makes the sets: no join, no aggregation, so no exchange.
+    maker = re.compile(r"MapInArrow .*\[node#\w+, s#\w+\]")
+    made = [p.splitlines() for p in plans if maker.search(p)]
+    assert len(made) == 1, plans
+    at = next(k for k, line in enumerate(made[0]) if maker.search(line))
+    depth = lambda line: re.search("[A-Za-z]", line).start()
+    below = list(itertools.takewhile(lambda line: depth(line) > depth(made[0][at]), made[0][at + 1 :]))
+    assert below and not re.search("Join|Aggregate|Repartition|Sort", " ".join(line.split("[")[0] for line in below)), made
+
+
+def test_filter_holds_its_keys(spark):
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 40_000)
+    found = simhash._filter(spark.createDataFrame([(int(k),) for k in keys[:5000]], "key long"))
+    passed = simhash._passes(found, keys)
+    assert passed[:5000].all() and passed[5000:].mean() < 0.03
+    assert not simhash._passes(simhash._filter(spark.createDataFrame([], "key long")), keys).any()
+
+
 # -- substring dedup
 
 

@@ -2,8 +2,8 @@
 
 Each round is a partial ``min`` per node, so a hub's edges are combined before the shuffle, and an equi-join.
 Hubs are nodes of so many edges that their table is small by arithmetic; it is broadcast, so that a hub's edges stay
-where they are. Edges are only ever re-pointed at smaller nodes, their number never grows, and nothing but two totals
-per round reaches the driver.
+where they are. Edges are only ever re-pointed at smaller nodes, their number never grows, and nothing but counts
+reach the driver. Components that are stars around their smallest node are done and leave the rounds.
 """
 
 from __future__ import annotations
@@ -19,12 +19,28 @@ from turnpike.llm._store import cut
 HUB_EDGES, MOST_HUBS = 512, 200_000
 
 
-def _totals(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row["n"], row["h"]
+#: Edges from which on stars leave the rounds, if they are half of all, and nodes up to which the table that tells the others is broadcast.
+SPLIT_EDGES, MOST_OPEN = 20_000, 200_000
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _low(both: DataFrame) -> DataFrame:
+    return both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _unsettled(edges: DataFrame, among: DataFrame, n: int) -> DataFrame | None:
+    """Smaller ends of the edges in components that aren't stars around their smallest node; None if they are too many to tell.
+
+    ``among`` holds the open nodes. An edge is in a star unless its smaller end is open or next to an open node above it.
+    """
+    if among.count() > MOST_OPEN:
+        return None
+    above = edges.join(F.broadcast(among), F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node"))
+    ends = cut(above.unionByName(among).distinct(), n)
+    return ends if ends.count() <= MOST_OPEN else None
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -38,12 +54,23 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         .distinct(),
         rows,
     )
-    seen = _totals(current)
-    while seen[0]:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    n, done = current.count(), []
+    while n:
+        # A node is open if it has several neighbours, one of them smaller. Without open nodes all components are stars.
+        among = cut(_low(_both(current)).where((F.col("m") < F.col("u")) & (F.col("n") > 1)).select(F.col("u").alias("node")), n)
+        if among.isEmpty():
+            break
+        ends = _unsettled(current, among, n) if n >= SPLIT_EDGES else None
+        if ends is not None:
+            on = F.col("v") == F.col("node")
+            left = cut(current.join(F.broadcast(ends), on, "left_semi"), n)
+            if 2 * (still := left.count()) <= n:
+                done.append(cut(current.join(F.broadcast(ends), on, "left_anti"), n - still))
+                current, n = left, still
+        both = _both(current)
         # Both directions of n edges hold at most MOST_HUBS nodes of more than 2 n / MOST_HUBS edges.
-        limit = max(HUB_EDGES, 2 * seen[0] // MOST_HUBS)
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        limit = max(HUB_EDGES, 2 * n // MOST_HUBS)
+        low = _low(both)
         hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
         up = both.where(F.col("v") > F.col("u")).join(hubs, F.col("u") == F.col("hub"), "left")
         others = up.where(F.col("hub").isNull()).join(low.where(F.col("n") <= limit), "u")
@@ -61,11 +88,10 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        current = cut(small, seen[0])
-        now = _totals(current)
-        if now == seen:
-            break
-        seen = now
+        current = cut(small, n)
+        n = current.count()
+    for part in done:
+        current = current.unionByName(part)
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

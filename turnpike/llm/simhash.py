@@ -289,6 +289,8 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 1_500, 1_000_000
 _CELLS = 4_000_000
 #: Parts that the pairs of one text are dealt into.
 SALTS = 64
+#: Bits of a filter a key, and in all at most: a full one passes more rows, which an exact join drops.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
 
 
 def _shingles(data: bytes, shingle: int) -> np.ndarray:
@@ -308,6 +310,29 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _node(hashes: np.ndarray) -> int:
+    """Digest of a shingle set."""
+    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of two probes over ``keys(key)``. Spark aggregates its words, of which a bounded number reaches the driver."""
+    size = min(MOST_FILTER_BITS, 1 << max(6, (FILTER_BITS * keys.count()).bit_length()))
+    probes = [k.bitwiseAND(F.lit(size - 1)) for k in (F.col("key"), F.shiftrightunsigned("key", 32))]
+    bits = keys.select(F.explode(F.array(*probes)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits")).toArrow()
+    found = np.zeros(size >> 6, dtype=np.uint64)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return found
+
+
+def _passes(found: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the keys a filter holds; a few of those that it was not built from are among them."""
+    key, last = key.astype(np.int64).view(np.uint64), np.uint64(64 * len(found) - 1)
+    bits = [found[(k & last) >> np.uint64(6)] >> (k & np.uint64(63)) for k in (key, key >> np.uint64(32))]
+    return (bits[0] & bits[1] & np.uint64(1)).astype(bool)
+
+
 #: Words of random bits that a shingle gives to the fingerprints.
 _WORDS = -(-PRINTS * BITS // 64)
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, _WORDS, dtype=np.uint64)
@@ -332,7 +357,7 @@ def _sketch(hashes: np.ndarray) -> tuple[int, int, list[int]]:
     prints = np.zeros((PRINTS, 64), dtype=bool)
     prints[:, 64 - BITS :] = bits[64 : 64 + PRINTS * BITS].reshape(PRINTS, BITS)
     prints = np.packbits(prints, axis=1).view(">u8").astype(np.int64).ravel().tolist()
-    return int.from_bytes(xxhash.xxh64_digest(hashes.tobytes(), 1), "big", signed=True), fp, prints
+    return _node(hashes), fp, prints
 
 
 def _near_groups(classes: DataFrame, *, reach: int = NEAR, leaf: int = 2 * LEAF, broadcast: int = BROADCAST_KEYS) -> DataFrame:
@@ -466,19 +491,24 @@ def keep_dissimilar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "node", "fp", "prints"])
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            sets = [_shingles(x.as_py() or b"", shingle).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
-
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
     prints = cut(named.mapInArrow(released(sketch), "id bigint, digest string, node bigint, fp bigint, prints array<bigint>"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         one = prints.groupBy("node").agg(F.min(F.struct("digest", F.col("id").isNull().alias("no"), "id")).alias("e")).join(nodes, "node")
-        one = one.select("node", F.col("e.digest").alias("of"), F.col("e.id").alias("by"))
-        texts = named.join(one, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("by"))).select("node", "t")
-        return texts.mapInArrow(released(shingles), "node bigint, s array<bigint>").dropDuplicates(["node"])
+        wanted = cut(one.select("node", F.xxhash64("e.digest", "e.id").alias("key")))
+        found = _filter(wanted)
+
+        # Sets are made where the texts lie, of those that the filter passes; no text is shuffled.
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _sliced(batches):
+                texts = batch.column(1).filter(pa.array(_passes(found, batch.column(0).to_numpy(zero_copy_only=False))))
+                sets = [_shingles(x.as_py() or b"", shingle) for x in texts]
+                columns = [pa.array(map(_node, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "s"])
+
+        sets = named.select(F.xxhash64("digest", "id").alias("key"), "t").mapInArrow(released(shingles), "node bigint, s array<bigint>")
+        return sets.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
 
     classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("prints").alias("prints")).where(F.size("prints") > 0)
     roots = components(similar_links(classes, sets_of, similarity=similarity))
